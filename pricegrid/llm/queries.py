@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import language, tokens
 from .common import crc_mod, table
 
 
@@ -16,8 +16,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, net, keep=[held])
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = tokens.encode_decode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
