@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding of a whole collection by a global distinct-word shuffle.
 
-Texts are dealt by a hash of the row into chunks of bounded size. Each chunk names the distinct pre-tokens
-that occur in it (all occurrences of a pre-token in a chunk become one row before anything is shuffled);
-the distinct pre-tokens of the whole collection are encoded once each; the ids are joined back to the chunks
-that need them; and each chunk puts the ids together again in the order of positions. Decoding looks each id
-up in the token-byte table, whose size the vocabulary fixes.
+Tasks read the texts in chunks of bounded size. Each chunk names the distinct pre-tokens that occur in it (all
+occurrences of a pre-token in a chunk become one before anything is shuffled); these go, packed by a hash of
+the pre-token, to the one place where each distinct pre-token of the whole collection is encoded once; the ids
+are joined back to the chunks that need them; and each chunk puts the ids together again in the order of
+positions. Decoding looks each id up in the token-byte table, whose size the vocabulary fixes.
+
+A chunk is named by a hash of its content. Should a source give its rows in another order when it is read
+again, the second reading finds no dictionary and the job fails; it can't give wrong ids.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows give repeated
 results; an empty table gives an empty one. Only the id and text columns are read.
@@ -13,12 +16,15 @@ results; an empty table gives an empty one. Only the id and text columns are rea
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,17 +53,38 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return split
 
 
-def _encode_words(ranks: dict[bytes, int], pattern: str) -> Callable:
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+def _pack(batch: pa.RecordBatch) -> bytes:
+    """A record batch as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return zstandard.ZstdCompressor(6).compress(sink.getvalue().to_pybytes())
+
+
+def _unpack(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` bytes (one row of any size at least), in the order of the rows."""
+    held, size = [], 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            held.append(part)
+            size += int(np.diff(utf8_buffers(part.column(1))[1]).sum())
+            if size >= most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
-        bpe = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        for b in batches:
-            words = b.column(0)
-            ids = [np.array(bpe.encode_ordinary(w), np.int32).tobytes() for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], names=["word", "ids"])
 
-    return encode
+def _name_of(chunk: pa.RecordBatch) -> int:
+    digest = hashlib.blake2b(repr(chunk.column(0).to_pylist()).encode(), digest_size=8)
+    for raw in utf8_buffers(chunk.column(1)):
+        digest.update(raw.tobytes())
+    return int.from_bytes(digest.digest(), "little", signed=True)
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -92,51 +119,86 @@ def encode_decode(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     chunks = int(total // chunk_bytes) + 1
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
-
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(pattern), {}
-        for b in batches:
-            for chunk, text in zip(b.column(2).to_pylist(), (t.as_py() for t in b.column(1)), strict=True):
-                seen.setdefault(chunk, set()).update(split(text))
-        for chunk, words in seen.items():
-            column = pa.array(words, pa.string())
-            for i in range(0, len(column), 50_000):
-                part = column.slice(i, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int32)), part], names=["chunk", "word"])
-
-    # Both uses of ``needed`` read one exchange by word; min(chunk) keeps their columns, and so the exchanges, equal.
-    needed = dealt.mapInArrow(distinct_words, "chunk int, word string").repartition("word")
-    distinct = needed.groupBy("word").agg(F.min("chunk").alias("chunk"))
-    encoded = distinct.mapInArrow(_encode_words(ranks, pattern), "word string, ids binary")
-    dictionary = needed.join(encoded, "word").select("chunk", "word", "ids")
+
+    def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _chunks(batches, chunk_bytes):
+            yield pa.RecordBatch.from_pydict({"chunk": [_name_of(c)], "texts": [_pack(c)]})
+
+    def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = splitter(pattern)
+        for c in _chunks(batches, chunk_bytes):
+            words: set[str] = set()
+            for t in c.column(1):
+                words.update(split(t.as_py()))
+            dealt: list[list[str]] = [[] for _ in range(chunks)]
+            for w in words:
+                dealt[zlib.crc32(w.encode("utf-8", "surrogatepass")) % chunks].append(w)
+            for bucket, part in enumerate(dealt):
+                if part:
+                    blob = _pack(pa.RecordBatch.from_pydict({"word": pa.array(sorted(part), pa.string())}))
+                    yield pa.RecordBatch.from_pydict({"chunk": [_name_of(c)], "bucket": pa.array([bucket], pa.int32()), "words": [blob]})
+
+    def encode_bucket(group: pa.Table) -> pa.Table:
+        import tiktoken
+
+        bpe = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        known: dict[str, bytes] = {}
+        out: dict[int, bytes] = {}
+        for chunk, blob in zip(group.column("chunk").to_pylist(), group.column("words").to_pylist(), strict=True):
+            if chunk in out:
+                continue
+            words = _unpack(blob).column(0)
+            got = []
+            for w in words.to_pylist():
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = np.array(bpe.encode_ordinary(w), np.int32).tobytes()
+                got.append(ids)
+            out[chunk] = _pack(pa.RecordBatch.from_pydict({"word": words, "ids": pa.array(got, pa.binary())}))
+        return pa.table({"chunk": pa.array(list(out), pa.int64()), "words": pa.array(list(out.values()), pa.binary())})
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         split = splitter(pattern)
         flat, start, length = token_bytes(ranks)
-        place = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        raw, off = utf8_buffers(right.column("ids"))
+        entries = [_unpack(x.as_py()) for x in right.column("words")]
+        place: dict[str, int] = {}
+        for e in entries:
+            for w in e.column(0).to_pylist():
+                place[w] = len(place)
+        raw, off = utf8_buffers(pa.chunked_array([e.column(1) for e in entries], pa.binary()))
         pool, first, count = raw.view(np.int32) if len(raw) else np.zeros(0, np.int32), off[:-1] // 4, np.diff(off) // 4
         out = []
-        for b in left.to_batches(max_chunksize=256):
-            slots = [np.fromiter(map(place.__getitem__, split(t.as_py())), np.int64) for t in b.column(1)]
-            each = np.array([len(s) for s in slots], np.int64)
-            all_slots = np.concatenate(slots) if slots else np.zeros(0, np.int64)
-            sizes = count[all_slots] if len(all_slots) else np.zeros(0, np.int64)
-            ids = pool[_ragged(first[all_slots], sizes)] if len(all_slots) else np.zeros(0, np.int32)
-            token_ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(each)])]
-            data = flat[_ragged(start[ids], length[ids])] if len(ids) else np.zeros(0, np.uint8)
-            byte_ends = np.concatenate([[0], np.cumsum(length[ids])])[token_ends]
-            decoded = pa.Array.from_buffers(
-                pa.binary(), b.num_rows, [None, pa.py_buffer(byte_ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
-            )
-            lists = pa.ListArray.from_arrays(pa.array(token_ends.astype(np.int32)), pa.array(ids, pa.int32()))
-            out.append(pa.RecordBatch.from_arrays([b.column(0), lists, decoded], names=[id_col, "ids", "decoded"]))
-        return pa.Table.from_batches(out) if out else pa.table({id_col: left.column("id").slice(0, 0), "ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.binary())})
+        for blob in left.column("texts"):
+            packed = _unpack(blob.as_py())
+            for i in range(0, packed.num_rows, 256):
+                b = packed.slice(i, 256)
+                slots = [np.fromiter(map(place.__getitem__, split(t.as_py())), np.int64) for t in b.column(1)]
+                each = np.array([len(s) for s in slots], np.int64)
+                every = np.concatenate(slots)
+                sizes = count[every]
+                ids = pool[_ragged(first[every], sizes)]
+                token_ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(each)])]
+                data = flat[_ragged(start[ids], length[ids])]
+                byte_ends = np.concatenate([[0], np.cumsum(length[ids])])[token_ends]
+                decoded = pa.Array.from_buffers(
+                    pa.binary(), b.num_rows, [None, pa.py_buffer(byte_ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
+                )
+                lists = pa.ListArray.from_arrays(pa.array(token_ends.astype(np.int32)), pa.array(ids, pa.int32()))
+                out.append(pa.RecordBatch.from_arrays([b.column(0), lists, decoded], names=[id_col, "ids", "decoded"]))
+        if not out:
+            raise RuntimeError("a dictionary without its chunk of texts: the source changed between two readings")
+        return pa.Table.from_batches(out)
 
     kind = rows.schema["id"].dataType.simpleString()
+    dictionary = (
+        rows.mapInArrow(pack_words, "chunk long, bucket int, words binary")
+        .repartition("bucket")
+        .groupBy("bucket")
+        .applyInArrow(encode_bucket, "chunk long, words binary")
+    )
     return (
-        dealt.groupBy("chunk")
+        rows.mapInArrow(pack_texts, "chunk long, texts binary")
+        .groupBy("chunk")
         .cogroup(dictionary.groupBy("chunk"))
         .applyInArrow(reassemble, f"`{id_col}` {kind}, ids array<int>, decoded binary")
     )
