@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, shards, tokens, vectors
+from . import language, shards, tokens, toxicity, vectors
 from .common import crc_mod, table
 
 
@@ -16,6 +16,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, net, keep=[held])
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5)
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels").filter(fold != 0))
+    scored = toxicity.score_toxicity(docs, model, keep=[F.coalesce(fold == 0, F.lit(False)).alias("held_out")])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +50,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op5_toxicity": op5_toxicity,
     "op8_bpe": op8_bpe,
     "op9_top_k": op9_top_k,
     "op10_shards": op10_shards,
