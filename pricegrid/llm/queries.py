@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, shards, tokens, toxicity, vectors
+from . import decontaminate, language, secrets, shards, tokens, toxicity, vectors
 from .common import crc_mod, table
 
 
@@ -23,6 +23,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["ord"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_list(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +66,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_top_k": op9_top_k,
