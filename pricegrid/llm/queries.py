@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, secrets, shards, tokens, toxicity, vectors
+from . import decontaminate, language, pii, secrets, shards, tokens, toxicity, vectors
 from .common import crc_mod, table
 
 
@@ -16,6 +16,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, net, keep=[held])
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.span_list(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5)
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels").filter(fold != 0))
@@ -65,6 +76,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
