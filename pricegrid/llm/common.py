@@ -70,3 +70,32 @@ def texts(batch: pa.RecordBatch, column: str, rows: int = 256) -> Iterator[tuple
     col = batch.column(batch.schema.get_field_index(column))
     for i in range(0, batch.num_rows, rows):
         yield i, [t or "" for t in col.slice(i, rows).to_pylist()]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, y) of about ``per_class`` labelled documents of each label 0 and 1, and the number of all label rows by label.
+
+    Rows are taken by a hash of the id; the sample of labels, 4 * per_class rows at most, is broadcast, so that
+    no text is shuffled.
+    """
+    usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(0)
+    for y, n in counts.items():
+        share = F.when(F.col("y") == y, F.lit(min(1_000_000, 1_000_000 * per_class // n))).otherwise(share)
+    picked = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(4 * per_class)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    return rows.join(F.broadcast(picked), "id").select("text", "y"), counts
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Newton's method; the first column is the intercept and is not shrunk."""
+    b, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    penalty[0] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * b)
+        b = b + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return b

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, pii, secrets, shards, tokens, toxicity, vectors
+from . import decontaminate, language, pii, quality, secrets, shards, tokens, toxicity, vectors
 from .common import crc_mod, table
 
 
@@ -27,6 +27,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5)
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels").filter(fold != 0))
+    scored = quality.score_quality(docs, model, host=F.col("source"), path=F.col("lang"))
+    return scored.withColumn("keep", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5)
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels").filter(fold != 0))
@@ -77,6 +84,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
+    "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
