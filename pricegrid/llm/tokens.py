@@ -87,20 +87,17 @@ def _name_of(chunk: pa.RecordBatch) -> int:
     return int.from_bytes(digest.digest(), "little", signed=True)
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices start, start + 1, ... of each run, one run after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
-def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The token-byte table: all bytes, and start and length by id."""
-    size = max(ranks.values(), default=-1) + 1
-    table = [b""] * size
+def token_bytes(ranks: dict[bytes, int]) -> pa.Array:
+    """The token-byte table, by id."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    length = np.array([len(t) for t in table], np.int64)
-    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(length) - length, length
+    return pa.array(table, pa.binary())
+
+
+def _take(table: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the picked entries one after the other, and their offsets."""
+    return utf8_buffers(table.take(pa.array(at)))
 
 
 def encode_decode(
@@ -159,14 +156,13 @@ def encode_decode(
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         split = splitter(pattern)
-        flat, start, length = token_bytes(ranks)
+        table = token_bytes(ranks)
         entries = [_unpack(x.as_py()) for x in right.column("words")]
         place: dict[str, int] = {}
         for e in entries:
             for w in e.column(0).to_pylist():
                 place[w] = len(place)
-        raw, off = utf8_buffers(pa.chunked_array([e.column(1) for e in entries], pa.binary()))
-        pool, first, count = raw.view(np.int32) if len(raw) else np.zeros(0, np.int32), off[:-1] // 4, np.diff(off) // 4
+        dictionary = pa.concat_arrays([e.column(1) for e in entries]) if entries else pa.array([], pa.binary())
         out = []
         for blob in left.column("texts"):
             packed = _unpack(blob.as_py())
@@ -174,14 +170,12 @@ def encode_decode(
                 b = packed.slice(i, 256)
                 slots = [np.fromiter(map(place.__getitem__, split(t.as_py())), np.int64) for t in b.column(1)]
                 each = np.array([len(s) for s in slots], np.int64)
-                every = np.concatenate(slots)
-                sizes = count[every]
-                ids = pool[_ragged(first[every], sizes)]
-                token_ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(each)])]
-                data = flat[_ragged(start[ids], length[ids])]
-                byte_ends = np.concatenate([[0], np.cumsum(length[ids])])[token_ends]
+                packed_ids, id_ends = _take(dictionary, np.concatenate(slots))
+                token_ends = id_ends[np.concatenate([[0], np.cumsum(each)])] // 4
+                ids = packed_ids.view(np.int32)
+                data, ends = _take(table, ids)
                 decoded = pa.Array.from_buffers(
-                    pa.binary(), b.num_rows, [None, pa.py_buffer(byte_ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
+                    pa.binary(), b.num_rows, [None, pa.py_buffer(ends[token_ends].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
                 )
                 lists = pa.ListArray.from_arrays(pa.array(token_ends.astype(np.int32)), pa.array(ids, pa.int32()))
                 out.append(pa.RecordBatch.from_arrays([b.column(0), lists, decoded], names=[id_col, "ids", "decoded"]))
