@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, pii, quality, secrets, shards, tokens, toxicity, vectors
+from . import decontaminate, jaccard, language, pii, quality, secrets, shards, tokens, toxicity, vectors
 from .common import crc_mod, table
 
 
@@ -27,6 +27,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5)
     model = quality.train_quality(docs, table(spark, sf_dir, "labels").filter(fold != 0))
@@ -84,6 +88,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
+    "op3_jaccard": op3_jaccard,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
