@@ -258,3 +258,12 @@ def _blocks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = j
+
+
+def keep_identified(docs: DataFrame, net: ByteConvNet, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language isn't known (``und``) or whose best language has a lower score; columns as they were."""
+    names = docs.columns
+    row = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    scored = identify_language(row, net, "id", "text", keep=[f"c{i}" for i in range(len(names))])
+    kept = scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
