@@ -260,7 +260,7 @@ def _blocks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def keep_identified(docs: DataFrame, net: ByteConvNet, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, net: ByteConvNet, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
     """``docs`` without the rows whose language isn't known (``und``) or whose best language has a lower score; columns as they were."""
     names = docs.columns
     row = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
