@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import market
+
+QUERIES: dict = {**market.QUERIES}
+ORACLE_SQL: dict[str, str] = {**market.ORACLE_SQL}
