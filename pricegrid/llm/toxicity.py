@@ -7,7 +7,7 @@ document's evidence is the summed weight of its hits, its density the evidence o
 logistic curve over both gives the score.
 
 Lexicon, exceptions and curve are learned from labelled rows, at most ``per_class`` documents of each label
-(a bounded sample, by a hash of the text); scoring reads every text in full.
+(a bounded sample, by a hash of the id); scoring reads every text in full.
 
 Defined results: null and empty texts have no evidence and get the score of an empty text; with no labelled
 row of both kinds every score is 0; repeated rows are scored one by one; extra columns are ignored unless
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import fit_logistic, labelled_sample, texts
 
 # Letters that look like Latin ones, and digits or signs that stand for letters inside words.
 HOMOGLYPHS = dict(zip("авеикмнорстухіјѕԁɡαβεικνορτυχ", "abeukmhopctyxijsdgabeiknoptux", strict=True))
@@ -121,28 +121,6 @@ def _design(rows: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(rows)), np.log1p(rows[:, 0]), np.log1p(rows[:, 1]), rows[:, 2] / 5])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Newton's method; the first column is the intercept and is not shrunk."""
-    b, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[0] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * b)
-        b = b + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return b
-
-
-def _bounded(labelled: DataFrame, text_col: str, label_col: str, per_class: int) -> DataFrame:
-    """At most about ``per_class`` rows of each label, taken by a hash of the text."""
-    counts = {r["y"]: r["n"] for r in labelled.groupBy(F.col(label_col).alias("y")).agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
-    for y, n in counts.items():
-        share = F.when(F.col(label_col) == y, F.lit(min(1_000_000, 1_000_000 * per_class // n))).otherwise(share)
-    return labelled.filter(F.pmod(F.xxhash64(F.col(text_col)), F.lit(1_000_000)) < share)
-
-
 def train_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -155,10 +133,7 @@ def train_toxicity(
     min_z: float = 6.0,
 ) -> ToxicityModel:
     """Learn a model from ``labels`` (id, label 0/1) and their texts."""
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")), "id"
-    )
-    sample = _bounded(joined.filter(F.col("text").isNotNull()).select("text", "y"), "text", "y", per_class)
+    sample, true = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
     sample = sample.persist()
     try:
         size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -239,7 +214,6 @@ def train_toxicity(
         y, x = rows[:, 0], _design(rows[:, 1:])
         model.coefficients = fit_logistic(x, y)
         # the sample balances the labels; move the intercept to the labels' true odds
-        true = {r["y"]: r["n"] for r in joined.groupBy("y").agg(F.count("*").alias("n")).collect()}
         model.coefficients[0] += np.log(true[1] / true[0]) - np.log(n1 / n0)
         return model
     finally:
