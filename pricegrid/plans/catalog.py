@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import market
+from . import market, research
 
-QUERIES: dict = {**market.QUERIES}
-ORACLE_SQL: dict[str, str] = {**market.ORACLE_SQL}
+# the modules share one register
+assert research.query is market.query
+QUERIES: dict = market.QUERIES
+ORACLE_SQL: dict[str, str] = market.ORACLE_SQL
