@@ -113,5 +113,7 @@ mat AS (
 )
 
 
-def sql(pieces: str, select: str) -> str:
-    return f"WITH RECURSIVE {pieces}\n{select}"
+def sql(pieces: str, *more: str) -> str:
+    """The named subqueries and, last, the SELECT; a piece that goes on with a comma continues the list."""
+    *rest, select = more
+    return f"WITH RECURSIVE {pieces}{''.join(rest)}\n{select}"
