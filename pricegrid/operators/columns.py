@@ -39,7 +39,8 @@ def atr_box(
         .when(rounded <= 0, "quantized_to_min")
         .otherwise("atr")
     )
-    return sized.select(*events.columns, F.coalesce(held, F.lit(fixed)).alias("box"), reason.alias("reason"))
+    kept = [c for c in events.columns if c not in ("box", "reason")]
+    return sized.select(*kept, F.coalesce(held, F.lit(fixed)).alias("box"), reason.alias("reason"))
 
 
 class ColumnFold:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market, operations, research
+from . import decisions, market, operations, research
 
 # the modules share one register
-assert research.query is operations.query is market.query
+assert decisions.query is research.query is operations.query is market.query
 QUERIES: dict = market.QUERIES
 ORACLE_SQL: dict[str, str] = market.ORACLE_SQL
