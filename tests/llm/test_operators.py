@@ -1,0 +1,408 @@
+"""Each text operator against brute force, and its defined results for odd inputs."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from pricegrid.llm import decontaminate, jaccard, language, pii, quality, secrets, shards, tokens, toxicity, vectors
+
+ODD = [(1, None, None, "x"), (2, "", "en", "x"), (3, "  \n\t ", "en", "x"), (4, "12345 !!", None, None), (5, "the same text again and again", "en", "y"), (5, "the same text again and again", "en", "y"),
+       (None, "an orphan with naïve 🎉 letters", "en", "z"), (7, "x" * 50_000, "en", "x"), (8, "word " * 20_000, "en", None)]
+#: clashing names on purpose
+SCHEMA = "doc_id long, text string, lang string, source string, score string, row string, id string, base string, words string, n int, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, "s", "r", "i", "b", "w", 3, 4) for r in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet")
+
+
+# language
+
+
+def test_language_of_held_out_texts(spark, docs):
+    known = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
+    net = language.train_language_model(docs.filter(known))
+    out = language.identify_language(docs.filter(~known), net, keep=["lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.95 * len(out)
+    assert all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_language_of_odd_rows(odd, none):
+    net = language.train_language_model(odd)
+    out = language.identify_language(odd, net).collect()
+    assert len(out) == len(ODD)
+    assert {r["doc_id"]: r["lang_pred"] for r in out if r["doc_id"] in (1, 2, 3, 4)} == {i: "und" for i in (1, 2, 3, 4)}
+    assert language.identify_language(none, net).count() == 0
+    empty = language.train_language_model(none)
+    assert {r["lang_pred"] for r in language.identify_language(odd, empty).collect()} == {"und"}
+    kept = language.keep_identified(odd, net, min_score=0.0)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {5, None, 7, 8}
+
+
+# personal data
+
+PII_TEXTS = ["write a.b+c@mail.example.com, or a@b or @x.y 1.2.3.4 and 1.2.3.256 1.2.3.4.5", "card 4111 1111 1111 1111 x 4111111111111112 +1 (555) 123-4567.", "+12 +1-2-3-4-5-6-7-8-9-0", "", None, "a@b.c.d@e.f 0.0.0.0.0.0.0.0",
+             "9" * 5000 + "@" * 300, "+" * 300 + "1 " * 400, "é1@é.é à@b.cd"]
+
+
+def brute_pii(t):
+    t = t or ""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(x):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(x))) % 10 == 0
+
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(2, m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    out += [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m.group())) <= 15]
+    return out
+
+
+def test_base_spans():
+    rnd = random.Random(3)
+    texts = PII_TEXTS + ["".join(rnd.choice("ab1.@+- ()") for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
+    for t in texts:
+        assert pii.base_spans(t or "") == brute_pii(t), t
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    rows = [(i, f"text{i} please contact user{i}@mail.example.com today ok") for i in range(20)] + [(300, "word please contact joe.at.home99 today ok"), (301, "no such context joe.at.home99")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (100_000, 0):
+        got = {r["doc_id"]: [tuple(s) for s in r["added"]] for r in pii.find_personal_data(df, few=few).collect()}
+        assert got.pop(300) == [(0, 20, 33)]
+        assert not any(got.values())
+
+
+def test_personal_data_of_odd_rows(odd, none):
+    out = pii.find_personal_data(odd).collect()
+    assert len(out) == len(ODD) and all(not r["base"] for r in out)
+    assert pii.find_personal_data(none).count() == 0
+    masked = pii.mask_personal_data(odd)
+    assert masked.columns == odd.columns and masked.exceptAll(odd).count() == 0
+
+
+def test_masking(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd from 1.2.3.4!"), (2, None)], "doc_id long, text string")
+    assert [r["text"] for r in pii.mask_personal_data(df).orderBy("doc_id").collect()] == ["mail [EMAIL] from [IP]!", None]
+
+
+# shingle sets
+
+
+def sets_of(texts, words=5):
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        out.append(frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset())
+    return out
+
+
+def brute_components(rows):
+    sets = sets_of([t for _, t in rows])
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def near_copies(seed):
+    """Chains and stars of copies near the threshold, exact copies, shared passages and short texts."""
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage, rows = [rnd.choice(vocabulary) for _ in range(60)], []
+    for _ in range(25):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.choice((3, 5, 9, 40, 80)))] + (passage if rnd.random() < 0.4 else [])
+        for _ in range(rnd.choice((1, 1, 2, 8))):
+            copy = list(base)
+            for _ in range(rnd.choice((0, 0, 1, 2, 3))):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
+            rows.append(" ".join(copy).title() if rnd.random() < 0.2 else "\t".join(copy))
+            if rnd.random() < 0.5:
+                base = copy
+    rows += ["", None, "one", "one", "one two", "One  two\n"]
+    rnd.shuffle(rows)
+    return [(i * 3 + 1, t) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    rows = near_copies(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == sorted(brute_components(rows))
+
+
+def test_one_of_each_group_stays(spark):
+    rows = near_copies(4)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")
+    left = jaccard.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    want = sorted(d for d, n, c in brute_components(rows) if n == 0 or d == c)
+    assert sorted(r["doc_id"] for r in left.collect()) == want
+
+
+def test_sets_of_odd_rows(odd, none):
+    out = jaccard.jaccard_components(odd).collect()
+    assert len(out) == len(ODD)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out if r["doc_id"] in (1, 2, 3)} == {(i, 0, i) for i in (1, 2, 3)}
+    assert jaccard.jaccard_components(none).count() == 0
+    left = jaccard.drop_near_duplicates(odd)
+    assert left.columns == odd.columns and left.count() == len(ODD) - 1
+    assert jaccard.drop_near_duplicates(none).count() == 0
+
+
+# quality
+
+
+def test_quality(spark, small, docs):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    model = quality.train_quality(docs, labels)
+    out = quality.score_quality(docs, model, F.col("source"), F.col("lang")).join(labels, "doc_id").collect()
+    assert sum((r["score"] >= 0.5) == (r["quality"] == 1) for r in out) >= 0.95 * len(out)
+
+
+def test_sites_shrink(spark):
+    rows = [(i, "text", "big", "a") for i in range(50)] + [(100, "text", "tiny", "b"), (101, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    out = quality.score_quality(df, None, F.col("host"), F.col("path")).collect()
+    assert len(out) == 52 and all(abs(r["site_score"] - 0.5) < 1e-9 and abs(r["score"] - 0.5) < 1e-9 for r in out)
+
+
+def test_quality_of_odd_rows(odd, none):
+    assert quality.score_quality(odd, None, F.col("source"), F.col("lang")).count() == len(ODD)
+    assert quality.score_quality(none, None, F.col("source"), F.col("lang")).count() == 0
+    assert quality.train_quality(none, none.select("doc_id", F.lit(1).alias("quality"))) is None
+
+
+# toxicity
+
+
+def test_folding():
+    assert toxicity.fold("1d10t M0R0N ídïot trаsh$$$ 5tupid 12345") == "idiot moron idiot trash$$$ stupid 12345"
+    assert len(toxicity.fold("ﬁ İ ß 🎉")) == len("ﬁ İ ß 🎉")
+
+
+def test_toxicity(spark):
+    rnd = random.Random(1)
+    words = [f"w{i}" for i in range(50)]
+    rows, labels = [], []
+    for i in range(400):
+        w, bad = [rnd.choice(words) for _ in range(40)], i % 2
+        for _ in range(4 * bad):
+            w[rnd.randrange(40)] = rnd.choice(["vile", "nasty"])
+        if not bad and i % 4 == 0:
+            w[rnd.randrange(39)] = "nasty habit"
+        rows.append((i, " ".join(w)))
+        labels.append((i, bad))
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train_toxicity(d, y)
+    out = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(d, model).collect()}
+    assert all((out[i] >= 0.5) == bool(bad) for i, bad in labels)
+    tried = spark.createDataFrame([(1, "w1 v1le w2 n4sty " + "w3 " * 20), (2, None), (3, "")], "doc_id long, text string")
+    assert [r["score"] >= 0.5 for r in toxicity.score_toxicity(tried, model).orderBy("doc_id").collect()] == [True, False, False]
+
+
+def test_toxicity_of_odd_rows(odd, none):
+    model = toxicity.train_toxicity(none, none.select("doc_id", F.lit(1).alias("toxic")))
+    assert {r["score"] for r in toxicity.score_toxicity(odd, model).collect()} == {0.0}
+    assert toxicity.score_toxicity(none, model).count() == 0
+
+
+# secrets
+
+
+def brute_secrets(t):
+    t = t or ""
+    a = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [(m.start(), 0, m.end()) for m in a.finditer(t) if len(m.group(2)) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 16]
+    return sorted(out)
+
+
+def test_secrets(spark):
+    rnd = random.Random(2)
+    bits = ["token", "PassWord", "api_key", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEF0123456789XY", "deadbeef0123456789", "x.y-z", "é🎉", "AKIAAKIA", "abc"]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25)))) for i in range(1500)] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["ord"], s["end"]) for s in r["base"]] for r in secrets.find_secrets(df).collect()}
+    for i, t in rows:
+        assert got[i] == brute_secrets(t), t
+
+
+def test_entropy(spark):
+    def entropy(s, w):
+        w = min(w, len(s))
+        return max(-sum(c / w * math.log2(c / w) for c in collections.Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1))
+
+    rnd = random.Random(4)
+    values = ["".join(rnd.choice("abc123XYZ+/") for _ in range(rnd.randint(20, 60))) for _ in range(50)]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for r in df.select("v", secrets.best_window_entropy(F.col("v"), 20).alias("e")).collect():
+        assert abs(r["e"] - entropy(r["v"], 20)) < 1e-9
+    found = spark.createDataFrame([(1, "key ghp_x9Kq2LmZ7vTr4WnB8sYc3D here"), (2, "see zzexample9Kq2LmZ7vTr4WnB8sY"), (3, "aaaaaaaaaaaaaaaaaaaa1111111111111111")], "doc_id long, text string")
+    assert {r["doc_id"]: len(r["added"]) for r in secrets.find_secrets(found).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_secrets_of_odd_rows(odd, none):
+    out = secrets.find_secrets(odd).collect()
+    assert len(out) == len(ODD) and not any(r["base"] or r["added"] for r in out)
+    assert secrets.find_secrets(none).count() == 0
+
+
+# decontamination
+
+
+def semiglobal(p, t):
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p):
+        last, row = row, [i + 1]
+        for j, d in enumerate(t):
+            row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+    return min(row)
+
+
+def test_bit_parallel_distance():
+    rnd = random.Random(6)
+    for _ in range(400):
+        p, t = ("".join(rnd.choice("abc") for _ in range(rnd.randint(1, n))) for n in (12, 30))
+        s = decontaminate.Segment(0, p, len(p))
+        assert decontaminate.best_distance(s.masks(), len(p), t, len(p))[0] == semiglobal(p, t)
+
+
+def test_benchmark_hits(spark):
+    rnd = random.Random(7)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    items = [(i, text(30)) for i in range(6)] + [(6, None), (7, "!!"), (8, "abc")]
+    rows = []
+    for i in range(60):
+        body, planted = text(50), None
+        if i % 3 == 0:
+            planted = list(items[i % 6][1].upper())
+            for _ in range(i % 5):
+                planted[rnd.randrange(len(planted))] = rnd.choice(("x", "", "yy"))
+            body = f"{body}\n%%% {''.join(planted)}; {text(20)}"
+        rows.append((i, body))
+    rows += [(100, None), (101, ""), (102, "xabcx"), (103, "x abc x")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.benchmark_hits(d, b, slice_bytes=200).collect()}
+    want = set()
+    for i, t in rows:
+        for k, item in items:
+            for s in decontaminate.segments(k, item, 160, 0.08):
+                n = decontaminate.normalise(t or "")
+                near = s.budget and semiglobal(s.text, n) <= s.budget
+                if n and (near or (not s.budget and f" {s.text} " in f" {n} ")):
+                    want.add((i, k))
+    assert got == want and len(want) >= 20
+    left = decontaminate.drop_contaminated(d, b, slice_bytes=200)
+    assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def test_benchmark_odd(spark, odd, none):
+    b = spark.createDataFrame([(1, "the same text again"), (None, "x"), (2, None)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.benchmark_hits(odd, b).collect()} == {5}
+    assert decontaminate.benchmark_hits(none, b).count() == 0
+    assert decontaminate.benchmark_hits(odd, b.limit(0)).count() == 0
+    assert decontaminate.drop_contaminated(odd, b).count() == len(ODD) - 2
+
+
+# tokens
+
+
+def test_tokens(spark, docs, odd, none):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    bpe = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    mixed = docs.select("doc_id", "text").limit(60).unionByName(odd.select("doc_id", "text")).unionByName(
+        spark.createDataFrame([(900, "日本語 тест ²³ 'll don't\x1c\x85 a​b"), (901, "\r\n\r\n  x  ")], "doc_id long, text string")
+    )
+    rows = mixed.collect()
+    got = collections.Counter((r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in tokens.encode_decode(spark.createDataFrame(rows, mixed.schema), path, public_tokenizers.PATTERN, chunk_bytes=20_000).collect())
+    assert got == collections.Counter((r["doc_id"], tuple(bpe.encode_ordinary(r["text"] or "")), (r["text"] or "").encode()) for r in rows)
+    assert tokens.encode_decode(none, path, public_tokenizers.PATTERN).count() == 0
+
+
+# vectors
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 330)]
+    rows += [(350, [0.5] * 8), (350, [0.5] * 8), (400, None), (450, [0.1, None]), (451, [float("nan")] * 8), (452, [float("inf")] * 8), (None, [9.0] * 8), (453, []), (454, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter(map(tuple, vectors.exact_top_k(df, F.col("vec_id") % 50 == 0, group_rows=100, batch_rows=3).collect()))
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = collections.Counter()
+    for at, (q, v) in enumerate(usable):
+        if q % 50 == 0:
+            ranked = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for k, (i, w) in enumerate(usable) if k != at)[:5]
+            want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(ranked))
+    assert got == want
+    assert vectors.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert vectors.exact_top_k(df.filter("vec_id in (50, 51)"), F.col("vec_id") % 50 == 0).count() == 1
+
+
+# shards
+
+
+def test_shards(spark, docs, odd, none):
+    out = sorted(map(tuple, shards.shard_by_bytes(docs).collect()), key=lambda r: r[0])
+    size = sum(r[1] for r in out)
+    for k in range(8):
+        own = [r for r in out if r[3] == k]
+        assert [r[4] for r in own] == list(range(len(own)))
+        assert abs(sum(r[1] for r in own) - size / 8) <= max(r[1] for r in out)
+    assert [r[3] for r in out] == sorted(r[3] for r in out)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r[1] == len(text[r[0]].encode()) + 1 and r[2] == zlib.crc32(text[r[0]].encode()) for r in out)
+    rows = shards.shard_by_bytes(odd, 3).collect()
+    assert len(rows) == len(ODD) and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {1}
+    assert shards.shard_by_bytes(none).count() == 0
+
+
+def test_hashes_do_not_depend_on_blocks():
+    data = ["a b c d e f", "", "x", "a b c d e f g " * 50]
+    raw = "".join(data).encode()
+    offsets = np.cumsum([0, *(len(d.encode()) for d in data)])
+    hashes, at = jaccard.shingle_sets(np.frombuffer(raw, np.uint8), offsets, 5)
+    for i, d in enumerate(data):
+        alone, _ = jaccard.shingle_sets(np.frombuffer(d.encode(), np.uint8), np.array([0, len(d.encode())]), 5)
+        assert hashes[at[i] : at[i + 1]].tolist() == alone.tolist()
+    assert hashlib.sha256(hashes.tobytes()).hexdigest() == hashlib.sha256(np.array(hashes).tobytes()).hexdigest()
