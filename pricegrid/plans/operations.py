@@ -9,6 +9,7 @@ from ..functions.joins import range_join
 from ..functions.scaled import micros
 from ..operators import gates as G
 from ..operators import ledgers as L
+from ..operators import lifecycle as P
 from ..operators import structure as S
 from ..sources.events import price_events, table
 from .market import KEY, moves, query
@@ -390,3 +391,83 @@ def instrument_resolution(spark, sf_dir):
 def excerpts(spark, sf_dir):
     s = F.expr("repeat(concat(p_name, ' '), p_size)")
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.length(s) <= 280, s).otherwise(F.concat(F.substring(s, 1, 277), F.lit("..."))).alias("excerpt"))
+
+
+# positions under exit decisions, paper fills, lifecycles, freshness
+
+EXITS = """
+x AS (SELECT o_orderkey AS k, ['OPEN', 'MANAGING', 'EXIT_PENDING', 'OPEN'][o_orderkey % 4 + 1] AS state, CASE WHEN o_orderkey % 2 = 0 THEN 'long' ELSE 'short' END AS side, o_custkey % 10 + 1 AS quantity, CAST(1000 AS BIGINT) AS stop,
+        ['HOLD', 'TIGHTEN', 'PARTIAL_CLOSE', 'CLOSE'][o_orderkey // 4 % 4 + 1] AS action, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 990 + o_orderkey % 20 END AS new_stop, o_orderkey % 6 + 1 AS reduce_by FROM orders),
+y AS (SELECT *, CASE WHEN action = 'HOLD' THEN NULL WHEN action = 'TIGHTEN' AND state NOT IN ('OPEN', 'MANAGING') THEN 'tighten_requires_open_or_managing_position'
+        WHEN action = 'TIGHTEN' AND NOT coalesce(CASE side WHEN 'long' THEN new_stop > stop ELSE new_stop < stop END, false) THEN 'protection_must_only_tighten'
+        WHEN action = 'PARTIAL_CLOSE' AND quantity <= reduce_by THEN 'partial_close_must_leave_residual_quantity' WHEN action IN ('PARTIAL_CLOSE', 'CLOSE') AND state NOT IN ('OPEN', 'MANAGING') THEN 'transition_not_allowed' END AS reason FROM x)"""
+
+
+@query(
+    sql(
+        EXITS,
+        """SELECT k, CASE WHEN reason IS NULL AND action = 'PARTIAL_CLOSE' THEN 'MANAGING' WHEN reason IS NULL AND action = 'CLOSE' THEN 'EXIT_PENDING' ELSE state END AS state,
+          CASE WHEN reason IS NULL AND action = 'PARTIAL_CLOSE' THEN quantity - reduce_by WHEN reason IS NULL AND action = 'CLOSE' THEN 0 ELSE quantity END AS quantity,
+          CASE WHEN reason IS NULL AND action = 'TIGHTEN' THEN new_stop ELSE stop END AS stop, reason FROM y""",
+    )
+)
+def exit_decisions(spark, sf_dir):
+    k = F.col("o_orderkey")
+
+    def pick(i, *values):
+        return F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("k"), pick(k % 4, "OPEN", "MANAGING", "EXIT_PENDING", "OPEN").alias("state"), F.when(k % 2 == 0, "long").otherwise("short").alias("side"), (F.col("o_custkey") % 10 + 1).alias("quantity"),
+        F.lit(1000).cast("long").alias("stop"), pick(F.call_function("div", k, F.lit(4)) % 4, "HOLD", "TIGHTEN", "PARTIAL_CLOSE", "CLOSE").alias("action"),
+        F.when(k % 7 != 0, k % 20 + 990).alias("new_stop"), (k % 6 + 1).alias("reduce_by"),
+    )
+    return P.apply_exit(rows).select("k", "state", "quantity", "stop", "reason")
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, p + CASE WHEN buys THEN 5 ELSE -5 END AS fill_price, q * 2 AS fee, CASE WHEN buys THEN -(p + 5) * q ELSE (p - 5) * q END - q * 2 AS cash FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS p, CAST(l_quantity AS BIGINT) AS q, l_returnflag = 'N' AS buys FROM lineitem)")
+def paper_fills(spark, sf_dir):
+    side = F.when(F.col("l_returnflag") == "N", "long").otherwise("short")
+    fill = P.paper_fill(F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_quantity").cast("long"), side, 5, 2)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fill.alias("f")).select("l_orderkey", "l_linenumber", "l_partkey", "f.*")
+
+
+@query("SELECT o_orderkey AS k, ['DISABLED', 'SHADOW', 'ACTIVE'][least(o_orderkey % 3, o_custkey % 3, o_orderkey // 3 % 3) + 1] AS lifecycle FROM orders")
+def feature_lifecycle(spark, sf_dir):
+    def level(i):
+        return F.element_at(F.array(*map(F.lit, P.LIFECYCLE)), (i % 3 + 1).cast("int"))
+
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("k"), P.effective_lifecycle(level(k), level(F.col("o_custkey")), level(F.call_function("div", k, F.lit(3)))).alias("lifecycle"))
+
+
+@query(sql(EVENTS, "SELECT symbol, source_sequence, CASE WHEN a < -5000000 THEN 'clock_skew' WHEN a > 10000000 THEN 'stale' ELSE 'live' END AS freshness FROM (SELECT *, source_sequence % 50 * 500000 - 8000000 AS a FROM ev) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) <= 240"))
+def quote_freshness(spark, sf_dir):
+    """The last 240 quotes of each symbol (a bounded history is the feature)."""
+    age = F.col("source_sequence") % 50 * 500_000 - 8_000_000
+    nth = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("seq")))
+    return price_events(spark, sf_dir).withColumn("nth", nth).filter("nth <= 240").select("symbol", "source_sequence", P.quote_freshness(age).alias("freshness"))
+
+
+@query(
+    sql(
+        CASES,
+        """SELECT k, CASE WHEN recon = 'SYNCHRONIZED' AND k % 4 = 0 THEN 'NOT_NEEDED' WHEN k % 5 = 0 THEN 'WAIT_FOR_SNAPSHOT' WHEN k % 4 > 0 THEN 'RESOLVE_EXECUTIONS' WHEN recon = 'UNKNOWN' THEN 'REFUSED_UNKNOWN' ELSE 'RECONCILE' END AS action FROM cases""",
+    )
+)
+def recovery_actions(spark, sf_dir):
+    c = cases(spark, sf_dir)
+    return c.select("k", P.recovery_action(F.col("recon"), F.col("k") % 4, F.col("k") % 5 != 0).alias("action"))
+
+
+@query(sql(NEWS, "SELECT sha256('at=' || at_us || '|currency=' || currency || '|id=' || id || '|impact=' || impact) AS event_key, at_us AS at, symbol FROM nw"))
+def news_scan(spark, sf_dir):
+    """Normalised items with an identity that their content gives."""
+    return news(spark, sf_dir).select(F.sha2(G.canonical("id", "at", "impact", "currency"), 256).alias("event_key"), "at", "symbol")
+
+
+@query("SELECT p_partkey, p_brand = 'Brand#1' AS exact, levenshtein(p_name, 'spring part') AS distance FROM part QUALIFY row_number() OVER (ORDER BY (p_brand = 'Brand#1') DESC, levenshtein(p_name, 'spring part'), p_partkey) <= 20")
+def similar_symbols(spark, sf_dir):
+    """The twenty candidates most like a name (a report's limit): exact ones first, then by edit distance."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_brand") == "Brand#1").alias("exact"), F.levenshtein("p_name", F.lit("spring part")).cast("long").alias("distance"))
+    return p.orderBy(F.desc("exact"), "distance", "p_partkey").limit(20)

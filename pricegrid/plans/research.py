@@ -182,7 +182,7 @@ def freeze_crossings(spark, sf_dir):
     sql(
         EVENTS,
         """, b AS (SELECT *, event_us - event_us % 1800000000 AS bucket_us, lag(price) OVER (PARTITION BY symbol ORDER BY seq) AS lp FROM ev),
-        c AS (SELECT symbol, bucket_us, arg_min(lp, seq) AS reference, arg_min(price, seq) AS open, arg_max(price, seq) AS close FROM b GROUP BY ALL),
+        c AS (SELECT symbol, bucket_us, first(lp ORDER BY seq) AS reference, arg_min(price, seq) AS open, arg_max(price, seq) AS close FROM b GROUP BY ALL),
         d AS (SELECT b.symbol, b.bucket_us, any_value(reference) AS reference, any_value(open) AS open, any_value(c.close) AS close, max(price - reference) AS up, min(price - reference) AS dn,
                 min(CASE WHEN price - reference >= 3000 THEN seq END) AS us, min(CASE WHEN price - reference <= -3000 THEN seq END) AS ds
               FROM b JOIN c USING (symbol, bucket_us) WHERE reference IS NOT NULL GROUP BY ALL),
