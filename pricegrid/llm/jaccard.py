@@ -9,8 +9,9 @@ that keeps lists short, and no choice of frequent shingles changes the result.
   only the blocks in which a partner of fitting size and position can stand.
 * Skipping of answers: sets are first compared with one leader for each list. What is linked to a leader
   takes over the leader's component, and all pairs within a component are answered by that; lists that lie in
-  one component are skipped as a whole. The pairs that remain, of sets in different components, are all
-  compared, unless the shared part of their prefixes shows that they can't link.
+  one component are skipped as a whole. Of the pairs that remain, those of sets in different components whose
+  prefixes share enough, first the best one of each two components is compared, which answers for all their
+  pairs where it links, and then every pair of components that are still apart.
 
 Exactness rests on 64-bit hashes of shingles and sets. Texts are read three or four times and never shuffled;
 what travels are packed prefixes (about a quarter of the hashes), lists that two sets or more share, and the
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,7 +45,7 @@ _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = _U(0x9E3779B97F4A7C15)
 _PLACE = _BYTE[:64] * _STEP | _U(1)  # a factor for each place in a shingle
-_BLOCK = 2 << 20  # bytes of text that are hashed at a time
+_BLOCK = 1 << 20  # bytes of text that are hashed at a time
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -128,9 +129,6 @@ class Threshold:
         """Length of the prefix of a set of size n: all but as many as every overlap surely exceeds."""
         return n - -(-self.num * n // self.den) + 1
 
-    def links(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.den * both >= self.num * (a + b - both)
-
 
 def _heads(docs: DataFrame, words: int, local: int = 4) -> DataFrame:
     """Two kinds of rows. kind 0: id, size and fingerprint of each document's set. kind 1: shingles (fp) that occur
@@ -164,7 +162,7 @@ def _heads(docs: DataFrame, words: int, local: int = 4) -> DataFrame:
                 names=["id", "kind", "n", "fp"],
             )
             held.append(hashes)
-            if sum(map(len, held)) >= 4_000_000:
+            if sum(map(len, held)) >= 2_000_000:
                 yield frequent()
                 held = []
         if (last := frequent()) is not None:
@@ -218,7 +216,7 @@ def _index_lists(docs: DataFrame, words: int, limit: Threshold, hot: np.ndarray,
             pos = np.where(is_hot, np.repeat(n_plain, n) + nth - rank, rank - 1)
             pick = (pos < limit.prefix(size)) & np.repeat(keep, n)
             held.append((hashes[pick], np.repeat(fp, n)[pick], size[pick].astype(np.int32), pos[pick], is_hot[pick]))
-            if sum(len(x[0]) for x in held) >= 2_000_000:
+            if sum(len(x[0]) for x in held) >= 1_000_000:
                 yield from flush()
                 held = []
         yield from flush()
@@ -248,7 +246,7 @@ def _index_lists(docs: DataFrame, words: int, limit: Threshold, hot: np.ndarray,
 
 
 def _bitmap(needed: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size that says which fingerprints are needed; it may say so of others as well."""
+    """A bitmap of fixed size that says which hashes are needed; it may say so of others as well."""
     chunk = 1 << 15
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,40 +269,33 @@ def _bitmap(needed: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, limit: Threshold, bits: int) -> DataFrame:
-    """a, b: those of the pairs of sets that link, by their full sets."""
+def _verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, words: int, limit: Threshold, bits: int) -> DataFrame:
+    """a, b: those of the pairs of sets that link, by their full sets.
+
+    One document for each needed set is read again; a bitmap of their ids' hashes spares the others' shingles.
+    """
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    bitmap = _bitmap(needed, bits)
+    one = heads.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
+    bitmap = _bitmap(one.select(F.xxhash64("id").alias("fp")), bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes, offsets in _blocks(batches, words):
-            fp = _fingerprints(hashes, offsets)
-            bit = fp.view(_U) % _U(bits)
+        for b in batches:
+            bit = b.column(0).to_numpy().view(_U) % _U(bits)
             wanted = (bitmap[(bit >> _U(3)).astype(np.int64)] >> (7 - (bit & _U(7)).astype(np.uint8))) & 1
-            _, once = np.unique(fp, return_index=True)
-            rows = [i for i in once if wanted[i] and offsets[i + 1] > offsets[i]]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp[rows]), pa.array([hashes[offsets[i] : offsets[i + 1]].tobytes() for i in rows], pa.binary())], names=["fp", "hashes"]
-                )
-
-    every = docs.select("text").mapInArrow(sets, "fp long, hashes binary")
+            for _, hashes, offsets in _blocks(iter([b.filter(pa.array(wanted == 1))]), words):
+                fp = _fingerprints(hashes, offsets)
+                _, once = np.unique(fp, return_index=True)
+                full = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                pick = pa.array([i for i in once if offsets[i + 1] > offsets[i]], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(fp).take(pick), full.take(pick)], names=["fp", "hashes"])
+
+    every = docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(sets, "fp long, hashes array<long>")
     full = every.join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes"))
     left = pairs.join(full.select(F.col("fp").alias("a"), F.col("hashes").alias("set_a")), "a")
-    both = left.join(full.select(F.col("fp").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                s, t = (s, t) if len(s) <= len(t) else (t, s)
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                ok.append(bool(limit.links(int((t[at] == s).sum()), len(s), len(t))))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
-
-    return both.mapInArrow(compare, "a long, b long")
+    both = left.join(full.select(F.col("fp").alias("b"), F.col("hashes").alias("set_b")), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    union = F.size("set_a") + F.size("set_b") - shared
+    return both.filter(shared * limit.den >= union * limit.num).select("a", "b")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -343,44 +334,41 @@ def jaccard_components(
     least = max(64, total >> 20)
     frequent = heads.filter("kind = 1").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("fp")
     hot = np.sort(np.array([r["fp"] for r in frequent.collect()], np.int64).view(_U))
-    lists = cut(_index_lists(rows, words, limit, hot, max(1, math.ceil(total / 4 / 2_000_000))))
+    lists = cut(_index_lists(rows, words, limit, hot, max(1, math.ceil(total / 4 / 1_000_000))))
 
     num, den = limit.num, limit.den
     roots = None
-    for turn in range(star_rounds + 1):
-        if roots is None:
-            placed = lists.withColumn("comp", F.col("fp"))
-        else:
-            placed = lists.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
+    for turn in range(star_rounds):
+        placed = _placed(lists, roots)
         split = placed.groupBy("h").agg(
             F.min("comp").alias("low"), F.max("comp").alias("high"),
             F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("r"), F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))).alias("lead"),
         ).filter("low < high")
-        if turn < star_rounds:
-            met = placed.join(split.select("h", "lead.*"), "h").filter("comp <> comp_a")
-            met = met.filter((F.least("n", "n_a") * den) >= F.greatest("n", "n_a") * num)
-            # the leader that a set shares most lists with; a twentieth of its shingles at least, else the last turn sees to it
-            near = met.groupBy("fp", "a").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") * 20 >= F.col("n"))
-            pairs = near.groupBy("fp").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", F.col("fp").alias("b"))
-        else:
-            pairs = _remaining_pairs(placed.join(split.select("h"), "h", "left_semi"), limit)
-        pairs = cut(pairs)
-        links = _verify(pairs, rows, words, limit, bits)
-        if roots is not None:
-            # links between components, then the components of components
-            to = roots.select("node", "root")
-            links = links.join(to.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-                to.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
-            )
-            links = links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        found = connected(links)
-        if roots is None:
-            roots = found
-        else:
-            moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-            moved = moved.select("node", F.coalesce("top", "root").alias("root"))
-            fresh = found.join(moved.select("node"), "node", "left_anti")
-            roots = cut(moved.unionByName(fresh))
+        met = placed.join(split.select("h", "lead.*"), "h").filter("comp <> comp_a")
+        met = met.filter((F.least("n", "n_a") * den) >= F.greatest("n", "n_a") * num)
+        # the leader that a set shares most lists with; a twentieth of its shingles at least, else the last turns see to it
+        near = met.groupBy("fp", "a").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") * 20 >= F.col("n"))
+        pairs = near.groupBy("fp").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", F.col("fp").alias("b"))
+        roots = _merged(roots, _verify(cut(pairs), rows, own, words, limit, bits))
+
+    placed = _placed(lists, roots)
+    split = placed.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    left = cut(_remaining_pairs(placed.join(split.select("h"), "h", "left_semi"), limit))
+    # of each two components the pairs with the largest shared part first, one of each of eight classes by hash:
+    # where one links, that answers all their pairs
+    low, high = F.least("comp_a", "comp_b").alias("low"), F.greatest("comp_a", "comp_b").alias("high")
+    best = cut(left.groupBy(low, high, F.pmod(F.xxhash64("a", "b"), F.lit(8)).alias("class")).agg(F.max(F.struct("k", "a", "b")).alias("best")))
+    links = _verify(cut(best.select("best.a", "best.b")), rows, own, words, limit, bits)
+    answered = cut(links)
+    ends = answered.join(best.select("best.a", "best.b", "low", "high"), ["a", "b"]).select(F.col("low").alias("a"), F.col("high").alias("b"))
+    top = connected(ends)
+    two = best.select("low", "high").join(top.select(F.col("node").alias("low"), F.col("root").alias("x")), "low", "left").join(
+        top.select(F.col("node").alias("high"), F.col("root").alias("y")), "high", "left"
+    )
+    apart = two.filter(F.coalesce("x", "low") != F.coalesce("y", "high")).select("low", "high").distinct()
+    rest = left.select("a", "b", low, high).join(apart, ["low", "high"], "left_semi").select("a", "b")
+    roots = _merged(roots, answered)
+    roots = _merged(roots, _verify(cut(rest), rows, own, words, limit, bits))
 
     labelled = own.filter("n > 0").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp"))
     ids = labelled.groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -389,30 +377,57 @@ def jaccard_components(
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("fp").alias("fingerprint"))
 
 
+def _placed(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The lists' entries with the component of each set."""
+    if roots is None:
+        return lists.withColumn("comp", F.col("fp"))
+    known = lists.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return known.withColumn("comp", F.coalesce("root", "fp")).drop("root")
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, root after more links between sets."""
+    if roots is None:
+        return connected(links)
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    found = connected(between)
+    moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    moved = moved.select("node", F.coalesce("top", "root").alias("root"))
+    return cut(moved.unionByName(found.join(moved.select("node"), "node", "left_anti")))
+
+
 def _remaining_pairs(lists: DataFrame, limit: Threshold) -> DataFrame:
-    """a, b: all pairs of sets in different components that share a list and may link.
+    """a, b, comp_a, comp_b, k: all pairs of sets in different components that share enough of their prefixes to link.
 
-    Blocks by the logarithm of the size: a partner is not smaller than num / den of the larger one, and as much
-    must remain of both sets at the shared position.
+    Blocks by the logarithm of the size: a partner is not smaller than num / den of the larger one. Two sets
+    that link share ``need`` shingles at least, so behind the first m + 1 that they share, need - m - 1 more
+    must follow in both: these stand no later than n - need + m. Entries behind that are skipped, and a pair
+    must meet m + 1 times before it. A larger m reads more entries and leaves fewer pairs; it is as large as
+    the prefixes allow, a twentieth of the set at most.
     """
     num, den = limit.num, limit.den
     block = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int")
-    sized = lists.withColumn("block", block)
+    size = F.col("n").cast("long")
+    sized = lists.select("h", "fp", size.alias("n"), F.col("pos").cast("long").alias("pos"), "comp", block.alias("block"))
     small = sized.select("h", F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("comp").alias("comp_a"), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
     large = sized.select("h", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"), "block")
+
+    def ceil(value: Column, by: int) -> Column:
+        return F.call_function("div", value + (by - 1), F.lit(by))
+
+    need = ceil((F.col("n_a") + F.col("n_b")) * num, num + den)
+    m = F.least(F.call_function("div", F.col("n_a"), F.lit(20)), need - ceil(F.col("n_b") * num, den))
     fits = (
         (F.col("comp_a") != F.col("comp_b"))
         & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
         & (F.col("n_a") * den >= F.col("n_b") * num)
-        & ((F.col("n_a") - F.col("pos_a")) * den >= F.col("n_b") * num)
-        & ((F.col("n_b") - F.col("pos_b")) * den >= F.col("n_b") * num)
+        & (F.col("pos_a") <= F.col("n_a") - need + m)
+        & (F.col("pos_b") <= F.col("n_b") - need + m)
     )
     met = small.join(large, (small["h"] == large["h"]) & (small["block"] == large["block"]) & fits)
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    # overlap <= shared part of the prefixes + what follows the prefix of one of them
-    rest = F.ceil(F.col("n_b") * num / den) - 1
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den) - 1e-9)
-    return counted.filter(F.col("k") + rest >= need).select("a", "b")
+    counted = met.groupBy("a", "b", "n_a", "n_b", "comp_a", "comp_b").agg(F.count("*").alias("k"))
+    return counted.filter(F.col("k") > m).select("a", "b", "comp_a", "comp_b", "k")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, limit: Threshold = Threshold()) -> DataFrame:
