@@ -26,7 +26,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, take: lis
     return got.select(*left.columns, *[F.col(f"__got.{c}").alias(c) for c in take])
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, low: Column, high: Column, width: int, how: str = "inner") -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, low: Column, high: Column, width: int) -> DataFrame:
     """Right rows with low <= right.at <= high of the left row, joined on buckets of ``width``.
 
     A left row goes to each bucket that its interval touches, so the join is an equi-join whose buckets stay
@@ -36,5 +36,5 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, low:
     first, last = F.floor(F.col("__low") / F.lit(width)), F.floor(F.col("__high") / F.lit(width))
     l = l.filter("__low <= __high").withColumn("__bucket", F.explode(F.sequence(first, last)))
     r = right.withColumn("__bucket", F.floor(F.col(at) / F.lit(width)))
-    joined = l.join(r, [*keys, "__bucket"], how)
+    joined = l.join(r, [*keys, "__bucket"])
     return joined.filter((F.col(at) >= F.col("__low")) & (F.col(at) <= F.col("__high"))).drop("__bucket", "__low", "__high")

@@ -24,9 +24,13 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def changes(moves: DataFrame, matrix: DataFrame, structure: str, tolerance: int) -> DataFrame:
-    """One row for each event with a transition of any resolution, and all that a signal looks at, as of the event."""
-    latest = F.max_by(F.struct("kind", "direction", "to_price", "box"), F.struct((F.col("resolution") == structure).cast("int"), "resolution")).alias("m")
+def changes(moves: DataFrame, matrix: DataFrame, resolutions: list[str], structure: str, tolerance: int) -> DataFrame:
+    """One row for each event with a transition of any resolution, and all that a signal looks at, as of the event.
+
+    Of several transitions at an event, that of the first resolution counts.
+    """
+    place = F.array_position(F.array(*map(F.lit, resolutions)), F.col("resolution"))
+    latest = F.min_by(F.struct("kind", "direction", "to_price", "box"), place).alias("m")
     rows = moves.groupBy("symbol", "seq").agg(latest, F.max("event_us").alias("event_us")).select("symbol", "seq", "event_us", "m.*")
     own = moves.filter(F.col("resolution") == structure)
     key = ["symbol"]

@@ -237,3 +237,27 @@ def test_journal(spark, tmp_path):
     with pytest.raises(journal.JournalConflict):
         journal.append(spark, path, spark.createDataFrame([("s", "k1", "z")], "stream string, event_key string, payload string"), 2)
     assert journal.corrupt(spark, path).count() == 0
+
+
+def test_signals_do_not_look_ahead(spark, small):
+    """Signals issued by the first half of the events are the same with the other half cut off."""
+    from pricegrid.operators import signals as G
+    from pricegrid.plans.spine_sql import RESOLUTIONS, STRUCTURE
+    from pricegrid.sources.events import price_events
+
+    def issued(events):
+        m = C.transitions(C.fan_out(events, RESOLUTIONS), ["symbol", "resolution"])
+        scored = G.score(G.changes(m, C.matrix(events, m, "symbol", list(RESOLUTIONS)), list(RESOLUTIONS), STRUCTURE, 2500), 2500)
+        return {tuple(r) for r in scored.select("symbol", "seq", "buy_points", "sell_points", "score", "action").filter("seq <= 120").collect()}
+
+    e = price_events(spark, small)
+    whole = issued(e)
+    assert whole == issued(e.filter("seq <= 120")) and len(whole) > 20
+
+
+def test_cooldown_and_expiry():
+    from pricegrid.operators.signals import IssueFold
+
+    fold = IssueFold(cooldown=2, expiry=3)
+    out = [list(fold.step(i, a, 70, r)) for i, (a, r) in enumerate([("BUY", "x"), ("SELL", "y"), ("BUY", "x"), ("BUY", "x"), ("BUY", "x")])]
+    assert [[(o[1], o[2]) for o in row] for row in out] == [[("BUY", "issued")], [], [], [], [("BUY", "expired"), ("BUY", "issued")]]
