@@ -17,31 +17,41 @@ from pricegrid.llm import decontaminate, jaccard, language, pii, tokens
 from pricegrid.llm.common import crc_mod, shared_dir, table
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Rows are whole texts: batches of 1,000 instead of 10,000 keep some MB between Spark and its Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; a text without letters or without a likely language goes."""
+    _short_batches(spark)
     net = language.train_language_model(docs.filter(crc_mod("doc_id", 4) != 2))
     return language.keep_identified(docs, net)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
+    _short_batches(spark)
     return jaccard.drop_near_duplicates(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _short_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced by its kind; n_chars follows the new text."""
+    _short_batches(spark)
     masked = pii.mask_personal_data(docs)
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the checksum of the bytes that the ids decode to."""
-    out = tokens.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    _short_batches(spark)
+    out = tokens.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, chunk_bytes=8 << 20)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

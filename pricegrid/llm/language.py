@@ -232,7 +232,7 @@ def identify_language(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id",
                 lettered = np.array([has_letter(t) for _, part in texts(b, "__text") for t in part], bool)
                 total = np.zeros((b.num_rows, max(1, len(net.labels))))
                 weight = np.zeros(b.num_rows)
-                for i, j in _blocks(offsets, 1 << 21):
+                for i, j in _blocks(offsets, 1 << 19):
                     windows, row, size = cut_windows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     if scorer is not None and len(windows):
                         np.add.at(total, row + i, scorer.probabilities(windows) * size[:, None])
