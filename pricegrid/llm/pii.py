@@ -123,16 +123,15 @@ def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = 3, min
     edges = cut(
         rows.mapInArrow(_collect_instances, "value string, kind int, pattern string").groupBy("pattern", "value", "kind").agg(F.count("*").alias("n"))
     )
-    # a pattern that no seed meets, or with too few instances, never gets confidence: leave it out of the rounds
-    alive = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.max("kind").alias("best")).filter((F.col("instances") >= min_instances) & (F.col("best") >= 0))
-    graph = cut(edges.join(alive.select("pattern"), "pattern"))
+    # a pattern with too few instances never counts; one that no seed meets may get confidence in a later round
+    alive = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("all")).filter(F.col("instances") >= min_instances)
+    graph = cut(edges.join(alive.select("pattern", "all"), "pattern"))
     trust = graph.select("value", "kind").distinct().filter("kind >= 0").withColumn("trust", F.lit(1.0))
     scored = None
     for _ in range(rounds):
-        meetings = graph.groupBy("pattern").agg(F.sum("n").alias("all"))
-        held = graph.select("pattern", "value", "n").join(trust.select("value", F.col("kind").alias("k"), "trust"), "value")
+        held = graph.select("pattern", "value", "n", "all").join(trust.select("value", F.col("kind").alias("k"), "trust"), "value")
         scored = cut(
-            held.groupBy("pattern", "k").agg(F.sum(F.col("n") * F.col("trust")).alias("held")).join(meetings, "pattern")
+            held.groupBy("pattern", "k").agg(F.sum(F.col("n") * F.col("trust")).alias("held"), F.first("all").alias("all"))
             .select("pattern", F.col("k").alias("kind"), (F.col("held") / F.col("all")).alias("confidence"))
             .filter(F.col("confidence") >= min_confidence / 2)
         )

@@ -96,6 +96,15 @@ def test_contexts_find_unseen_identifiers(spark):
         assert not any(got.values())
 
 
+def test_patterns_reached_through_found_instances_only(spark):
+    rows = [(i, f"text{i} please contact user{i}@mail.example.com today ok") for i in range(40)]
+    rows += [(100 + i, f"word please contact joe.home{i + 10} today ok") for i in range(12)] + [(200 + i, f"member id joe.home{i + 10} tonight ok") for i in range(12)]
+    rows += [(300, "member id zed.home77 tonight ok"), (301, "other place zed.home77 here ok")]
+    got = {r["doc_id"]: [tuple(s) for s in r["added"]] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[300] == [(0, 10, 20)] and not got[301]
+    assert all(got[100 + i] == [(0, 20, 30)] and got[200 + i] == [(0, 10, 20)] for i in range(12))
+
+
 def test_personal_data_of_odd_rows(odd, none):
     out = pii.find_personal_data(odd).collect()
     assert len(out) == len(ODD) and all(not r["base"] for r in out)
