@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.durable import global_positions
 from ..operators import columns as C
 from ..operators import hygiene as H
 from ..operators import structure as S
@@ -62,6 +63,13 @@ def ordered_scan(spark, sf_dir):
     return page.select("symbol", "source_sequence", "event_us", "price", F.row_number().over(w).alias("position"))
 
 
+@query(sql(EVENTS, "SELECT symbol, source_sequence, event_us, price, row_number() OVER (ORDER BY event_us, received_us, source_sequence) AS position FROM ev"))
+def ordered_scan_all(spark, sf_dir):
+    """Every event with its place in the canonical replay order."""
+    e = global_positions(price_events(spark, sf_dir), ["event_us", "received_us", "source_sequence"])
+    return e.select("symbol", "source_sequence", "event_us", "price", "position")
+
+
 @query(sql(EVENTS, "SELECT symbol, source_sequence, event_us, raw FROM ev WHERE source_sequence BETWEEN 1000 AND 1999"))
 def range_scan(spark, sf_dir):
     return price_events(spark, sf_dir).filter(F.col("source_sequence").between(1000, 1999)).select("symbol", "source_sequence", "event_us", "raw")

@@ -261,3 +261,12 @@ def test_cooldown_and_expiry():
     fold = IssueFold(cooldown=2, expiry=3)
     out = [list(fold.step(i, a, 70, r)) for i, (a, r) in enumerate([("BUY", "x"), ("SELL", "y"), ("BUY", "x"), ("BUY", "x"), ("BUY", "x")])]
     assert [[(o[1], o[2]) for o in row] for row in out] == [[("BUY", "issued")], [], [], [], [("BUY", "expired"), ("BUY", "issued")]]
+
+
+def test_ordered_scan_of_all_events(spark, small):
+    from pricegrid.plans.catalog import QUERIES
+    from pricegrid.sources.events import price_events
+
+    e = sorted((r.event_us, r.received_us, r.source_sequence, r.symbol, r.price) for r in price_events(spark, small).collect())
+    got = sorted((r.position, r.event_us, r.source_sequence, r.symbol, r.price) for r in QUERIES["ordered_scan_all"](spark, small).collect())
+    assert len(got) == 1000 and got == [(i + 1, t, q, s, p) for i, (t, _, q, s, p) in enumerate(e)]
