@@ -8,11 +8,13 @@ from pyspark.sql.window import Window
 from ..functions.joins import as_of
 from ..operators import columns as C
 from ..operators import outcomes as O
+from ..operators.capture import observations as observe
 from ..sources.events import price_events
 from .market import KEY, moves, query
-from .spine_sql import EVENTS, MOVES, RESOLUTIONS, sql
+from .spine_sql import EVENTS, MOVES, RESOLUTIONS, REVERSAL, STRUCTURE, sql
 
 ENTRY_US, EXIT_US, SIZE, COST = 2_000_000, 600_000_000, 2, 170
+TOLERANCE = 2_500
 
 SIGNALS = EVENTS + """,
 sig AS (SELECT symbol, seq, event_us AS decision_us, CASE WHEN price > b THEN 'long' ELSE 'short' END AS side
@@ -275,6 +277,12 @@ def observations(spark, sf_dir):
     return pick[0].unionByName(pick[1]).unionByName(pick[2])
 
 
+@query()
+def observations_all(spark, sf_dir):
+    """All nine kinds of observations, over every resolution; ``observations`` has three."""
+    return observe(price_events(spark, sf_dir), RESOLUTIONS, REVERSAL, STRUCTURE, TOLERANCE)
+
+
 @query(sql(EVENTS, "SELECT a.symbol, a.seq, b.price AS reference FROM ev a ASOF LEFT JOIN (SELECT * FROM ev WHERE seq % 7 = 0) b ON a.symbol = b.symbol AND b.event_us <= a.event_us"))
 def asof_reference(spark, sf_dir):
     """The last sampled price at or before each event."""

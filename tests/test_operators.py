@@ -270,3 +270,31 @@ def test_ordered_scan_of_all_events(spark, small):
     e = sorted((r.event_us, r.received_us, r.source_sequence, r.symbol, r.price) for r in price_events(spark, small).collect())
     got = sorted((r.position, r.event_us, r.source_sequence, r.symbol, r.price) for r in QUERIES["ordered_scan_all"](spark, small).collect())
     assert len(got) == 1000 and got == [(i + 1, t, q, s, p) for i, (t, _, q, s, p) in enumerate(e)]
+
+
+def test_observations_of_all_kinds(spark, small):
+    from pricegrid.operators.capture import KINDS
+    from pricegrid.plans import market
+    from pricegrid.plans.catalog import QUERIES
+
+    key = ["symbol", "resolution"]
+    got = [tuple(r) for r in QUERIES["observations_all"](spark, small).collect()]
+    m = market.moves(spark, small).cache()
+    pivots = S.pivots(m, key)
+    want = {
+        "pnf.transition": m.count(),
+        "structure.pivot_confirmed": pivots.count(),
+        "structure.level_invalidated": S.levels(m, key).filter("status = 'invalidated'").count(),
+        "pattern": S.patterns(pivots, key, 2500).count(),
+        "trendline.state": S.trendlines(m, key).select(*key, "kind", "anchor_a_seq", "anchor_b_seq", "state").distinct().count(),
+        "signal.issued": QUERIES["signals"](spark, small).filter("status = 'issued'").count(),
+    }
+    assert {k: sum(r[0] == k for r in got) for k in want} == want and set(want) < set(KINDS)
+    actions: dict = {}
+    for r in QUERIES["signal_evidence"](spark, small).orderBy("symbol", "seq").collect():
+        of = actions.setdefault(r.symbol, [])
+        if not of or of[-1][1] != r.action:
+            of.append((r.seq, r.action))
+    decided = {(r[1], r[3], r[4].split("|")[0]) for r in got if r[0] == "signal.decision"}
+    assert decided == {(s, *x) for s, of in actions.items() for x in of}
+    assert {r[0] for r in got} == set(KINDS)
