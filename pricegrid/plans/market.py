@@ -343,6 +343,12 @@ def active_levels_asof(spark, sf_dir):
     return S.active_levels(moves(spark, sf_dir).filter("resolution = 'slow'"), KEY).select("symbol", "seq", "support", "resistance")
 
 
+@query()
+def active_levels_asof_all(spark, sf_dir):
+    """The same at every transition of every resolution; checked against brute force in the tests."""
+    return S.active_levels(moves(spark, sf_dir), KEY)
+
+
 PATTERN = """,
 w AS (
   SELECT symbol, resolution, seq, confirmed_seq, lead(confirmed_seq) OVER x AS expired_seq, kind AS kf, price AS f, lag(kind, 1) OVER x AS ke, lag(price, 1) OVER x AS e, lag(kind, 2) OVER x AS kd, lag(price, 2) OVER x AS d,

@@ -370,6 +370,15 @@ def hash_chain(spark, sf_dir):
     return ordered_fold(p, ["symbol"], ["seq"], lambda *_: L.ChainFold(), "symbol string, chain string, records long")
 
 
+@query()
+def hash_chain_all(spark, sf_dir):
+    """One hash over all pivots of each symbol and resolution; checked against brute force in the tests."""
+    from ..functions.folds import ordered_fold
+
+    p = S.pivots(moves(spark, sf_dir), KEY).select(*KEY, "seq", F.concat_ws(":", "kind", "price").alias("record"))
+    return ordered_fold(p, KEY, ["seq"], lambda *_: L.ChainFold(), "symbol string, resolution string, chain string, records long")
+
+
 @query("SELECT o_orderkey AS k, epoch_us(o_orderdate) // 1800000000 * 1800000000 AS bucket_us FROM orders")
 def bucket_start(spark, sf_dir):
     us = micros(F.col("o_orderdate"))

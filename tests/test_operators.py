@@ -298,3 +298,27 @@ def test_observations_of_all_kinds(spark, small):
     decided = {(r[1], r[3], r[4].split("|")[0]) for r in got if r[0] == "signal.decision"}
     assert decided == {(s, *x) for s, of in actions.items() for x in of}
     assert {r[0] for r in got} == set(KINDS)
+
+
+def test_levels_and_chains_of_every_resolution(spark, small):
+    import hashlib
+
+    from pricegrid.plans import market
+    from pricegrid.plans.catalog import QUERIES
+
+    key = ["symbol", "resolution"]
+    m = market.moves(spark, small).cache()
+    levels, chains = [tuple(r) for r in S.levels(m, key).select(*key, "side", "price", "confirmed_seq", "invalidated_seq").collect()], {}
+    want = set()
+    for r in m.collect():
+        row = [r.symbol, r.resolution, r.seq]
+        for side in ("support", "resistance"):
+            held = [(c, p) for s, n, d, p, c, i in levels if (s, n, d) == (r.symbol, r.resolution, side) and c <= r.seq and (i is None or i > r.seq)]
+            row.append(max(held)[1] if held else None)
+        want.add(tuple(row))
+    assert {tuple(r) for r in QUERIES["active_levels_asof_all"](spark, small).collect()} == want
+    for r in S.pivots(m, key).orderBy(*key, "seq").collect():
+        chain, n = chains.get((r.symbol, r.resolution), ("", 0))
+        chains[r.symbol, r.resolution] = (hashlib.sha256(f"{chain}|{r.kind}:{r.price}".encode()).hexdigest(), n + 1)
+    got = {(r.symbol, r.resolution): (r.chain, r.records) for r in QUERIES["hash_chain_all"](spark, small).collect()}
+    assert got == chains and {n for _, n in got} == {"fast", "medium", "slow"} == {n for _, n, *_ in want}
