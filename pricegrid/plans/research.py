@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.joins import as_of
-from ..operators import columns as C
 from ..operators import outcomes as O
 from ..operators.capture import observations as observe
 from ..sources.events import price_events
@@ -291,22 +293,35 @@ def asof_reference(spark, sf_dir):
     return as_of(e.select("symbol", "seq", "event_us"), sampled, ["symbol"], "event_us", ["reference"], tie="seq").select("symbol", "seq", "reference")
 
 
-def _kept(spark, sf_dir, change=None):
-    e = price_events(spark, sf_dir)
-    if change is not None:
-        e = e.withColumn("price", F.when(F.col("seq") > 100, change).otherwise(F.col("price")))
-    return C.transitions(C.fan_out(e, RESOLUTIONS), KEY, 3).filter("seq <= 100")
+CUTS = 4  # the history of each symbol is cut at 1/4, 2/4 and 3/4
+
+
+def differences(events, capture, cuts=CUTS):
+    """change, differences: observations up to each cut that later events, cut off or changed, make come or go.
+
+    Every variant of a symbol is a symbol of its own, so that one run captures all of them.
+    """
+    part = [F.call_function("div", F.col("n") * k, F.lit(cuts)) for k in range(1, cuts)]
+    e = events.withColumn("n", F.max("seq").over(Window.partitionBy("symbol"))).withColumn("cut", F.explode(F.array(*part))).filter("cut > 0").drop("n")
+    p = F.col("price")
+    changes = {"prefix": None, "reflect": 20_000_000 - p, "flatten": F.lit(10_000_000), "shock": p * 2}
+    variants = [events.withColumn("cut", F.lit(None).cast("long")).withColumn("change", F.lit("whole"))]
+    for name, price in changes.items():
+        v = e.withColumn("change", F.lit(name))
+        variants.append(v.filter("seq <= cut") if price is None else v.withColumn("price", F.when(F.col("seq") > F.col("cut"), price).otherwise(p)))
+    every = reduce(DataFrame.unionByName, variants)
+    found = capture(every.withColumn("symbol", F.concat_ws("|", "symbol", "change", "cut")))
+    of = F.split("symbol", "[|]")
+    found = found.withColumn("change", of[1]).withColumn("cut", F.get(of, F.lit(2)).cast("long")).withColumn("symbol", of[0])
+    at = e.select("symbol", "cut").distinct().withColumn("change", F.explode(F.array(*map(F.lit, changes))))
+    whole = found.filter("change = 'whole'").drop("change", "cut").join(F.broadcast(at), "symbol").withColumn("sign", F.lit(1))
+    both = whole.unionByName(found.filter("change <> 'whole'").withColumn("sign", F.lit(-1))).filter("seq <= cut")
+    odd = both.groupBy("change", "cut", "symbol", "subject", "resolution", "seq", "what").agg(F.abs(F.sum("sign")).alias("odd"))
+    names = events.sparkSession.createDataFrame([(c,) for c in changes], "change string")
+    return names.join(odd.groupBy("change").agg(F.sum("odd").alias("differences")), "change", "left").select(F.coalesce("differences", F.lit(0)).alias("differences"), "change")
 
 
 @query("SELECT 0 AS differences, 'prefix' AS change WHERE true UNION ALL SELECT 0, 'reflect' UNION ALL SELECT 0, 'flatten' UNION ALL SELECT 0, 'shock'")
 def causal_invariance(spark, sf_dir):
-    """Transitions of the first hundred events, with later events cut off or changed: nothing may differ."""
-    whole = _kept(spark, sf_dir)
-    cut_off = C.transitions(C.fan_out(price_events(spark, sf_dir).filter("seq <= 100"), RESOLUTIONS), KEY, 3)
-    p = F.col("price")
-    variants = {"prefix": cut_off, "reflect": _kept(spark, sf_dir, 20_000_000 - p), "flatten": _kept(spark, sf_dir, F.lit(10_000_000)), "shock": _kept(spark, sf_dir, p * 2)}
-    out = None
-    for name, v in variants.items():
-        d = whole.exceptAll(v).unionByName(v.exceptAll(whole)).agg(F.count("*").alias("differences")).withColumn("change", F.lit(name))
-        out = d if out is None else out.unionByName(d)
-    return out
+    """Observations of all kinds up to each cut, with later events cut off or changed: nothing may differ."""
+    return differences(price_events(spark, sf_dir), lambda e: observe(e, RESOLUTIONS, REVERSAL, STRUCTURE, TOLERANCE, with_regime=True))

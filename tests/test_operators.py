@@ -322,3 +322,22 @@ def test_levels_and_chains_of_every_resolution(spark, small):
         chains[r.symbol, r.resolution] = (hashlib.sha256(f"{chain}|{r.kind}:{r.price}".encode()).hexdigest(), n + 1)
     got = {(r.symbol, r.resolution): (r.chain, r.records) for r in QUERIES["hash_chain_all"](spark, small).collect()}
     assert got == chains and {n for _, n in got} == {"fast", "medium", "slow"} == {n for _, n, *_ in want}
+
+
+def test_a_late_look_ahead_of_any_kind_is_a_difference(spark, small):
+    """A capture that looks one event ahead, only after event 120 and only for one kind that is no transition."""
+    from pyspark.sql.window import Window
+
+    from pricegrid.plans import research
+    from pricegrid.sources.events import price_events
+
+    def peeking(e):
+        w = Window.partitionBy("symbol").orderBy("seq")
+        pivots = e.withColumn("what", F.when(F.col("seq") > 120, F.lead("price").over(w)).otherwise(F.col("price")).cast("string"))
+        return pivots.select(F.lit("structure.pivot_confirmed").alias("subject"), "symbol", F.lit(None).cast("string").alias("resolution"), "seq", "what")
+
+    e = price_events(spark, small)
+    got = {r.change: r.differences for r in research.differences(e, peeking).collect()}
+    assert set(got) == {"prefix", "reflect", "flatten", "shock"} and all(got.values())
+    honest = lambda e: e.select(F.lit("x").alias("subject"), "symbol", F.lit(None).cast("string").alias("resolution"), "seq", F.col("price").cast("string").alias("what"))
+    assert not any(r.differences for r in research.differences(e, honest).collect())
