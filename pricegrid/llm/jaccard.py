@@ -325,7 +325,10 @@ def jaccard_components(
     star_rounds: int = 2,
     bits: int = 1 << 24,
 ) -> DataFrame:
-    """``docs`` -> id, n_shingles long, component_id, fingerprint long (of the set); one row for each input row."""
+    """``docs`` -> id, n_shingles long, component_id, fingerprint long (of the set), root long; one row for each input row.
+
+    ``root`` tells components apart also where ids repeat or are null: the fingerprint of one of the component's sets.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     heads = cut(_heads(rows, words))
     own = heads.filter("kind = 0").select("id", "n", "fp")
@@ -372,9 +375,9 @@ def jaccard_components(
 
     labelled = own.filter("n > 0").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp"))
     ids = labelled.groupBy("comp").agg(F.min("id").alias("component_id"))
-    linked = labelled.join(ids, "comp").select("id", "n", "component_id", "fp")
-    alone = own.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), "fp")
-    return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("fp").alias("fingerprint"))
+    linked = labelled.join(ids, "comp").select("id", "n", "component_id", "fp", "comp")
+    alone = own.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), "fp", F.col("fp").alias("comp"))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("fp").alias("fingerprint"), F.col("comp").alias("root"))
 
 
 def _placed(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -434,14 +437,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` without all but one document of each component, the one with the smallest id; columns as they were.
 
     Rows without words are not alike and all stay. Null ids come last; of rows with the same id and set one stays.
+    Where an id occurs with texts of several components, each component keeps one of its own.
     """
     found = jaccard_components(docs, id_col, text_col, words, limit).filter("n_shingles > 0")
     first = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col("fingerprint").alias("fp"))
-    # several components can have a null component_id: those of documents without id, told apart by their sets
-    keep = (
-        found.groupBy(F.col("component_id").alias("c"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
-        .agg(F.min(first).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.fp").alias("__keep"))
-    )
+    # components, not their ids: several can have the same component_id where ids repeat, or a null one
+    keep = found.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.fp").alias("__keep"))
 
     names = docs.columns
 

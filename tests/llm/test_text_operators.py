@@ -186,6 +186,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == want
 
 
+def test_one_of_each_group_stays_where_ids_repeat(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c"))
+    rows = [(1, one), (1, two), (2, one), (3, two + " b60"), (None, three), (None, three + " c60")]
+    left = jaccard.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left if r["doc_id"]) == [(1, one), (1, two)]
+    assert len(left) == 3
+
+
 def test_sets_of_odd_rows(odd, none):
     out = jaccard.jaccard_components(odd).collect()
     assert len(out) == len(ODD)
