@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, utf8_buffers
+from .common import below_share, numbered, texts, tidy, utf8_buffers
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -157,18 +157,20 @@ def cut_windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return windows.astype(np.uint8), row, size
 
 
-def sample_windows(labelled: DataFrame, text_col: str, label_col: str, per_label: int, per_doc: int) -> tuple[np.ndarray, list[str]]:
-    """At most about per_label documents of each label, per_doc windows of each, spread over the whole text.
+def sample_windows(labelled: DataFrame, text_col: str, label_col: str, per_label: int, per_doc: int, most_labels: int) -> tuple[np.ndarray, list[str]]:
+    """About per_label different texts of each label, per_doc windows of each, spread over the whole text.
 
-    Which documents are taken depends on a hash of their text alone. This is the only sampling; the bound
-    keeps what reaches the driver under labels x per_label x per_doc windows of 256 bytes.
+    Which texts are taken depends on a hash of them alone; each label's share follows from its number of different
+    texts, so no label is lost, whatever its size and however often a text repeats. Of more than ``most_labels``
+    labels the most frequent ones are learned. This is the only sampling; it keeps what reaches the driver under
+    about labels x per_label x (per_doc + 1) windows of 256 bytes.
     """
-    counts = {r[label_col]: r["n"] for r in labelled.groupBy(label_col).agg(F.count("*").alias("n")).collect()}
+    hashed = F.xxhash64(F.col(text_col))
+    sizes = labelled.groupBy(label_col).agg(F.count("*").alias("n"), F.approx_count_distinct(hashed, 0.02).alias("texts"))
+    counts = {r[label_col]: max(1, r["texts"]) for r in sizes.orderBy(F.desc("n"), label_col).limit(most_labels).collect()}
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), []
-    scale = 1_000_000
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(scale, scale * per_label // n)))])
-    hashed = F.pmod(F.xxhash64(F.col(text_col)), F.lit(scale))
+    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,16 +183,16 @@ def sample_windows(labelled: DataFrame, text_col: str, label_col: str, per_label
                 for s in starts:
                     got[0].append(text[s : s + WINDOW].tobytes().ljust(WINDOW, b"\0"))
                     got[1].append(names[i])
-                short = text[: min(len(text), 16 + 7 * (i % 16))]  # short texts must be told too
+                short = text[: min(len(text), 16 + 7 * (len(text) % 16))]  # short texts must be told too
                 got[0].append(short.tobytes().ljust(WINDOW, b"\0"))
                 got[1].append(names[i])
             yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.binary()), pa.array(got[1], pa.string())], names=["w", "label"])
 
     rows = (
-        labelled.filter(hashed < share[F.col(label_col)])
+        labelled.filter(below_share(hashed, F.coalesce(share[F.col(label_col)], F.lit(0.0))))
         .select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-        .mapInArrow(take, "w binary, label string")
-        .limit(2 * per_label * (per_doc + 1) * len(counts))
+        .mapInArrow(tidy(take), "w binary, label string")
+        .distinct()
         .collect()
     )
     rows.sort(key=lambda r: (r["label"], bytes(r["w"])))
@@ -207,10 +209,11 @@ def train_language_model(
     per_width: int = 16,
     epochs: int = 6,
     seed: int = 7,
+    most_labels: int = 64,
 ) -> ByteConvNet:
-    """Fit the network on at most ``per_label`` documents of each label (bounded, documented sample)."""
-    labelled = labelled.select(text_col, label_col).filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
-    x, names = sample_windows(labelled, text_col, label_col, per_label, per_doc)
+    """Fit the network on about ``per_label`` different texts of each of at most ``most_labels`` labels (bounded sample)."""
+    labelled = labelled.select(text_col, F.col(label_col).cast("string").alias(label_col)).filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
+    x, names = sample_windows(labelled, text_col, label_col, per_label, per_doc, most_labels)
     labels = sorted(set(names))
     net = ByteConvNet.fresh(labels, dim, per_width, seed)
     if len(labels) > 1:
@@ -248,7 +251,7 @@ def identify_language(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id",
                 )
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name != "__text"]
-    return picked.mapInArrow(score, ", ".join([*fields, "lang_pred string", "score double"]))
+    return picked.mapInArrow(tidy(score), ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def _blocks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -262,8 +265,8 @@ def _blocks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def keep_identified(docs: DataFrame, net: ByteConvNet, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
     """``docs`` without the rows whose language isn't known (``und``) or whose best language has a lower score; columns as they were."""
-    names = docs.columns
-    row = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    scored = identify_language(row, net, "id", "text", keep=[f"c{i}" for i in range(len(names))])
+    rows, names = numbered(docs)
+    row = rows.select(F.lit(0).alias("id"), F.col(f"c{names.index(text_col)}").alias("text"), *rows.columns)
+    scored = identify_language(row, net, "id", "text", keep=rows.columns)
     kept = scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return kept.select(*rows.columns).toDF(*names)
