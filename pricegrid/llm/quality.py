@@ -6,6 +6,9 @@ host's, each by a pseudo-count that the method of moments finds from the spread
 sites lean on their parents. A document's score joins the classifier's log likelihood ratio with the log odds
 of its path, computed without the document itself.
 
+``documents`` has no URL, so the query takes ``source`` as host and ``lang`` as the path below it: the two columns that
+say where a document comes from.
+
 Only small rows (id, host, path, probability) are grouped and joined, never texts; partial sums before the
 shuffle and adaptive splitting of the join cover a host that holds a third of all rows.
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fit_logistic, labelled_sample, texts
+from .common import cut, fit_logistic, labelled_sample, texts, tidy
 
 _LETTERS, _UPPER, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[A-ZÄÖÜÀ-ÖØ-Þ]+"), re.compile(r"[0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -73,7 +76,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(_matrix(b, "text").tolist(), pa.list_(pa.float64()))], names=["y", "f"])
 
-    rows = sample.mapInArrow(run, "y int, f array<double>").limit(4 * per_class).collect()
+    rows = sample.mapInArrow(tidy(run), "y int, f array<double>").collect()
     y = np.array([r["y"] for r in rows], np.float64)
     if len(set(y)) < 2:
         return None
@@ -118,7 +121,7 @@ def score_quality(
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(p)], names=["id", "host", "path", "p"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    scored = cut(rows.mapInArrow(run, f"id {kinds['id']}, host {kinds['host']}, path {kinds['path']}, p double"))
+    scored = cut(rows.mapInArrow(tidy(run), f"id {kinds['id']}, host {kinds['host']}, path {kinds['path']}, p double"))
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
