@@ -17,9 +17,15 @@ from pricegrid.llm import decontaminate, jaccard, language, pii, tokens
 from pricegrid.llm.common import crc_mod, shared_dir, table
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _short_batches(spark: SparkSession) -> None:
-    """Rows are whole texts: batches of 1,000 instead of 10,000 keep some MB between Spark and its Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Rows are whole texts: batches of 1,000 instead of 10,000 keep some MB between Spark and its Python workers.
+
+    The setting must hold until a stage's result is written; ``run`` puts the former one back.
+    """
+    spark.conf.set(BATCH, "1000")
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +77,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
