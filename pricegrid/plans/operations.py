@@ -267,14 +267,13 @@ def news_relevance(spark, sf_dir):
     sql(
         """f AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n, CAST(l_quantity AS BIGINT) * CASE l_returnflag WHEN 'A' THEN -1 WHEN 'R' THEN -1 ELSE 1 END AS size, l_extendedprice / l_quantity AS price FROM lineitem WHERE l_quantity >= 1),
         r AS (
-          SELECT l_suppkey, n, size AS quantity, price AS average, CAST(0 AS DOUBLE) AS realised FROM f WHERE n = 1
+          SELECT l_suppkey, n, size AS quantity, CAST(0 AS DOUBLE) + size * price AS cost, CAST(0 AS DOUBLE) AS realised FROM f WHERE n = 1
           UNION ALL
-          SELECT r.l_suppkey, f.n, r.quantity + f.size,
-            CASE WHEN r.quantity = 0 OR (r.quantity > 0) = (f.size > 0) THEN (abs(r.quantity) * r.average + abs(f.size) * f.price) / (abs(r.quantity) + abs(f.size))
-                 WHEN r.quantity + f.size = 0 THEN 0 WHEN (r.quantity + f.size > 0) <> (r.quantity > 0) THEN f.price ELSE r.average END,
-            r.realised + CASE WHEN r.quantity = 0 OR (r.quantity > 0) = (f.size > 0) THEN 0 WHEN r.quantity > 0 THEN (f.price - r.average) * least(abs(r.quantity), abs(f.size)) ELSE (r.average - f.price) * least(abs(r.quantity), abs(f.size)) END
-          FROM r JOIN f ON f.l_suppkey = r.l_suppkey AND f.n = r.n + 1)""",
-        "SELECT l_suppkey, n, quantity, round(average, 4) AS average, round(realised, 2) AS realised FROM r",
+          SELECT l_suppkey, n, quantity + size, cost - gone + (size + side * gone_units) * price, realised + (side * gone_units * price - gone)
+          FROM (SELECT *, CASE WHEN quantity = 0 THEN CAST(0 AS DOUBLE) ELSE cost * gone_units / abs(quantity) END AS gone
+                FROM (SELECT r.l_suppkey, f.n, r.quantity, r.cost, r.realised, f.size, f.price, sign(r.quantity) AS side, least(abs(r.quantity), greatest(0, -sign(r.quantity) * f.size)) AS gone_units
+                      FROM r JOIN f ON f.l_suppkey = r.l_suppkey AND f.n = r.n + 1)))""",
+        "SELECT l_suppkey, n, quantity, round(CASE WHEN quantity = 0 THEN 0 ELSE cost / quantity END, 4) AS average, round(realised, 2) AS realised FROM r",
     )
 )
 def position_netting(spark, sf_dir):
@@ -285,14 +284,34 @@ def position_netting(spark, sf_dir):
     return out.select("l_suppkey", "n", "quantity", F.round("average", 4).alias("average"), F.round("realised", 2).alias("realised"))
 
 
-@query()
+_REASON = """CASE WHEN kill THEN 'kill_switch_active' WHEN NOT currency THEN 'currency_mismatch' WHEN NOT quality THEN 'quality_unavailable' WHEN NOT live THEN 'stale_or_missing_price'
+  WHEN stop < 5000 THEN 'stop_distance_too_small' WHEN size <= 0 THEN 'size_quantized_to_zero' WHEN in_use + before + stop * size > 150000 THEN 'exposure_limit'
+  WHEN -least(daily, 0) + before + in_use + stop * size > 200000 THEN 'daily_loss_limit' WHEN peak - equity > 180000 THEN 'drawdown_limit' ELSE 'allowed' END"""
+
+
+@query(
+    sql(
+        EXPERIENCES,
+        f""", p0 AS (SELECT symbol, seq, t0 // 86400000000 AS day, 1000000 - seq % 11 * 20000 AS equity, box AS stop, seq % 9 + 1 AS wanted, seq % 17 <> 0 AS live, seq % 29 = 0 AS kill,
+          CASE WHEN seq % 3 = 0 THEN 60000 ELSE 0 END AS released, CASE WHEN seq % 3 = 0 THEN 15000 ELSE -10000 END AS pnl, seq % 5 * 5000 AS in_use, seq % 31 <> 0 AS currency, seq % 37 <> 0 AS quality FROM xp),
+        pr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS n, least(wanted, 50000 // stop) AS size, max(equity) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) AS peak,
+          CAST(sum(pnl) OVER (PARTITION BY symbol, day ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS daily FROM p0),
+        rk AS (
+          SELECT symbol, n, seq, reason, size, stop, CASE WHEN reason = 'allowed' THEN stop * size ELSE 0 END AS reserved, daily FROM (SELECT *, {_REASON} AS reason FROM (SELECT *, CAST(0 AS BIGINT) AS before FROM pr WHERE n = 1))
+          UNION ALL
+          SELECT symbol, n, seq, reason, size, stop, before + CASE WHEN reason = 'allowed' THEN stop * size ELSE 0 END, daily FROM (SELECT *, {_REASON} AS reason
+            FROM (SELECT pr.*, greatest(0, rk.reserved - pr.released) AS before FROM rk JOIN pr ON pr.symbol = rk.symbol AND pr.n = rk.n + 1)))""",
+        "SELECT symbol, seq, reason, CASE WHEN reason = 'allowed' THEN size ELSE 0 END AS size, CASE WHEN reason = 'allowed' THEN stop * size ELSE 0 END AS reserved_risk, reserved AS reserved_total, daily AS daily_result FROM rk",
+    )
+)
 def risk_decisions(spark, sf_dir):
-    """Reservations feed back on later proposals; the tests replay the rules by hand."""
+    """Reservations feed back on later proposals."""
     x = experiences(spark, sf_dir)
     s = F.col("seq")
     proposals = x.select(
         "symbol", "seq", F.call_function("div", F.col("t0"), F.lit(86_400_000_000)).alias("day"), (F.lit(1_000_000) - s % 11 * 20_000).alias("equity"), "box", (s % 9 + 1).alias("wanted"),
         (s % 17 != 0).alias("live"), (s % 29 == 0).alias("kill"), F.when(s % 3 == 0, 60_000).otherwise(0).cast("long").alias("released"), F.when(s % 3 == 0, 15_000).otherwise(-10_000).cast("long").alias("pnl"),
+        (s % 5 * 5_000).alias("in_use"), (s % 31 != 0).alias("currency"), (s % 37 != 0).alias("quality"),
     )
     limits = {"risk_per_trade": 50_000, "step": 1, "min_stop": 5_000, "exposure": 150_000, "daily_loss": 200_000, "drawdown": 180_000}
     return L.risk_decisions(proposals, "symbol", limits)

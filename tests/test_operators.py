@@ -196,9 +196,12 @@ def test_risk_gates(spark):
     rows = [("a", 1, 0, 1000, 10, 5, True, False, 0, 0), ("a", 2, 0, 1000, 10, 5, True, True, 0, 0), ("a", 3, 0, 1000, 10, 5, False, False, 0, 0), ("a", 4, 0, 1000, 2, 5, True, False, 0, 0),
             ("a", 5, 0, 1000, 10, 50, True, False, 0, 0), ("a", 6, 0, 400, 10, 5, True, False, 150, 0)]
     df = spark.createDataFrame(rows, "acc string, seq long, day long, equity long, stop long, wanted long, live boolean, kill boolean, released long, pnl long")
+    df = df.withColumn("in_use", F.when(F.col("seq") == 5, 60).otherwise(0).cast("long")).withColumn("currency", F.lit(True)).withColumn("quality", F.lit(True))
     limits = {"risk_per_trade": 100, "step": 1, "min_stop": 5, "exposure": 120, "daily_loss": 1000, "drawdown": 500}
     out = L.risk_decisions(df, "acc", limits).orderBy("seq").collect()
     assert [r.reason for r in out] == ["allowed", "kill_switch_active", "stale_or_missing_price", "stop_distance_too_small", "exposure_limit", "drawdown_limit"]
+    refused = df.filter("seq = 1").withColumn("currency", F.lit(False)).unionByName(df.filter("seq = 2").withColumn("kill", F.lit(False)).withColumn("quality", F.lit(False)))
+    assert [r.reason for r in L.risk_decisions(refused, "acc", limits).orderBy("seq").collect()] == ["currency_mismatch", "quality_unavailable"]
 
 
 def test_reconcile(spark):
