@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.folds import ordered_fold
 from ..functions.joins import as_of, range_join
 
 SECOND = 1_000_000
@@ -90,43 +87,34 @@ def horizon_outcomes(experiences: DataFrame, events: DataFrame, minutes: list[in
     )
 
 
-class LifecycleFold:
-    """From signal to entry, targets or invalidation, by sampled prices within the hour; the stop comes before targets."""
-
-    def __init__(self, symbol: str, experience: int):
-        self.state, self.entered, self.hits = "SIGNAL_CREATED", None, {}
-
-    def step(self, at: int, price: int, side: str, low: int, high: int, stop: int, tp1: int, tp2: int) -> Iterable[tuple]:
-        if self.state in ("TP2", "INVALIDATED"):
-            return ()
-        if self.entered is None:
-            if low <= price <= high:
-                self.entered, self.state = at, "ACTIVE"
-                return (("ENTRY_TRIGGERED", at, price), ("ACTIVE", at, price))
-            return ()
-        if at < max([self.entered, *self.hits.values()]):
-            return ()
-        sign = 1 if side == "long" else -1
-        if sign * (price - stop) <= 0:
-            self.state = "INVALIDATED"
-            return (("INVALIDATED", at, price),)
-        out = []
-        for name, target in (("TP1", tp1), ("TP2", tp2)):
-            if name not in self.hits and sign * (price - target) >= 0:
-                self.hits[name], self.state = at, name
-                out.append((name, at, price))
-        return out
-
-    def finish(self) -> Iterable[tuple]:
-        return ()
-
-
 def lifecycles(plans: DataFrame, events: DataFrame, minutes: int = 60) -> DataFrame:
-    """States of each plan (symbol, seq, t0, side, zone_low, zone_high, stop, tp1, tp2) over the events of the next hour."""
+    """States of each plan (symbol, seq, t0, side, zone_low, zone_high, stop, tp1, tp2) over the events of the next hour.
+
+    All of them are conditional minima: the entry is the first sample in the zone; behind it the first sample at or
+    beyond the stop, and those at or beyond each target. A target counts if it comes before the stop (the stop comes
+    first at the same sample), the stop if the second target doesn't come before it. A plan without an entry has no
+    rows; nulls in a plan or a price meet nothing.
+    """
     samples = events.select("symbol", F.col("event_us").alias("at"), "received_us", "price", F.col("seq").alias("event_seq"))
     near = range_join(plans, samples, ["symbol"], "at", F.col("t0") + 1, F.col("t0") + minutes * 60 * SECOND, minutes * 60 * SECOND)
-    near = near.filter(F.col("received_us") > F.col("t0")).select("symbol", "seq", "at", "price", "side", "zone_low", "zone_high", "stop", "tp1", "tp2")
-    return ordered_fold(near, ["symbol", "seq"], ["at"], LifecycleFold, "symbol string, seq long, state string, at_us long, price long")
+    near = near.filter(F.col("received_us") > F.col("t0")).withColumn("s", F.struct("at", "event_seq", "price"))
+    plan = Window.partitionBy("symbol", "seq")
+    entry = F.min(F.when(F.col("price").between(F.col("zone_low"), F.col("zone_high")), F.col("s"))).over(plan)
+    sign = F.when(F.col("side") == "long", 1).otherwise(-1)
+
+    def first(level: str, beyond: int) -> Column:
+        reached = beyond * sign * (F.col("price") - F.col(level)) >= 0
+        return F.min(F.when(reached & (F.col("s") > F.col("entry")), F.col("s")))
+
+    times = near.withColumn("entry", entry).filter("entry is not null").groupBy("symbol", "seq").agg(
+        F.min("entry").alias("entry"), first("stop", -1).alias("stop"), first("tp1", 1).alias("tp1"), first("tp2", 1).alias("tp2")
+    )
+    before = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) < F.col(b)))
+    always = F.lit(True)
+    states = [("ENTRY_TRIGGERED", "entry", always), ("ACTIVE", "entry", always), ("TP1", "tp1", before("tp1", "stop")), ("TP2", "tp2", before("tp2", "stop")),
+              ("INVALIDATED", "stop", F.col("stop").isNotNull() & ~before("tp2", "stop"))]
+    rows = F.array(*[F.when(holds, F.struct(F.lit(name).alias("state"), F.col(f"{c}.at").alias("at_us"), F.col(f"{c}.price").alias("price"))) for name, c, holds in states])
+    return times.select("symbol", "seq", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("symbol", "seq", "r.*")
 
 
 def candles(events: DataFrame, keys: list[str]) -> DataFrame:

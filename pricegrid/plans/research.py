@@ -142,9 +142,21 @@ def experience_recent(spark, sf_dir):
     return experiences(spark, sf_dir).orderBy(F.desc("t0"), "symbol", "seq").offset(5).limit(50).select("symbol", "seq", "t0", "side")
 
 
-@query()
+@query(
+    sql(
+        EXPERIENCES,
+        """, nr AS (SELECT x.symbol, x.seq, x.reference AS r, x.box AS b, CASE side WHEN 'long' THEN 1 ELSE -1 END AS sg, e.seq AS es, e.event_us AS tm, e.price
+          FROM xp x JOIN ev e ON e.symbol = x.symbol AND e.event_us > x.t0 AND e.event_us <= x.t0 + 3600000000 AND e.received_us > x.t0),
+        nt AS (SELECT * FROM nr WHERE price BETWEEN r - b // 2 AND r + b // 2 QUALIFY row_number() OVER (PARTITION BY symbol, seq ORDER BY tm, es) = 1),
+        af AS (SELECT nr.*, row_number() OVER (PARTITION BY nr.symbol, nr.seq ORDER BY nr.tm, nr.es) AS i FROM nr JOIN nt ON nr.symbol = nt.symbol AND nr.seq = nt.seq AND (nr.tm > nt.tm OR (nr.tm = nt.tm AND nr.es > nt.es))),
+        hs AS (SELECT symbol, seq, min(CASE WHEN sg * (price - r) <= -b THEN i END) AS st, min(CASE WHEN sg * (price - r) >= b THEN i END) AS t1, min(CASE WHEN sg * (price - r) >= 2 * b THEN i END) AS t2 FROM af GROUP BY ALL),
+        sx AS (SELECT symbol, seq, 'TP1' AS state, t1 AS i FROM hs WHERE st IS NULL OR t1 < st UNION ALL SELECT symbol, seq, 'TP2', t2 FROM hs WHERE st IS NULL OR t2 < st
+          UNION ALL SELECT symbol, seq, 'INVALIDATED', st FROM hs WHERE t2 IS NULL OR st <= t2)
+        SELECT symbol, seq, state, tm AS at_us, price FROM nt, (VALUES ('ENTRY_TRIGGERED'), ('ACTIVE')) v(state) UNION ALL SELECT symbol, seq, state, tm, price FROM sx JOIN af USING (symbol, seq, i)""",
+    )
+)
 def experience_lifecycle(spark, sf_dir):
-    """States feed back on what may follow; a replay by hand checks them in the tests."""
+    """Entry, targets and invalidation of a plan of one box around each direction change."""
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
     x, r, b = experiences(spark, sf_dir), F.col("reference"), F.col("box")
     plans = x.select(
