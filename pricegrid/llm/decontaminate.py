@@ -109,7 +109,9 @@ class PieceIndex:
     def find(self, text: str) -> dict[int, tuple[int, int]]:
         """item -> (least distance, start of the first best match) in a normalised text."""
         found: dict[int, tuple[int, int]] = {}
-        seen: set[tuple[int, int]] = set()  # segment and block of half a budget in which a window was verified
+        # the place verified in each block of half a budget of a segment's diagonals; there is one at most
+        seen: dict[int, int] = {}
+        every = len(self.parts)
         if not len(self.auto) or not text:
             return found
         for last, (length, where) in self.auto.iter(text):
@@ -117,11 +119,12 @@ class PieceIndex:
             for i, offset in where:
                 s = self.parts[i]
                 at, slack = start - offset, s.budget
-                block = (i, at // (slack // 2 + 1))
-                if block in seen:
+                near = slack // 2
+                block = at // (near + 1) * every + i
+                if block in seen or abs(at - seen.get(block - every, -10**9)) <= near or abs(at - seen.get(block + every, -10**9)) <= near:
                     continue
-                seen.add(block)
-                # half the budget more on each side, as hits on diagonals of the same block are not verified again
+                seen[block] = at
+                # half the budget more on each side, as hits on near diagonals are not verified again
                 low, high = max(0, at - slack - slack // 2), at + len(s.text) + slack + slack // 2
                 if slack == 0:
                     whole = text.startswith(s.text, at) if at >= 0 else False
