@@ -157,7 +157,9 @@ def exact_top_k(
         F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    centres = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()]
+    n = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    # no more pivots than full groups, so that indexes are few and large
+    centres = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(min(pivots, n["n"] // group_rows + 1)).select("v").collect()]
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,21 +170,18 @@ def exact_top_k(
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], names=[*b.schema.names, "p"])
 
     placed = cut(rows.mapInArrow(tidy(nearest), "id long, v array<long>, asks boolean, p int").withColumn("row", F.monotonically_increasing_id()))
-    sizes = {r["p"]: (r["n"], r["q"]) for r in placed.groupBy("p").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()}  # a row for each pivot
-
-    def deal(which: int, most: int) -> tuple[Column, int]:
-        """A number for parts of a pivot of about ``most`` rows, and how many there are in all."""
-        first, count, total = [], [], 0
-        for p in range(max(1, len(centres))):
-            parts = sizes.get(p, (0, 0))[which] // most + 1 if p in sizes else 0
-            first.append(F.lit(total))
-            count.append(F.lit(max(1, parts)))
-            total += parts
-        pick = lambda values: F.get(F.array(*values), F.col("p"))
-        return (pick(first) + F.pmod(F.xxhash64("id", F.lit(which)), pick(count))).cast("int"), total
-
-    group, groups = deal(0, group_rows)
-    batch, batches = deal(1, batch_rows)
+    sizes = {r["p"]: r["n"] for r in placed.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row for each pivot
+
+    # each pivot's rows are dealt by a hash over as many groups as they fill
+    first, parts, groups = [], [], 0
+    for p in range(max(1, len(centres))):
+        first.append(F.lit(groups))
+        parts.append(F.lit(sizes.get(p, 0) // group_rows + 1))
+        groups += sizes.get(p, 0) // group_rows + 1
+    at = lambda values: F.get(F.array(*values), F.col("p"))
+    group = (at(first) + F.pmod(F.xxhash64("id"), at(parts))).cast("int")
+    batches = n["q"] // batch_rows + 1
+    batch = F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")
     kinds = "n int, width int, ids binary, blocks binary, top binary, low binary"
 
     def build(part: pa.Table) -> pa.Table:
@@ -219,8 +218,8 @@ def exact_top_k(
         release()
         return pa.table({"row": rows, "query_id": ids, "vec_id": np.array([h[1] for h in found], np.int64), "score": np.array([h[2] for h in found], np.int64)})
 
-    left = index.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(max(1, batches) - 1))))
-    right = floored.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(max(1, groups) - 1))))
+    left = index.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    right = floored.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     found = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(answer, "row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
