@@ -273,7 +273,7 @@ def news_relevance(spark, sf_dir):
           FROM (SELECT *, CASE WHEN quantity = 0 THEN CAST(0 AS DOUBLE) ELSE cost * gone_units / abs(quantity) END AS gone
                 FROM (SELECT r.l_suppkey, f.n, r.quantity, r.cost, r.realised, f.size, f.price, sign(r.quantity) AS side, least(abs(r.quantity), greatest(0, -sign(r.quantity) * f.size)) AS gone_units
                       FROM r JOIN f ON f.l_suppkey = r.l_suppkey AND f.n = r.n + 1)))""",
-        "SELECT l_suppkey, n, quantity, round(CASE WHEN quantity = 0 THEN 0 ELSE cost / quantity END, 4) AS average, round(realised, 2) AS realised FROM r",
+        "SELECT l_suppkey, n, quantity, round(CASE WHEN quantity = 0 THEN 0 ELSE cost / quantity END * 10000) / 10000 AS average, round(realised * 100) / 100 AS realised FROM r",
     )
 )
 def position_netting(spark, sf_dir):
@@ -281,7 +281,7 @@ def position_netting(spark, sf_dir):
     size = F.col("l_quantity").cast("long") * F.when(F.col("l_returnflag").isin("A", "R"), -1).otherwise(1)
     fills = li.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", size.alias("size"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     out = L.net_positions(fills, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
-    return out.select("l_suppkey", "n", "quantity", F.round("average", 4).alias("average"), F.round("realised", 2).alias("realised"))
+    return out.select("l_suppkey", "n", "quantity", (F.round(F.col("average") * 10_000) / 10_000).alias("average"), (F.round(F.col("realised") * 100) / 100).alias("realised"))
 
 
 _REASON = """CASE WHEN kill THEN 'kill_switch_active' WHEN NOT currency THEN 'currency_mismatch' WHEN NOT quality THEN 'quality_unavailable' WHEN NOT live THEN 'stale_or_missing_price'
