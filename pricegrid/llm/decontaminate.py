@@ -29,11 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import texts, tidy
 
-_OTHER = re.compile(r"[\W_]+")
+_WORDS = re.compile(r"[^\W_]+")
+_ASCII = "".join(chr(i).lower() if chr(i).isalnum() else " " for i in range(128))
 
 
 def normalise(text: str) -> str:
-    return _OTHER.sub(" ", text.lower()).strip()
+    if text.isascii():  # the same by a table
+        return " ".join(text.translate(_ASCII).split())
+    return " ".join(_WORDS.findall(text.lower()))
 
 
 @dataclass(frozen=True)
@@ -118,6 +121,8 @@ class PieceIndex:
             start = last + 1 - length
             for i, offset in where:
                 s = self.parts[i]
+                if s.item in found and not found[s.item][0]:
+                    continue  # nothing is nearer
                 at, slack = start - offset, s.budget
                 near = slack // 2
                 block = at // (near + 1) * every + i
