@@ -19,8 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, seq (1, 2, ... by symbol), source_sequence, event_us, received_us, raw, price."""
+#: Ids that one bucket of the spine spans: what one task sorts, however long the history of a symbol is.
+BUCKET = 1 << 20
+
+
+def price_events(spark: SparkSession, sf_dir: str, bucket: int = BUCKET) -> DataFrame:
+    """symbol, seq (1, 2, ... by symbol), source_sequence, event_us, received_us, raw, price.
+
+    Places and walks are sums within buckets of ids plus the totals of the buckets before, so that no task walks
+    through all events of a symbol; only one row for each bucket does. A null value moves nothing; null symbols are a
+    symbol, null ids come first.
+    """
     cents = F.round(F.col("value") * 100).cast("long")
     delay = F.get_json_object("props", "$.k").cast("long") * 10_000
     e = table(spark, sf_dir, "events").select(
@@ -31,16 +40,18 @@ def price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (cents * 10).alias("raw"),
         F.when(F.col("event_id") % 2 == 0, cents).otherwise(-cents).alias("move"),
     )
-    w = Window.partitionBy("symbol").orderBy("source_sequence")
-    return e.select(
-        "symbol",
-        F.row_number().over(w).alias("seq"),
-        "source_sequence",
-        "event_us",
-        "received_us",
-        "raw",
-        (F.sum("move").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 10_000_000).alias("price"),
+    e = e.withColumn("bucket", F.call_function("div", F.col("source_sequence"), F.lit(bucket)))
+    earlier = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = e.groupBy("symbol", "bucket").agg(F.count("*").alias("rows"), F.sum("move").alias("moved"))
+    before = totals.select(
+        F.col("symbol").alias("of_symbol"), F.col("bucket").alias("of_bucket"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"), F.sum("moved").over(earlier).alias("moved_before")
     )
+    w = Window.partitionBy("symbol", "bucket").orderBy("source_sequence")
+    own = e.withColumn("nth", F.row_number().over(w)).withColumn("walked", F.sum("move").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = own.join(before, F.col("symbol").eqNullSafe(F.col("of_symbol")) & F.col("bucket").eqNullSafe(F.col("of_bucket")))
+    walked = F.coalesce(F.col("walked") + F.col("moved_before"), "walked", "moved_before")
+    seq = F.col("nth") + F.col("rows_before")
+    return placed.select("symbol", seq.alias("seq"), "source_sequence", "event_us", "received_us", "raw", (walked + 10_000_000).alias("price"))
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
