@@ -158,8 +158,14 @@ def relevance(currencies: Column, symbols: Column, watched_currencies: list[str]
 
 
 def canonical(*columns: str) -> Column:
-    """Our canonical form of a row: name=value pairs in the order of names, null as an empty value."""
-    return F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in sorted(columns)])
+    """Our canonical form of a row: name=value pairs in the order of names.
+
+    A backslash stands before each \\, | and = of a value, and null is \\N, so that different rows have different forms.
+    """
+    def value(c: str) -> Column:
+        return F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"([\\|=])", r"\\$1"), F.lit("\\N"))
+
+    return F.concat_ws("|", *[F.concat(F.lit(f"{c}="), value(c)) for c in sorted(columns)])
 
 
 def dataset_violations(events: DataFrame, keys: list[str]) -> DataFrame:

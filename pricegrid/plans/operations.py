@@ -11,10 +11,10 @@ from ..operators import gates as G
 from ..operators import ledgers as L
 from ..operators import lifecycle as P
 from ..operators import structure as S
-from ..sources.events import price_events, table
+from ..sources.events import arrivals, price_events, table
 from .market import KEY, moves, query
 from .research import EXPERIENCES, experiences
-from .spine_sql import EVENTS, PIVOTS, sql
+from .spine_sql import ARRIVALS, EVENTS, PIVOTS, sql
 
 # proposals: each order is a case; its key spreads it over the values of every input
 
@@ -368,9 +368,17 @@ def journal_append(spark, sf_dir):
     return a.select("key", "seq", F.when(n == 1, "appended").when(F.col("h") == first, "repeated").otherwise("conflict").alias("outcome"))
 
 
-@query(sql(EVENTS, "SELECT symbol, count(*) AS rows, 0 AS sequence_not_rising, 0 AS time_falling, count(*) FILTER (WHERE received_us < event_us) AS known_before_event, count(*) FILTER (WHERE price <= 0) AS nonpositive_price, 0 AS repeated_identity FROM ev GROUP BY symbol"))
+@query(
+    sql(
+        ARRIVALS,
+        """SELECT symbol, count(*) AS rows, count(*) FILTER (WHERE source_sequence <= s) AS sequence_not_rising, count(*) FILTER (WHERE event_us < t) AS time_falling,
+          count(*) FILTER (WHERE received_us < event_us) AS known_before_event, count(*) FILTER (WHERE price <= 0) AS nonpositive_price, count(*) - count(DISTINCT source_sequence) AS repeated_identity
+        FROM (SELECT *, lag(source_sequence) OVER w AS s, lag(event_us) OVER w AS t FROM arr WINDOW w AS (PARTITION BY symbol ORDER BY arrival)) GROUP BY symbol""",
+    )
+)
 def dataset_verify(spark, sf_dir):
-    return G.dataset_violations(price_events(spark, sf_dir), ["symbol"])
+    """The feed in the order of arrival, with its repetitions and late events."""
+    return G.dataset_violations(arrivals(spark, sf_dir).withColumn("seq", F.col("arrival")), ["symbol"])
 
 
 @query(
