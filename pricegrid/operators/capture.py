@@ -12,6 +12,7 @@ from ..functions.durable import cut
 from . import columns as C
 from . import signals as G
 from . import structure as S
+from .composition import entry_readiness
 
 KINDS = (
     "pnf.transition", "structure.pivot_confirmed", "structure.level_invalidated", "pattern", "trendline.state", "signal.decision", "signal.issued",
@@ -47,17 +48,8 @@ def observations(events: DataFrame, resolutions: dict[str, int], reversal: int,
     before = F.lag("action").over(by_seq)
     decided = scored.select("symbol", "seq", "action", "score", before.alias("before")).filter("before is null or before <> action")
 
-    # the line that an event leaves: a new one where one replaces another, a touch leaves it active
-    active = F.col("state").isin("active", "touch")
-    left = lines.filter((F.col("resolution") == structure) & (F.col("state") != "replaced")).groupBy("symbol", "seq").agg(
-        *[F.max_by(F.when(active, "active").otherwise(F.col("state")), F.when(F.col("kind") == k, active)).alias(n) for n, k in (("support", "bullish_support"), ("resistance", "bearish_resistance"))]
-    )
-    so_far = by_seq.rowsBetween(Window.unboundedPreceding, 0)
-    lined = scored.select("symbol", "seq", "action").join(left, ["symbol", "seq"], "left").select(
-        "symbol", "seq", "action", *[F.last(n, ignorenulls=True).over(so_far).alias(n) for n in ("support", "resistance")]
-    )
-    ready = S.readiness(F.col("action"), F.when(F.col("action") == "BUY", F.col("support")).when(F.col("action") == "SELL", F.col("resistance")))
-    told = lined.select("symbol", "seq", ready.alias("readiness")).withColumn("before", F.lag("readiness").over(by_seq)).filter("before is null or before <> readiness")
+    ready = entry_readiness(scored, lines.filter(F.col("resolution") == structure))
+    told = ready.withColumn("before", F.lag("readiness").over(by_seq)).filter("before is null or before <> readiness")
 
     parts = [
         kind("pnf.transition", m, "kind", "column_id", "direction", "from_price", "to_price"),

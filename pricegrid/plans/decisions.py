@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.durable import cut
 from ..operators import columns as C
+from ..operators import composition as P
+from ..operators import outcomes as O
 from ..operators import signals as G
+from ..operators import structure as S
 from ..sources.events import price_events
-from .market import moves, query
+from .market import KEY, moves, query
+from .research import COST, ENTRY_US, EXIT_US, SIZE
 from .spine_sql import RESOLUTIONS, STRUCTURE
 
 TOLERANCE = 2_500
@@ -31,3 +38,45 @@ def signal_setups(spark, sf_dir):
 @query()
 def signals(spark, sf_dir):
     return G.issue(scored(spark, sf_dir))
+
+
+def signal_fills(spark, sf_dir):
+    return O.profit(P.signal_trades(cut(signals(spark, sf_dir)), price_events(spark, sf_dir), ENTRY_US, EXIT_US), SIZE, COST)
+
+
+@query()
+def signal_trades(spark, sf_dir):
+    """Backtest of the pipeline's own signals."""
+    t = signal_fills(spark, sf_dir)
+    return t.select("symbol", "seq", "side", "score", "decision_us", "entry_us", "entry_price", "exit_us", "exit_price", "gross", "net")
+
+
+@query()
+def signal_metrics(spark, sf_dir):
+    return O.backtest_metrics(signal_fills(spark, sf_dir), ["symbol"])
+
+
+@query()
+def signal_experiences(spark, sf_dir):
+    """Experiences by fingerprint of the decision, with the plan of its setup."""
+    return P.experiences(scored(spark, sf_dir))
+
+
+@query()
+def experience_closing(spark, sf_dir):
+    """Where each of these experiences stands at the end of the events."""
+    return P.closing_states(cut(P.experiences(scored(spark, sf_dir))), price_events(spark, sf_dir))
+
+
+@query()
+def signal_horizons(spark, sf_dir):
+    """Endpoints and excursions of the experiences that have a direction, at four horizons."""
+    found = cut(P.experiences(scored(spark, sf_dir)).filter("side is not null"))
+    return O.horizon_outcomes(found, price_events(spark, sf_dir), [5, 15, 30, 60])
+
+
+@query()
+def entry_readiness_all(spark, sf_dir):
+    """Every decision against the trendlines of the structure's resolution."""
+    m = cut(moves(spark, sf_dir).filter(F.col("resolution") == STRUCTURE))
+    return P.entry_readiness(scored(spark, sf_dir), S.trendlines(m, KEY))
