@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.joins import as_of, range_join
+from .gates import canonical
 
 SECOND = 1_000_000
 HALF_HOUR = 1_800 * SECOND
@@ -143,6 +146,51 @@ def freeze_crossings(events: DataFrame, keys: list[str], lead_us: int) -> DataFr
     return made.select(*keys, "seq", "r.status", "r.target_us")
 
 
+BIASES = ("BULLISH", "BEARISH", "NEUTRAL", "UNAVAILABLE")
+
+
+def lean(theta: int) -> Callable[[Column, Column], Column]:
+    """An algorithm for ``predictions``: where the reference stands against the oldest close, UNAVAILABLE without one."""
+    def bias(reference: Column, closes: Column) -> Column:
+        move = reference - F.get(closes, F.lit(0))
+        return F.when(move >= theta, "BULLISH").when(move <= -theta, "BEARISH").when(move.isNotNull(), "NEUTRAL").otherwise("UNAVAILABLE")
+
+    return bias
+
+
+def predictions(events: DataFrame, keys: list[str], lead_us: int, algorithm: Callable[[Column, Column], Column], algorithm_key: str, history: int = 3) -> DataFrame:
+    """A record for each target that ``freeze_crossings`` gives, with identities that repeat when the run does.
+
+    ``algorithm`` turns the last price before the cutoff and the closes of up to ``history`` candles that ended before
+    the target's predecessor (oldest first) into one of BIASES; any other answer, null included, is UNAVAILABLE, as
+    is a target behind a gap in the feed or one whose evidence became known after the snapshot.
+    """
+    w = Window.partitionBy(*keys).orderBy("seq")
+    seen = events.select(
+        *keys, "seq", F.col("received_us").alias("prediction_us"), F.lag("price").over(w).alias("reference"), F.lag("event_us").over(w).alias("snapshot_us"), F.lag("received_us").over(w).alias("snapshot_received_us")
+    )
+    due = freeze_crossings(events, keys, lead_us).join(seen, [*keys, "seq"])
+    bucket = F.col("event_us") - F.pmod(F.col("event_us"), F.lit(HALF_HOUR))
+    closes = events.groupBy(*keys, bucket.alias("bucket_us")).agg(F.max_by("price", "seq").alias("close"), F.max("received_us").alias("known_us"))
+    asked = due.select(*keys, "seq", "target_us", "snapshot_received_us", F.explode(F.array(*[F.col("target_us") - (k + 1) * HALF_HOUR for k in range(1, history + 1)])).alias("bucket_us"))
+    past = asked.join(closes, [*keys, "bucket_us"]).groupBy(*keys, "seq", "target_us").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("bucket_us", "close"))), lambda x: x["close"]).alias("closes"), F.bool_or(F.col("known_us") > F.col("snapshot_received_us")).alias("late_evidence")
+    )
+    rows = due.join(past, [*keys, "seq", "target_us"], "left").withColumn("closes", F.coalesce("closes", F.array().cast("array<bigint>")))
+    rows = rows.withColumn("said", algorithm(F.col("reference"), F.col("closes")))
+    reason = (
+        F.when(F.col("status") == "SKIPPED", "discontinuous_feed").when(F.col("late_evidence"), "evidence_after_cutoff")
+        .when(~F.coalesce(F.col("said").isin(*BIASES), F.lit(False)), "algorithm_invalid_output")
+    )
+    candle = F.sha2(canonical(*keys, "target_us"), 256)
+    lag = F.greatest(F.lit(0).cast("long"), F.col("prediction_us") - F.col("target_us"))
+    return rows.withColumn("reason", reason).withColumn("candle_id", candle).select(
+        *keys, "seq", "status", "target_us", (F.col("target_us") - lead_us).alias("cutoff_us"), "snapshot_us", "prediction_us", "reference", F.size("closes").alias("history"), (lag > 0).alias("late"),
+        lag.alias("freeze_lag_us"), F.when(F.col("reason").isNull(), F.col("said")).otherwise("UNAVAILABLE").alias("bias"), "reason", "candle_id",
+        F.sha2(F.concat_ws("|", F.lit(algorithm_key), "candle_id"), 256).alias("prediction_id"),
+    )
+
+
 def candle_outcomes(events: DataFrame, keys: list[str], theta: int) -> DataFrame:
     """Each candle against the last price before it: returns, excursions and their times, label, first touch."""
     rows = events.withColumn("bucket_us", F.col("event_us") - F.pmod(F.col("event_us"), F.lit(HALF_HOUR)))

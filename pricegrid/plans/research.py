@@ -194,6 +194,27 @@ def freeze_crossings(spark, sf_dir):
     return O.freeze_crossings(price_events(spark, sf_dir), ["symbol"], 60_000_000)
 
 
+@query(
+    sql(
+        EVENTS,
+        """, b AS (SELECT symbol, seq, event_us, received_us, lag(event_us) OVER w AS bf, lag(price) OVER w AS reference, lag(received_us) OVER w AS known FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY seq)),
+        c AS (SELECT *, (bf + 60000000) // 1800000000 * 1800000000 + 1800000000 AS f1, (event_us + 60000000) // 1800000000 * 1800000000 AS fn FROM b WHERE bf IS NOT NULL),
+        t AS (SELECT *, 'FROZEN' AS status, f1 AS target_us FROM c WHERE f1 <= fn AND bf >= f1 - 1800000000 UNION ALL SELECT *, 'SKIPPED', fn FROM c WHERE f1 <= fn AND (fn <> f1 OR bf < f1 - 1800000000)),
+        cl AS (SELECT symbol, event_us // 1800000000 * 1800000000 AS bucket_us, arg_max(price, seq) AS close, max(received_us) AS known_us FROM ev GROUP BY ALL),
+        h AS (SELECT t.symbol, t.seq, t.target_us, arg_min(close, bucket_us) AS oldest, count(*) AS history, bool_or(known_us > known) AS late_evidence
+              FROM t JOIN cl ON cl.symbol = t.symbol AND cl.bucket_us >= t.target_us - 7200000000 AND cl.bucket_us < t.target_us - 1800000000 GROUP BY ALL),
+        r AS (SELECT t.*, coalesce(history, 0) AS history, oldest, CASE WHEN status = 'SKIPPED' THEN 'discontinuous_feed' WHEN late_evidence THEN 'evidence_after_cutoff' END AS reason,
+              sha256('symbol=' || t.symbol || '|target_us=' || t.target_us) AS candle_id FROM t LEFT JOIN h ON h.symbol = t.symbol AND h.seq = t.seq AND h.target_us = t.target_us)
+        SELECT symbol, seq, status, target_us, target_us - 60000000 AS cutoff_us, bf AS snapshot_us, received_us AS prediction_us, reference, history, received_us > target_us AS late, greatest(0, received_us - target_us) AS freeze_lag_us,
+          CASE WHEN reason IS NOT NULL OR oldest IS NULL THEN 'UNAVAILABLE' WHEN reference - oldest >= 3000 THEN 'BULLISH' WHEN reference - oldest <= -3000 THEN 'BEARISH' ELSE 'NEUTRAL' END AS bias, reason, candle_id,
+          sha256('lean-v1|' || candle_id) AS prediction_id FROM r""",
+    )
+)
+def m30_predictions(spark, sf_dir):
+    """What was said before each half-hour candle, and what it was said from."""
+    return O.predictions(price_events(spark, sf_dir), ["symbol"], 60_000_000, O.lean(3_000), "lean-v1")
+
+
 @query(
     sql(
         EVENTS,

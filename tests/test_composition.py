@@ -146,3 +146,32 @@ def test_empty_tables(spark):
     assert P.signal_trades(issued, events, 1, 1).count() == 0
     found = spark.createDataFrame([], "symbol string, seq long, experience_id string, t0 long, side string, zone_low long, zone_high long, stop long, tp1 long, tp2 long")
     assert P.closing_states(found, events).count() == 0
+
+
+def test_predictions(spark, tmp_path):
+    """A frozen target, a late one, one behind a gap; a second writing of the records changes nothing."""
+    from pricegrid.operators import outcomes as O
+    from pricegrid.sources import journal
+
+    minute = 60_000_000
+    given = [(10, 10, 100_000), (40, 40, 101_000), (70, 70, 104_000), (100, 100, 109_000), (119.5, 125, 110_000), (300, 300, 90_000)]
+    rows = [("s", i + 1, int(t * minute), int(r * minute), p) for i, (t, r, p) in enumerate(given)]
+    e = spark.createDataFrame(rows, "symbol string, seq long, event_us long, received_us long, price long")
+    made = O.predictions(e, ["symbol"], minute, O.lean(3_000), "lean-v1")
+    got = {r.target_us // minute: r for r in made.collect()}
+    assert {t: (r.status, r.bias, r.reason, r.reference, r.history) for t, r in got.items()} == {
+        30: ("FROZEN", "UNAVAILABLE", None, 100_000, 0), 60: ("FROZEN", "NEUTRAL", None, 101_000, 1), 90: ("FROZEN", "BULLISH", None, 104_000, 2),
+        120: ("FROZEN", "BULLISH", None, 109_000, 3), 300: ("SKIPPED", "UNAVAILABLE", "discontinuous_feed", 110_000, 0),
+    }
+    assert (got[120].late, got[120].freeze_lag_us) == (True, 5 * minute) and len({r.prediction_id for r in got.values()}) == 5
+    odd = O.predictions(e, ["symbol"], minute, lambda reference, closes: F.lit("MAYBE"), "odd-v1")
+    assert {(r.bias, r.reason) for r in odd.collect()} == {("UNAVAILABLE", "algorithm_invalid_output"), ("UNAVAILABLE", "discontinuous_feed")}
+    assert O.predictions(e.limit(0), ["symbol"], minute, O.lean(1), "x").count() == 0
+
+    def kept(df):
+        return df.select(F.lit("m30").alias("stream"), F.col("prediction_id").alias("event_key"), F.to_json(F.struct(*df.columns)).alias("payload"))
+
+    path = str(tmp_path / "predictions")
+    assert (journal.append(spark, path, kept(made), 0), journal.append(spark, path, kept(made), 1)) == (5, 0)
+    with pytest.raises(journal.JournalConflict):
+        journal.append(spark, path, kept(made.withColumn("bias", F.lit("BEARISH"))), 2)
