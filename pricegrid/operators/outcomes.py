@@ -70,14 +70,19 @@ def horizon_outcomes(experiences: DataFrame, events: DataFrame, minutes: list[in
     """For each experience (symbol, seq, t0, reference, side) and horizon: endpoint and excursions within it.
 
     A sample counts if both its clocks are after t0 and not after the due time; the endpoint is the first
-    event at or after it whose knowledge time is after t0.
+    event at or after it whose knowledge time is after t0. Each sample meets its experience once, for all horizons.
     """
     due = F.col("t0") + F.col("minutes") * 60 * SECOND
     asked = experiences.withColumn("minutes", F.explode(F.array(*[F.lit(m).cast("long") for m in minutes]))).withColumn("due", due)
     samples = events.select("symbol", F.col("event_us").alias("at"), "received_us", "price")
-    inside = range_join(asked, samples, ["symbol"], "at", F.col("t0") + 1, F.col("due"), max(minutes) * 60 * SECOND)
-    inside = inside.filter((F.col("received_us") > F.col("t0")) & (F.col("received_us") <= F.col("due")))
-    stats = inside.groupBy("symbol", "seq", "minutes").agg(F.max("price").alias("top"), F.min("price").alias("low"), F.count("*").alias("samples"))
+    longest = max(minutes) * 60 * SECOND
+    inside = range_join(experiences.select("symbol", "seq", "t0"), samples, ["symbol"], "at", F.col("t0") + 1, F.col("t0") + longest, longest).filter(F.col("received_us") > F.col("t0"))
+
+    def within(m: int) -> Column:
+        counts = F.greatest("at", "received_us") <= F.col("t0") + m * 60 * SECOND
+        return F.struct(F.lit(m).cast("long").alias("minutes"), F.max(F.when(counts, F.col("price"))).alias("top"), F.min(F.when(counts, F.col("price"))).alias("low"), F.count_if(counts).alias("samples"))
+
+    stats = inside.groupBy("symbol", "seq").agg(F.array(*map(within, minutes)).alias("all")).select("symbol", "seq", F.explode("all").alias("of")).select("symbol", "seq", "of.*")
     ends = samples.select("symbol", "at", F.col("at").alias("endpoint_us"), F.col("price").alias("endpoint_price"))
     ended = as_of(asked.withColumn("at", F.col("due")), ends, ["symbol"], "at", ["endpoint_us", "endpoint_price"], forward=True, tie="endpoint_us").drop("at")
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
