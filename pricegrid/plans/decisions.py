@@ -19,7 +19,8 @@ TOLERANCE = 2_500
 
 
 def scored(spark, sf_dir):
-    m = moves(spark, sf_dir)
+    # six consumers: transitions are folded once and read from there
+    m = cut(moves(spark, sf_dir))
     grid = C.matrix(price_events(spark, sf_dir), m, "symbol", list(RESOLUTIONS))
     return G.score(G.changes(m, grid, list(RESOLUTIONS), STRUCTURE, TOLERANCE), TOLERANCE)
 
