@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, pii, quality, secrets, shards, tokens, toxicity, vectors
+from . import chat, decontaminate, jaccard, language, pii, quality, secrets, shards, tokens, toxicity, vectors
 from .common import crc_mod, table
 
 
@@ -16,12 +16,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, net, keep=[held])
 
 
+def _counts(spans: str, field: str, kinds: tuple[str, ...]) -> list[Column]:
+    """How many of the array's spans have each kind's number in ``field``, as n_<kind>.
+
+    The number is bound here: a second parameter of the lambda would be the element's index.
+    """
+
+    def of_kind(number: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s[field] == number)).cast("long")
+
+    return [of_kind(number).alias(f"n_{kind}") for number, kind in enumerate(kinds)]
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
     return found.select(
         "doc_id",
-        *counts,
+        *_counts("base", "kind", pii.KINDS),
         F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.span_list(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
@@ -47,10 +58,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["ord"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
     return found.select(
         "doc_id",
-        *counts,
+        *_counts("base", "ord", secrets.KINDS[:3]),
         F.sha2(secrets.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         secrets.span_list(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
@@ -85,6 +95,14 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    turns = rows.unionByName(planted).withColumn("parts", chat.text_parts(F.col("text")))
+    return chat.read_back(chat.format_turns(turns)).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -96,6 +114,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_top_k": op9_top_k,
     "op10_shards": op10_shards,
+    "op13_chat": op13_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -111,4 +130,19 @@ ORACLE_SQL: dict[str, str] = {
           SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op13_chat": r"""
+        WITH t AS (
+          SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL
+          SELECT -7, u.turn, u.role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) u(turn, role)),
+        f AS (
+          SELECT *, regexp_replace(text, '(\\|### |</turn>|<\|)', '\\\1', 'g') AS body,
+            regexp_replace(role, '([\\:#<\n])', '\\\1', 'g') AS head FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, body || '</turn>' || chr(10))) AS turns_sha256,
+          CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+          sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, body || '</turn>' || chr(10))) AS loss_sha256,
+          CAST(sum(4 + length(head) + 2 + length(body) + 8) AS BIGINT) AS formatted_chars
+        FROM f GROUP BY conv_id
+    """,
 }
