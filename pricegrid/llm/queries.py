@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, negatives, pii, quality, secrets, shards, tokens, toxicity, vectors
+from . import chat, decontaminate, jaccard, language, negatives, pii, quality, secrets, shards, tokens, toxicity, variants, vectors
 from .common import crc_mod, table
 
 
@@ -95,6 +95,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -119,6 +123,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_top_k": op9_top_k,
     "op10_shards": op10_shards,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_chat": op13_chat,
 }
@@ -136,6 +141,43 @@ ORACLE_SQL: dict[str, str] = {
           SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op11_spelling_variants": """
+        WITH crc AS (
+          SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda s, b: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END) ORDER BY i) AS step
+          FROM range(256) r(i)),
+        runs AS (
+          SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id,
+            translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{6,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+          FROM documents),
+        bytes AS (
+          SELECT run, flatten(list_transform(range(1, length(id || run) + 1), lambda i:
+            CASE WHEN unicode(substring(id || run, i, 1)) < 128 THEN [unicode(substring(id || run, i, 1))::BIGINT] ELSE [195, unicode(substring(id || run, i, 1))::BIGINT - 64] END)) AS b
+          FROM runs),
+        hashed AS (
+          SELECT run, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda s, x: xor(s >> 8, step[(xor(s, x) & 255) + 1])), 4294967295::BIGINT) AS h FROM bytes, crc),
+        v AS (
+          SELECT word, count(*) AS n FROM (
+            SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM hashed)
+          WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+        cuts AS (
+          SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        near AS (
+          SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT v.word, c.word, c.n FROM v JOIN cuts c ON v.word = c.rest
+          UNION SELECT c.word, v.word, v.n FROM v JOIN cuts c ON v.word = c.rest),
+        best AS (
+          SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, other_n FROM near
+          QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+        formed AS (
+          SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
+          FROM v LEFT JOIN best USING (word)),
+        roots AS (
+          WITH RECURSIVE walk(word, root, form) AS (
+            SELECT word, word, form FROM formed
+            UNION ALL SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON walk.form = formed.word)
+          SELECT word, root FROM walk WHERE form IS NULL)
+        SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+    """,
     "op12_hard_negatives": """
         WITH v AS (
           SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
