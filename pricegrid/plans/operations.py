@@ -356,18 +356,6 @@ def journal_verify(spark, sf_dir):
     return stored.select("k", (F.sha2(G.canonical("k", "v"), 256) == hashed).alias("intact"))
 
 
-@query(
-    """WITH a AS (SELECT o_custkey % 100 AS key, o_orderkey AS seq, CAST(round(o_totalprice) AS BIGINT) % 3 AS h FROM orders), f AS (SELECT *, first_value(h) OVER (PARTITION BY key ORDER BY seq) AS h0, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM a)
-    SELECT key, seq, CASE WHEN n = 1 THEN 'appended' WHEN h = h0 THEN 'repeated' ELSE 'conflict' END AS outcome FROM f"""
-)
-def journal_append(spark, sf_dir):
-    """Write-once keys: the first row is appended, an equal one is a repetition, another one a conflict."""
-    w = Window.partitionBy("key").orderBy("seq")
-    a = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("key"), F.col("o_orderkey").alias("seq"), (F.round("o_totalprice").cast("long") % 3).alias("h"))
-    first, n = F.first("h").over(w), F.row_number().over(w)
-    return a.select("key", "seq", F.when(n == 1, "appended").when(F.col("h") == first, "repeated").otherwise("conflict").alias("outcome"))
-
-
 @query(
     sql(
         ARRIVALS,
