@@ -29,6 +29,7 @@ Repeated rows are linked. An empty table gives an empty one; extra columns are i
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,6 +50,7 @@ _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = _U(0x9E3779B97F4A7C15)
 _PLACE = _BYTE[:64] * _STEP | _U(1)  # a factor for each place in a shingle
+_LONG = 64
 _BLOCK = 1 << 20  # bytes of text that are hashed at a time
 
 
@@ -58,6 +60,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each word: eight bytes at a time go into the state, which is mixed in between, so no word's letters can make up for
+    each other as in a sum. Words of more than _LONG bytes, of which texts have few, are hashed one by one."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    state = _mix(length.astype(_U) * _STEP + _BYTE[0])
+    at = np.flatnonzero(length <= _LONG)
+    for k in range(0, _LONG, 8):
+        at = at[length[at] > k]
+        if not len(at):
+            break
+        left = np.minimum(length[at] - k, 8)
+        piece = eight[starts[at] + k] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - _U(8) * left.astype(_U)))
+        state[at] = _mix((state[at] ^ _mix(piece + _BYTE[1])) * _STEP + _BYTE[2])
+    for i in np.flatnonzero(length > _LONG):
+        state[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : starts[i] + length[i]].tobytes(), digest_size=8).digest(), "little")
+    return state
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' distinct shingles, ascending within each text, and their offsets by text."""
     n = len(offsets) - 1
@@ -72,11 +93,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, _U), np.zeros(n + 1, np.int64)
-    length = np.diff(np.append(starts, len(raw)))
-    place = np.arange(starts[0], len(raw)) - np.repeat(starts, length)
-    power = np.cumprod(np.full(int(length.max()) + 1, _STEP, _U))
-    value = np.where(letter[starts[0] :], _BYTE[_LOWER[raw[starts[0] :]]] * power[place], _U(0))
-    word = _mix(np.add.reduceat(value, starts - starts[0]))
+    last = letter.copy()
+    last[:-1] &= ~letter[1:] | first[1:]
+    word = _word_hashes(_LOWER[raw], starts, np.flatnonzero(last) + 1 - starts)
 
     first_word = np.searchsorted(starts, offsets)  # of each text, and the number of words
     count = np.diff(first_word)

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -301,6 +302,18 @@ def test_sets_of_one_fingerprint_are_told_apart(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+def test_words_that_sums_of_letters_confuse_are_told_apart(spark):
+    """Thue-Morse words and their complements have the same sum of letter times power, modulo 2 ** 64, for every factor."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << 12)]
+    for n in (8, 32, 64, 72, 1 << 10, 1 << 12):
+        one, two = ("".join("ab"[b ^ flip] for b in bits[:n]) for flip in (0, 1))
+        rows = [(1, one), (2, two), (3, f"w x {one} y z"), (4, f"w x {two} y z"), (5, one.upper()), (6, one + "\0"), (7, one[:-1])]
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()} if n == 1 << 10 else None
+        sets, offsets = jaccard.shingle_sets(*common.utf8_buffers(pa.array([t for _, t in rows])), 5)
+        assert got is None or got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 6, 7: 7}
+        assert len(set(sets.tolist())) == 6 and offsets.tolist() == list(range(8))
+
+
 def test_one_of_each_group_stays(spark):
     rows = near_copies(4)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")
