@@ -26,6 +26,26 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, take: lis
     return got.select(*left.columns, *[F.col(f"__got.{c}").alias(c) for c in take])
 
 
+def forward_fill(df: DataFrame, keys: list[str], order: str, filled: dict[str, Column], width: int) -> DataFrame:
+    """``df`` and, for each entry of ``filled``, its last value that isn't null at or before the row.
+
+    Rows are walked through within buckets of ``width`` in ``order``, a whole number; a bucket's first rows take what the
+    buckets before carried in, of which one row each meets in a task. ``df`` is read twice, so give a table that is written or cheap.
+    """
+    at = df.withColumn("__b", F.call_function("div", F.col(order), F.lit(width)))
+    within = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = at.select("*", *[F.last(c, ignorenulls=True).over(within).alias(f"__own_{n}") for n, c in filled.items()])
+    ends = at.groupBy(*keys, "__b").agg(*[F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(f"__end_{n}") for n, c in filled.items()])
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *[F.col(k).alias(f"__key_{k}") for k in keys], F.col("__b").alias("__of"), *[F.last(f"__end_{n}", ignorenulls=True).over(before).alias(f"__in_{n}") for n in filled]
+    )
+    same = F.col("__b").eqNullSafe(F.col("__of"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    return own.join(carried, same).select(*df.columns, *[F.coalesce(f"__own_{n}", f"__in_{n}").alias(n) for n in filled])
+
+
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, low: Column, high: Column, width: int) -> DataFrame:
     """Right rows with low <= right.at <= high of the left row, joined on buckets of ``width``.
 

@@ -43,7 +43,7 @@ def observations(events: DataFrame, resolutions: dict[str, int], reversal: int,
     line = Window.partitionBy(*key, "kind", "anchor_a_seq", "anchor_b_seq", "state").orderBy("seq")
     first = lines.withColumn("nth", F.row_number().over(line)).filter("nth = 1")
 
-    scored = cut(G.score(G.changes(m, C.matrix(events, m, "symbol", list(resolutions)), list(resolutions), structure, tolerance), tolerance))
+    scored = cut(G.score(G.inputs(events, m, C.matrix(events, m, "symbol", list(resolutions)), list(resolutions), structure, tolerance), tolerance))
     by_seq = Window.partitionBy("symbol").orderBy("seq")
     before = F.lag("action").over(by_seq)
     decided = scored.select("symbol", "seq", "action", "score", before.alias("before")).filter("before is null or before <> action")

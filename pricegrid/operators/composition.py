@@ -1,7 +1,6 @@
 """From decisions to trades and experiences: the operators of the other modules, one behind the other.
 
-``scored`` is what ``signals.score`` gives, a row for each event with a transition. Events without one leave every
-input of a decision as it was, but for the staleness of the matrix.
+``scored`` is what ``signals.score`` gives, a row for each event.
 """
 
 from __future__ import annotations

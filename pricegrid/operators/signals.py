@@ -1,7 +1,11 @@
-"""Scored signals: evidence for and against at each change, the score, and what may be issued.
+"""Scored signals: evidence for and against at every event, the score, and what may be issued.
 
-Evidence and points are windows and expressions over one row for each change of any resolution; only cooldown,
-expiry and the suppression of repetitions feed back, and fold over three columns.
+Evidence and points are joins on the event, forward fills and expressions; only cooldown and the suppression of
+repetitions feed back, and fold over the few rows that could be issued. Cooldown and expiry count events.
+
+Defined results: an event without transition has what the ones before left, but for the matrix, whose transitions go
+stale; before the first pivot, while the matrix is unavailable or the regime unknown, and where something was confirmed later
+than the event's own time, the action is WAIT. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -12,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.durable import cut
 from ..functions.folds import ordered_fold
+from ..functions.joins import forward_fill
 from . import structure as S
 
 # Weights of the components.
@@ -24,34 +30,37 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def changes(moves: DataFrame, matrix: DataFrame, resolutions: list[str], structure: str, tolerance: int) -> DataFrame:
-    """One row for each event with a transition of any resolution, and all that a signal looks at, as of the event.
+def inputs(events: DataFrame, moves: DataFrame, matrix: DataFrame, resolutions: list[str], structure: str, tolerance: int, width: int = 1 << 20) -> DataFrame:
+    """One row for each event, and all that a signal looks at, as of the event.
 
-    Of several transitions at an event, that of the first resolution counts.
+    Of several transitions at an event, that of the first resolution counts. ``moved_seq`` is the event of the latest one.
     """
     place = F.array_position(F.array(*map(F.lit, resolutions)), F.col("resolution"))
-    latest = F.min_by(F.struct("kind", "direction", "to_price", "box"), place).alias("m")
-    rows = moves.groupBy("symbol", "seq").agg(latest, F.max("event_us").alias("event_us")).select("symbol", "seq", "event_us", "m.*")
+    latest = F.min_by(F.struct("kind", "direction", "to_price", "box", F.col("seq").alias("moved_seq"), F.col("event_us").alias("moved_us")), place).alias("m")
+    rows = moves.groupBy("symbol", "seq").agg(latest)
     own = moves.filter(F.col("resolution") == structure)
     key = ["symbol"]
     pivots = S.pivots(own, key)
     by_seq = Window.partitionBy("symbol").orderBy("seq")
     last = [F.struct("kind", "price", "seq").alias("p0"), F.lag(F.struct("kind", "price", "seq"), 1).over(by_seq).alias("p1"), F.lag(F.struct("kind", "price", "seq"), 2).over(by_seq).alias("p2")]
+    told_us = F.max("confirmed_us").over(by_seq.rowsBetween(Window.unboundedPreceding, 0)).alias("told_us")
     regime = S.regime(pivots, key).select("symbol", "seq", "label")
     found = S.patterns(pivots, key, tolerance).groupBy("symbol", "seq").agg(
         F.count_if(F.col("direction") == "bullish").alias("bullish_patterns"), F.count_if(F.col("direction") == "bearish").alias("bearish_patterns")
     )
-    known = pivots.select("symbol", "seq", "confirmed_seq", *last).join(regime, ["symbol", "seq"]).join(found, ["symbol", "seq"], "left").drop("seq").withColumnRenamed("confirmed_seq", "seq")
+    known = pivots.select("symbol", "seq", "confirmed_seq", told_us, *last).join(regime, ["symbol", "seq"]).join(found, ["symbol", "seq"], "left").drop("seq").withColumnRenamed("confirmed_seq", "seq")
     levels = S.active_levels(own, key)
-    wide = rows.join(known, ["symbol", "seq"], "left").join(levels, ["symbol", "seq"], "left").join(matrix.select("symbol", "seq", "alignment"), ["symbol", "seq"], "left")
-    so_far = by_seq.rowsBetween(Window.unboundedPreceding, 0)
+    wide = events.select("symbol", "seq", "event_us")
+    for part in (matrix.select("symbol", "seq", "alignment"), rows, known, levels):
+        wide = wide.join(part, ["symbol", "seq"], "left")
     # pivots, regime, patterns and levels hold until the next confirmation or transition says otherwise
-    held = F.last(F.when(F.col("p0").isNotNull(), F.struct("p0", "p1", "p2", "label", "bullish_patterns", "bearish_patterns")), ignorenulls=True).over(so_far)
-    at_own = F.struct("support", "resistance")
-    is_own = F.col("support").isNotNull() | F.col("resistance").isNotNull()
-    return wide.withColumn("held", held).withColumn("near", F.last(F.when(is_own, at_own), ignorenulls=True).over(so_far)).select(
-        "symbol", "seq", "event_us", "kind", "direction", "to_price", "box", "alignment", "held.*", "near.*"
-    )
+    near = F.struct("support", "resistance")
+    filled = {
+        "moved": F.col("m"),
+        "held": F.when(F.col("p0").isNotNull(), F.struct("p0", "p1", "p2", "label", "bullish_patterns", "bearish_patterns", "told_us")),
+        "near": F.when(F.col("support").isNotNull() | F.col("resistance").isNotNull(), near),
+    }
+    return forward_fill(cut(wide), key, "seq", filled, width).select("symbol", "seq", "event_us", "alignment", "moved.*", "held.*", "near.*")
 
 
 def structure_side(p0: Column, p1: Column, p2: Column, tolerance: int) -> Column:
@@ -74,7 +83,7 @@ def structure_side(p0: Column, p1: Column, p2: Column, tolerance: int) -> Column
 def score(rows: DataFrame, tolerance: int, gap_min: int = 8, wait_max: int = 49, action_min: int = 65) -> DataFrame:
     """Adds the side of each component, buy and sell points, the score and the action."""
     w = WEIGHTS
-    pnf = F.when(F.col("direction") == "X", "BUY").otherwise("SELL")
+    pnf = F.when(F.col("direction") == "X", "BUY").when(F.col("direction") == "O", "SELL")
     near = F.when(F.col("to_price") <= F.col("support"), "BUY").when(F.col("to_price") >= F.col("resistance"), "SELL").otherwise(pnf)
     grid = F.when(F.col("alignment") == "aligned_bullish", "BUY").when(F.col("alignment") == "aligned_bearish", "SELL")
     sided = rows.select(
@@ -104,7 +113,8 @@ def score(rows: DataFrame, tolerance: int, gap_min: int = 8, wait_max: int = 49,
         return F.struct(v["buy"].alias("buy_points"), v["sell"].alias("sell_points"), value.alias("score"), action.alias("action"))
 
     up, down = F.coalesce("bullish_patterns", F.lit(0)).cast("int"), F.coalesce("bearish_patterns", F.lit(0)).cast("int")
-    known = F.col("p0").isNotNull() & F.coalesce(F.col("alignment") != "unavailable", F.lit(False))
+    later = F.coalesce(F.greatest("told_us", "moved_us") > F.col("event_us"), F.lit(False))
+    known = F.col("p0").isNotNull() & F.coalesce(F.col("alignment") != "unavailable", F.lit(False)) & F.coalesce(F.col("label") != "unknown", F.lit(False)) & ~later
     forced = F.coalesce(F.col("alignment") == "mixed", F.lit(False)) | F.coalesce(F.col("label").isin("range", "high_volatility"), F.lit(False))
     points_of = _let(F.struct(points("BUY").alias("b"), points("SELL").alias("s"), up.alias("up"), down.alias("down")), with_patterns)
     told = _let(F.struct(points_of.alias("p"), known.alias("known"), forced.alias("forced")), lambda v: decide({"buy": v["p"]["buy"], "sell": v["p"]["sell"], "known": v["known"], "forced": v["forced"]}))
@@ -132,30 +142,35 @@ def setup(rows: DataFrame, half_width_percent: int = 50, first_percent: int = 15
 
 
 class IssueFold:
-    """Cooldown after a signal, expiry of the active one, and no repetition of it."""
+    """Which of the rows that could be issued are: none within ``cooldown`` events of the last one, nor the same again while it is active."""
 
     def __init__(self, cooldown: int, expiry: int):
-        self.cooldown, self.expiry, self.n, self.last, self.active = cooldown, expiry, 0, None, None
+        self.cooldown, self.expiry, self.last, self.told = cooldown, expiry, None, None
 
     def step(self, seq: int, action: str, score: int, refs: str) -> Iterable[tuple]:
-        self.n += 1
-        out = []
-        if self.active and self.n - self.last > self.expiry:
-            out.append((self.active[2], self.active[0], "expired", seq, self.active[3]))
-            self.active = None
-        if self.last is not None and self.n - self.last <= self.cooldown or action == "WAIT":
-            return out
-        if self.active and self.active[:2] == (action, refs):
-            return out
-        self.last, self.active = self.n, (action, refs, seq, score)
-        return [*out, (seq, action, "issued", seq, score)]
+        if self.last is not None:
+            age = seq - self.last
+            if age <= self.cooldown or age <= self.expiry and self.told == (action, refs):
+                return ()
+        self.last, self.told = seq, (action, refs)
+        return ((seq, action, score),)
 
     def finish(self) -> Iterable[tuple]:
         return ()
 
 
 def issue(scored: DataFrame, cooldown: int = 3, expiry: int = 20) -> DataFrame:
-    """The signals that are issued and when they expire; ``seq`` is that of the signal, ``at_seq`` that of the event."""
-    refs = F.concat_ws("|", "pnf_side", "structure_side", "sr_side", "matrix_side", "regime_side", F.col("p0.seq"))
-    rows = scored.select("symbol", "seq", "action", "score", refs.alias("refs"))
-    return ordered_fold(rows, ["symbol"], ["seq"], lambda *_: IssueFold(cooldown, expiry), "symbol string, seq long, action string, status string, at_seq long, score int")
+    """The signals that are issued and when they expire; ``seq`` is that of the signal, ``at_seq`` that of the event.
+
+    A signal needs a plan. The latest one expires once more than ``expiry`` events have passed; one that another follows before doesn't.
+    """
+    refs = F.concat_ws("|", "pnf_side", "structure_side", "sr_side", "matrix_side", "regime_side", F.col("p0.seq"), "moved_seq")
+    could = setup(scored).filter("action <> 'WAIT' and risk is not null").select("symbol", "seq", "action", "score", refs.alias("refs"))
+    issued = ordered_fold(could, ["symbol"], ["seq"], lambda *_: IssueFold(cooldown, expiry), "symbol string, seq long, action string, score int")
+    ends = issued.withColumn("next", F.lead("seq").over(Window.partitionBy("symbol").orderBy("seq")))
+    over = F.col("seq") + expiry + 1
+    last = scored.groupBy("symbol").agg(F.max("seq").alias("last_seq"))
+    states = F.array(F.struct(F.lit("issued").alias("status"), F.col("seq").alias("at_seq")), F.struct(F.lit("expired").alias("status"), over.alias("at_seq")))
+    told = ends.join(last, "symbol").withColumn("s", F.explode(states))
+    gone = (F.col("s.status") == "issued") | ((over <= F.col("last_seq")) & (F.col("next").isNull() | (F.col("next") >= over)))
+    return told.filter(gone).select("symbol", "seq", "action", "s.status", "s.at_seq", "score")

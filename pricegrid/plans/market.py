@@ -377,10 +377,7 @@ def pattern_counts(spark, sf_dir):
     return S.patterns(S.pivots(moves(spark, sf_dir), KEY), KEY, 2_500).groupBy("symbol", "resolution", "name").agg(F.count("*").alias("n"))
 
 
-@query(
-    sql(
-        PIVOTS
-        + """,
+REGIME = """,
 rw AS (
   SELECT symbol, resolution, seq, row_number() OVER (PARTITION BY symbol, resolution ORDER BY seq) AS i, price - first_value(price) OVER w AS slope, max(price) OVER w - min(price) OVER w AS width, count(*) OVER w AS n
   FROM piv WINDOW w AS (PARTITION BY symbol, resolution ORDER BY seq ROWS 3 PRECEDING)),
@@ -392,10 +389,10 @@ reg AS (
   SELECT symbol, resolution, i, seq, slope, width, CASE WHEN held THEN before ELSE own END,
     CASE WHEN held THEN 'hysteresis_hold' ELSE CASE own WHEN 'high_volatility' THEN 'volatility_width_threshold' WHEN 'trend' THEN 'trend_slope_threshold' ELSE 'range_compaction' END END
   FROM (SELECT l.*, r.label AS before, l.own <> r.label AND ((r.label = 'high_volatility' AND l.width >= 85000) OR (r.label = 'trend' AND l.own = 'range' AND abs(l.slope) >= 25000)) AS held
-        FROM reg r JOIN lab l ON l.symbol = r.symbol AND l.resolution = r.resolution AND l.i = r.i + 1))""",
-        "SELECT symbol, resolution, seq, slope, width, label, reason FROM reg",
-    )
-)
+        FROM reg r JOIN lab l ON l.symbol = r.symbol AND l.resolution = r.resolution AND l.i = r.i + 1))"""
+
+
+@query(sql(PIVOTS + REGIME, "SELECT symbol, resolution, seq, slope, width, label, reason FROM reg"))
 def regime(spark, sf_dir):
     return S.regime(S.pivots(moves(spark, sf_dir), KEY), KEY)
 

@@ -250,7 +250,7 @@ def test_signals_do_not_look_ahead(spark, small):
 
     def issued(events):
         m = C.transitions(C.fan_out(events, RESOLUTIONS), ["symbol", "resolution"])
-        scored = G.score(G.changes(m, C.matrix(events, m, "symbol", list(RESOLUTIONS)), list(RESOLUTIONS), STRUCTURE, 2500), 2500)
+        scored = G.score(G.inputs(events, m, C.matrix(events, m, "symbol", list(RESOLUTIONS)), list(RESOLUTIONS), STRUCTURE, 2500), 2500)
         return {tuple(r) for r in scored.select("symbol", "seq", "buy_points", "sell_points", "score", "action").filter("seq <= 120").collect()}
 
     e = price_events(spark, small)
@@ -258,12 +258,39 @@ def test_signals_do_not_look_ahead(spark, small):
     assert whole == issued(e.filter("seq <= 120")) and len(whole) > 20
 
 
-def test_cooldown_and_expiry():
+def test_cooldown_and_repetition():
+    """Cooldown and expiry count events, not the rows that could be issued."""
     from pricegrid.operators.signals import IssueFold
 
-    fold = IssueFold(cooldown=2, expiry=3)
-    out = [list(fold.step(i, a, 70, r)) for i, (a, r) in enumerate([("BUY", "x"), ("SELL", "y"), ("BUY", "x"), ("BUY", "x"), ("BUY", "x")])]
-    assert [[(o[1], o[2]) for o in row] for row in out] == [[("BUY", "issued")], [], [], [], [("BUY", "expired"), ("BUY", "issued")]]
+    fold = IssueFold(cooldown=2, expiry=6)
+    asked = [(10, "BUY", "x"), (12, "SELL", "y"), (13, "BUY", "x"), (16, "BUY", "x"), (17, "BUY", "x"), (19, "BUY", "x"), (20, "SELL", "x")]
+    assert [s for s, a, r in asked if list(fold.step(s, a, 70, r))] == [10, 17, 20]
+
+
+def test_signals_expire_unless_another_follows(spark, small):
+    from pricegrid.plans.catalog import QUERIES
+
+    got: dict = {}
+    for r in QUERIES["signals"](spark, small).collect():
+        got.setdefault((r.symbol, r.status), []).append((r.seq, r.at_seq))
+    last = {r.symbol: r.n for r in QUERIES["price_events_spine"](spark, small).groupBy("symbol").agg(F.max("seq").alias("n")).collect()}
+    assert any(status == "expired" for _, status in got)
+    for (symbol, status), rows in got.items():
+        if status == "issued":
+            seqs = sorted(s for s, _ in rows)
+            assert all(b - a > 3 for a, b in zip(seqs, seqs[1:], strict=False))
+            gone = [(a, a + 21) for a, b in zip(seqs, [*seqs[1:], None], strict=True) if a + 21 <= last[symbol] and (b is None or b >= a + 21)]
+            assert sorted(got.get((symbol, "expired"), [])) == gone
+
+
+def test_values_are_carried_over_buckets(spark):
+    from pricegrid.functions.joins import forward_fill
+
+    rows = [("a", i, i if i % 7 == 0 else None) for i in range(40)] + [("b", 3, None), ("b", 30, 5), ("b", 39, None), (None, 1, 2), (None, 25, None)]
+    df = spark.createDataFrame(rows, "k string, at long, v long").repartition(3)
+    for width in (1, 5, 1000):
+        got = {(r.k, r.at): r.got for r in forward_fill(df, ["k"], "at", {"got": F.col("v")}, width).collect()}
+        assert got == {(k, t): next((v for s, u, v in sorted((x for x in rows if x[0] == k), key=lambda x: -x[1]) if u <= t and v is not None), None) for k, t, _ in rows}
 
 
 def test_ordered_scan_of_all_events(spark, small):
