@@ -11,6 +11,7 @@ from ..operators import gates as G
 from ..operators import ledgers as L
 from ..operators import lifecycle as P
 from ..operators import structure as S
+from ..operators.automata import EDGES, STATES
 from ..sources.events import arrivals, price_events, table
 from .market import KEY, moves, query
 from .research import EXPERIENCES, experiences
@@ -206,13 +207,6 @@ def unresolved_keys(spark, sf_dir):
     return s.filter(F.col("state").isin("ATTEMPTED_NO_RESULT", "RESULT_UNSAFE", "CLAIMED_NOT_ATTEMPTED") | F.col("state").startswith("CORRUPT")).select("key", "state")
 
 
-EDGES = {
-    "SETUP": ("WAIT_ENTRY", "BLOCKED", "CANCELLED"), "WAIT_ENTRY": ("ENTRY_PENDING", "BLOCKED", "REJECTED", "CANCELLED"), "ENTRY_PENDING": ("OPEN", "REJECTED", "EMERGENCY"),
-    "OPEN": ("MANAGING", "EXIT_PENDING", "EMERGENCY"), "MANAGING": ("EXIT_PENDING", "EMERGENCY"), "EXIT_PENDING": ("CLOSED", "EMERGENCY"),
-}
-STATES = ("SETUP", "WAIT_ENTRY", "ENTRY_PENDING", "OPEN", "MANAGING", "EXIT_PENDING", "CLOSED", "BLOCKED")
-
-
 @query(
     "WITH t AS (SELECT o_orderkey AS k, " + _pick_sql(1, STATES).replace("k //", "o_orderkey //") + " AS a, " + _pick_sql(8, STATES).replace("k //", "o_orderkey //") + " AS b FROM orders) SELECT k, a || '->' || b IN ("
     + ", ".join(f"'{a}->{b}'" for a, bs in EDGES.items() for b in bs) + ") AS allowed FROM t"
