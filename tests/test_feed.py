@@ -30,14 +30,20 @@ def test_backfill_is_the_range_scan(spark, small, folder, plain):
     for start, end in ((0, None), (100, 250), (999, 999), (5_000, None), (-9, 3)):
         got = rows(feed.backfill(spark, folder, start, end))
         assert sorted(got) == sorted(r for r in plain if r[1] >= start and (end is None or r[1] <= end))
-    scan = QUERIES["range_scan"](spark, small)
-    low, high = scan.agg(F.min("source_sequence"), F.max("source_sequence")).first()
-    want = {(r.symbol, r.source_sequence) for r in scan.select("symbol", "source_sequence").collect()}
-    assert want <= {(r[0], r[1]) for r in rows(feed.backfill(spark, folder, low, high))}
     with pytest.raises(Exception, match="invalid_backfill_range"):
         feed.backfill(spark, folder, 9, 3).collect()
 
 
+def test_backfill_of_the_range_scan(spark, tmp_path):
+    """The rows of the query range_scan, from a feed with more events."""
+    feed.register(spark)
+    sf = "/root/testdata/sf0.01"
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(str(tmp_path / "in"))
+    want = QUERIES["range_scan"](spark, sf).select("symbol", "source_sequence", "event_us", (F.col("raw") / 1000).alias("value"))
+    got = feed.backfill(spark, str(tmp_path / "in"), 1000, 1999).select("symbol", "sequence", "event_us", "value")
+    assert sorted(rows(got)) == sorted(rows(want)) and got.count() == 1000
+
+
 def test_filters_are_taken_over(spark, folder, plain):
     df = spark.read.format("pricegrid_feed").option("path", folder).load()
     asked = df.filter("sequence > 50 and sequence <= 120 and symbol in ('click', 'view') and value > 3")
