@@ -157,19 +157,20 @@ def cut_windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return windows.astype(np.uint8), row, size
 
 
-def sample_windows(labelled: DataFrame, text_col: str, label_col: str, per_label: int, per_doc: int, most_labels: int) -> tuple[np.ndarray, list[str]]:
+def sample_windows(labelled: DataFrame, text_col: str, label_col: str, per_label: int, per_doc: int, most_texts: int) -> tuple[np.ndarray, list[str]]:
     """About per_label different texts of each label, per_doc windows of each, spread over the whole text.
 
     Which texts are taken depends on a hash of them alone; each label's share follows from its number of different
-    texts, so no label is lost, whatever its size and however often a text repeats. Of more than ``most_labels``
-    labels the most frequent ones are learned. This is the only sampling; it keeps what reaches the driver under
-    about labels x per_label x (per_doc + 1) windows of 256 bytes.
+    texts, so no label is lost, whatever its size and however often a text repeats. Many labels share ``most_texts``, each
+    with eight texts at least. This is the only sampling; it keeps what reaches the driver under about
+    max(most_texts, 8 x labels) x (per_doc + 1) windows of 256 bytes.
     """
     hashed = F.xxhash64(F.col(text_col))
     sizes = labelled.groupBy(label_col).agg(F.count("*").alias("n"), F.approx_count_distinct(hashed, 0.02).alias("texts"))
-    counts = {r[label_col]: max(1, r["texts"]) for r in sizes.orderBy(F.desc("n"), label_col).limit(most_labels).collect()}
+    counts = {r[label_col]: max(1, r["texts"]) for r in sizes.collect()}
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), []
+    per_label = min(per_label, max(8, most_texts // len(counts)))
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +210,11 @@ def train_language_model(
     per_width: int = 16,
     epochs: int = 6,
     seed: int = 7,
-    most_labels: int = 64,
+    most_texts: int = 25_600,
 ) -> ByteConvNet:
-    """Fit the network on about ``per_label`` different texts of each of at most ``most_labels`` labels (bounded sample)."""
+    """Fit the network on about ``per_label`` different texts of each label, ``most_texts`` of all together (bounded sample)."""
     labelled = labelled.select(text_col, F.col(label_col).cast("string").alias(label_col)).filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
-    x, names = sample_windows(labelled, text_col, label_col, per_label, per_doc, most_labels)
+    x, names = sample_windows(labelled, text_col, label_col, per_label, per_doc, most_texts)
     labels = sorted(set(names))
     net = ByteConvNet.fresh(labels, dim, per_width, seed)
     if len(labels) > 1:

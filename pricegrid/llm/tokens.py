@@ -121,16 +121,22 @@ def _unpack(blob: bytes) -> pa.RecordBatch:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``most`` bytes (one row of any size at least), in the order of the rows."""
+    """Batches of ``most`` bytes at most (or one row that is larger), in the order of the rows."""
     held, size = [], 0
     for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
-            held.append(part)
-            size += int(np.diff(utf8_buffers(part.column(1))[1]).sum())
-            if size >= most:
-                yield pa.concat_batches(held)
-                held, size = [], 0
+        ends = utf8_buffers(batch.column(1))[1]
+        i = 0
+        while i < batch.num_rows:
+            j = int(np.searchsorted(ends, ends[i] + most - size, "right")) - 1
+            if j <= i:  # the next row doesn't fit any more
+                if held:
+                    yield pa.concat_batches(held)
+                    held, size = [], 0
+                    continue
+                j = i + 1
+            j = min(j, batch.num_rows)
+            held.append(batch.slice(i, j - i))
+            size, i = size + int(ends[j] - ends[i]), j
     if held:
         yield pa.concat_batches(held)
 

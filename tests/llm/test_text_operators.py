@@ -601,6 +601,26 @@ def test_tokens(spark, docs, odd, none):
     assert tokens.encode_decode(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 10, 64, 1000])
+def test_chunks_are_cut_by_bytes(most):
+    rnd = random.Random(most)
+    texts = ["é" * rnd.randrange(40) if rnd.random() < 0.9 else None for _ in range(300)] + ["x" * 500, "", "y"]
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(i, min(i + 70, len(texts)))), "text": pa.array(texts[i : i + 70], pa.string())}) for i in range(0, len(texts), 70)]
+    size = lambda part: sum(len((t or "").encode()) for t in part)
+    chunks = [c.column(1).to_pylist() for c in tokens._chunks(iter(batches), most)]
+    assert [t for c in chunks for t in c] == texts
+    assert all(size(c) <= most or sum(bool(t) for t in c) == 1 for c in chunks)
+    assert all(size(a) + size(b[:1]) > most for a, b in zip(chunks, chunks[1:], strict=False))
+
+
+def test_every_label_is_learned(spark):
+    """A hundred labels share the sample; each has some texts."""
+    rows = [(i * 10 + k, f"{chr(0x4E00 + i)}{chr(97 + i % 26)} " * (20 + k), f"l{i:03}") for i in range(100) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    x, names = language.sample_windows(df, "text", "lang", 400, 2, 400)
+    assert len(set(names)) == 100 and len(x) <= 100 * 10 * 3
+
+
 def test_merges():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = tokens.read_ranks(path)
