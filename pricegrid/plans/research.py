@@ -12,7 +12,7 @@ from ..functions.joins import as_of
 from ..operators import outcomes as O
 from ..operators.capture import observations as observe
 from ..sources.events import price_events
-from .market import KEY, moves, query
+from .market import KEY, ORACLE_SQL, QUERIES, moves, query
 from .spine_sql import EVENTS, MOVES, RESOLUTIONS, REVERSAL, STRUCTURE, sql
 
 ENTRY_US, EXIT_US, SIZE, COST = 2_000_000, 600_000_000, 2, 170

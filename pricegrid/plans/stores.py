@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.durable import shared_dir
 from ..sources import datasets, journal
 from ..sources.events import price_events, table
-from .market import ORACLE_SQL, QUERIES, query
+from .market import query
+from .research import ORACLE_SQL, QUERIES
 from .spine_sql import EVENTS
 
 _LEAF = "sha256('event_us=' || event_us || '|price=' || price || '|raw=' || raw || '|received_us=' || received_us || '|seq=' || seq || '|source_sequence=' || source_sequence || '|symbol=' || symbol)"

@@ -11,7 +11,7 @@ from ..operators import hygiene as H
 from ..operators import structure as S
 from ..operators import validation as V
 from ..sources.events import arrivals, price_events, quotes
-from .market import ARRIVAL, KEY, moves, query
+from .market import ARRIVAL, KEY, ORACLE_SQL, QUERIES, moves, query
 from .research import EXPERIENCES, experiences
 from .spine_sql import ARRIVALS, EVENTS, MATRIX, PIVOTS, QUOTES, RESOLUTIONS, sql
 

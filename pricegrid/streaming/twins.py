@@ -51,3 +51,13 @@ def transitions(events: DataFrame, reversal: int = 3) -> DataFrame:
     return events.groupBy("symbol", "resolution").applyInPandasWithState(
         step, f"symbol string, resolution string, {TRANSITION}", "seed long, direction string, edge long, column int", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def sessions(events: DataFrame, keys: list[str], gap: str, time: str = "event_time", late: str = "10 seconds") -> DataFrame:
+    """Sessions that end where a key is silent for ``gap``, each given out once the watermark passes its end."""
+    w = F.session_window(time, gap)
+    return (
+        events.withWatermark(time, late).groupBy(*keys, w.alias("w"))
+        .agg(F.count("*").alias("events"), F.max("price").alias("high"), F.min("price").alias("low"))
+        .select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "high", "low")
+    )
