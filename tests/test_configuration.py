@@ -48,7 +48,7 @@ def test_documents(spark):
     good = '{"name": "n", "box": 1e3, "reversal": 3, "enabled": false, "mode": "atr", "from": null, "sizing": {"least": "-.5", "most": 2, "note": "x"}}'
     cases = [
         (good, []), (None, ["$:undecodable_json"]), ("", ["$:undecodable_json"]), ("[]", ["$.box:missing_field"]), ("7", None),
-        (good.replace("3,", "3.5,"), ["$.reversal:invalid_scalar"]), (good.replace('"note": "x"', '"note": 1'), ["$.sizing.note:invalid_scalar"]),
+        (good.replace('"reversal": 3', '"reversal": 3.5'), ["$.reversal:invalid_scalar"]), (good.replace('"note": "x"', '"note": 1'), ["$.sizing.note:invalid_scalar"]),
         (good.replace('"mode": "atr"', '"mode": null'), ["$.mode:missing_field"]), (good.replace('"from": null', '"from": "yesterday"'), ["$.from:invalid_scalar"]),
         (good.replace("1e3", "Infinity"), ["$:undecodable_json"]), (good.replace('"least"', '"Least"'), ["$.sizing.least:missing_field", "$.sizing:unknown_schema_fields:Least"]),
         (good.replace("{\"least\"", "{\"deep\": {\"least\": 1}, \"least\""), ["$.sizing:unknown_schema_fields:deep"]),
