@@ -7,22 +7,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, take: list[str], forward: bool = False, tie: str | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, take: list[str], forward: bool = False, tie: str | None = None, width: int | None = None) -> DataFrame:
     """Each left row with ``take`` of the last right row at or before it (forward: the first at or after it).
 
     Both sides have ``keys`` and ``at``; ``tie`` orders right rows of equal ``at``, of which backward takes the
-    last and forward the first. One shuffle by key and one sort; the frame is walked through, never held.
-    Left rows without a match keep nulls; a right row whose taken columns are all null still counts as a match.
+    last and forward the first. The frame is walked through, never held: by key alone, or, with ``width``, within buckets of
+    ``at``, which then is a whole number; a bucket's rows without a match of their own take what the bucket before (forward: behind)
+    leaves, of which one row each meets in a task. Left rows without a match keep nulls; a right row whose
+    taken columns are all null still counts as a match.
     """
     r = right.select(*keys, at, (F.col(tie) if tie else F.lit(0)).alias("__tie"), F.struct(*[F.col(c).alias(c) for c in take]).alias("__got"))
     l = left.select(*left.columns, F.lit(True).alias("__left"))
     both = l.unionByName(r, allowMissingColumns=True)
     side = F.col("__left").isNotNull()
-    if forward:
-        w = Window.partitionBy(*keys).orderBy(F.desc(at), side.cast("int"), F.desc("__tie")).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = (F.desc(at), side.cast("int"), F.desc("__tie")) if forward else (F.col(at), side.cast("int"), F.col("__tie"))
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
+        got = both.withColumn("__got", F.last("__got", ignorenulls=True).over(w)).filter("__left")
     else:
-        w = Window.partitionBy(*keys).orderBy(at, side.cast("int"), "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("__got", F.last("__got", ignorenulls=True).over(w)).filter("__left")
+        bucket = F.floor(F.col(at) / F.lit(width)).alias("__b")
+        w = Window.partitionBy(*keys, "__b").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
+        own = both.select("*", bucket).withColumn("__got", F.last("__got", ignorenulls=True).over(w)).filter("__left")
+        pick = F.min_by if forward else F.max_by
+        ends = r.select("*", bucket).groupBy(*keys, "__b").agg(pick("__got", F.struct(at, "__tie")).alias("__end"))
+        # buckets of the left side alone have no row to leave, but a place in the order
+        places = ends.unionByName(l.select(*keys, bucket).distinct(), allowMissingColumns=True).groupBy(*keys, "__b").agg(F.first("__end", ignorenulls=True).alias("__end"))
+        before = Window.partitionBy(*keys).orderBy(F.desc("__b") if forward else F.col("__b")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = places.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col("__b").alias("__of"), F.last("__end", ignorenulls=True).over(before).alias("__in"))
+        same = F.col("__b").eqNullSafe(F.col("__of"))
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+        got = own.join(carried, same).withColumn("__got", F.coalesce("__got", "__in"))
     return got.select(*left.columns, *[F.col(f"__got.{c}").alias(c) for c in take])
 
 

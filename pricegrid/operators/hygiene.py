@@ -6,17 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.running import running
 
-def stream_flags(events: DataFrame, keys: list[str], order: list[str], sequence: str = "source_sequence", time: str = "event_us", identity: str = "identity_key") -> DataFrame:
+
+#: Steps of the first order column that one task sorts, whatever the length of a key's history.
+WIDTH = 1 << 20
+
+
+def stream_flags(
+    events: DataFrame, keys: list[str], order: list[str], sequence: str = "source_sequence", time: str = "event_us", identity: str = "identity_key", width: int = WIDTH
+) -> DataFrame:
     """Adds is_duplicate, is_out_of_order, is_gap and gap_from_sequence, each against all rows before.
 
     A row is out of order if its sequence or its time is below the largest so far, and leaves a gap if its
-    sequence skips numbers. The first row of a key has no flag. Null sequences and times raise no flag.
+    sequence skips numbers. The first row of a key has no flag. Null sequences and times raise no flag. ``order`` begins with a whole
+    number; rows are walked through in buckets of ``width`` of it. An empty table gives an empty one.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = events.withColumn("__seq", F.max(sequence).over(before)).withColumn("__time", F.max(time).over(before))
-    # the same window partitions serve the duplicate rank: one shuffle for all flags
+    return _flagged(events, keys, order, sequence, time, identity, width).drop("__seq", "__time")
+
+
+def _flagged(events: DataFrame, keys: list[str], order: list[str], sequence: str, time: str, identity: str, width: int) -> DataFrame:
+    """The flags, and the largest sequence and time before each row."""
+    out = running(events, keys, order, width, {"__seq": ("max", F.col(sequence), False), "__time": ("max", F.col(time), False)})
     nth = F.row_number().over(Window.partitionBy(*keys, identity).orderBy(*order))
     no = F.lit(False)
     gap = F.coalesce(F.col(sequence) > F.col("__seq") + 1, no)
@@ -26,6 +37,8 @@ def stream_flags(events: DataFrame, keys: list[str], order: list[str], sequence:
         (F.coalesce(F.col(sequence) < F.col("__seq"), no) | F.coalesce(F.col(time) < F.col("__time"), no)).alias("is_out_of_order"),
         gap.alias("is_gap"),
         F.when(gap, F.col("__seq") + 1).alias("gap_from_sequence"),
+        "__seq",
+        "__time",
     )
 
 
@@ -43,34 +56,20 @@ def changed_only(quotes: DataFrame, keys: list[str], order: str, watched: list[s
     return quotes.filter(known).withColumn("__last", last).filter(~now.eqNullSafe(F.col("__last"))).drop("__last")
 
 
-def drop_late(events: DataFrame, keys: list[str], order: list[str], time: str, identity: str) -> DataFrame:
-    """Rows that are neither earlier than the largest time before them nor repeated; numbered by ``accepted``."""
-    flagged = stream_flags(events, keys, order, time=time, identity=identity)
-    high = F.max(time).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    kept = flagged.withColumn("__high", high).filter(~F.col("is_duplicate") & (F.col("__high").isNull() | (F.col(time) >= F.col("__high"))))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return kept.select(*events.columns, nth.alias("accepted"))
+def drop_late(events: DataFrame, keys: list[str], order: list[str], time: str, identity: str, width: int = WIDTH) -> DataFrame:
+    """Rows that are neither earlier than the largest time before them nor repeated; numbered by ``accepted``. Null times are never earlier than others, but others' times hold them back."""
+    flagged = _flagged(events, keys, order, "source_sequence", time, identity, width)
+    kept = flagged.filter(~F.col("is_duplicate") & (F.col("__time").isNull() | (F.col(time) >= F.col("__time")))).select(*events.columns)
+    return running(kept, keys, order, width, {"accepted": ("sum", F.lit(1).cast("long"), True)})
 
 
-def quality_counters(flagged: DataFrame, keys: list[str], order: list[str], sequence: str = "source_sequence") -> DataFrame:
+def quality_counters(flagged: DataFrame, keys: list[str], order: list[str], sequence: str = "source_sequence", width: int = WIDTH) -> DataFrame:
     """Running counts of observed, repeated, out-of-order, gap and backfilled rows."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    high = F.max(sequence).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    backfill = F.coalesce(F.col(sequence) <= high, F.lit(False)) & ~F.col("is_out_of_order") & ~F.col("is_duplicate")
-
-    def total(flag: Column) -> Column:
-        return F.sum(flag.cast("long")).over(so_far)
-
-    marked = flagged.withColumn("__backfill", backfill)
-    return marked.select(
-        *flagged.columns,
-        F.count(F.lit(1)).over(so_far).alias("observed"),
-        total(F.col("is_duplicate")).alias("duplicates"),
-        total(F.col("is_out_of_order")).alias("out_of_order"),
-        total(F.col("is_gap")).alias("gaps"),
-        total(F.col("__backfill")).alias("backfills"),
-    )
+    marked = running(flagged, keys, order, width, {"__high": ("max", F.col(sequence), False)})
+    backfill = F.coalesce(F.col(sequence) <= F.col("__high"), F.lit(False)) & ~F.col("is_out_of_order") & ~F.col("is_duplicate")
+    flags = {"duplicates": F.col("is_duplicate"), "out_of_order": F.col("is_out_of_order"), "gaps": F.col("is_gap"), "backfills": F.col("__backfill")}
+    counted = {"observed": ("sum", F.lit(1).cast("long"), True)} | {n: ("sum", F.coalesce(f, F.lit(False)).cast("long"), True) for n, f in flags.items()}
+    return running(marked.withColumn("__backfill", backfill), keys, order, width, counted).drop("__high", "__backfill")
 
 
 def quality_status(age_us: Column, latency_ms: Column, market_open: Column, stale_s: int = 10, skew_s: int = 5, slow_ms: int = 3000) -> Column:

@@ -26,10 +26,10 @@ def fills(signals: DataFrame, events: DataFrame, entry_delay_us: int, exit_delay
     """Entry at the first event at or after the decision plus delay, exit at the first at or after the entry plus delay."""
     prices = events.select("symbol", F.col("event_us").alias("at"), "price", "seq")
     asked = signals.withColumn("at", F.col("decision_us") + entry_delay_us)
-    entered = as_of(asked, prices.withColumn("found_us", F.col("at")), ["symbol"], "at", ["found_us", "price"], forward=True, tie="seq")
+    entered = as_of(asked, prices.withColumn("found_us", F.col("at")), ["symbol"], "at", ["found_us", "price"], forward=True, tie="seq", width=HALF_HOUR)
     entered = entered.withColumnRenamed("found_us", "entry_us").withColumnRenamed("price", "entry_price").withColumn("at", F.col("entry_us") + exit_delay_us)
     # an unfilled entry has no time to look from; it must not meet rows of null time
-    left = as_of(entered.filter("entry_us is not null"), prices.withColumn("found_us", F.col("at")), ["symbol"], "at", ["found_us", "price"], forward=True, tie="seq")
+    left = as_of(entered.filter("entry_us is not null"), prices.withColumn("found_us", F.col("at")), ["symbol"], "at", ["found_us", "price"], forward=True, tie="seq", width=HALF_HOUR)
     left = left.withColumnRenamed("found_us", "exit_us").withColumnRenamed("price", "exit_price")
     none = entered.filter("entry_us is null").withColumn("exit_us", F.lit(None).cast("long")).withColumn("exit_price", F.lit(None).cast("long"))
     return left.unionByName(none).drop("at")
@@ -84,7 +84,7 @@ def horizon_outcomes(experiences: DataFrame, events: DataFrame, minutes: list[in
 
     stats = inside.groupBy("symbol", "seq").agg(F.array(*map(within, minutes)).alias("all")).select("symbol", "seq", F.explode("all").alias("of")).select("symbol", "seq", "of.*")
     ends = samples.select("symbol", "at", F.col("at").alias("endpoint_us"), F.col("price").alias("endpoint_price"))
-    ended = as_of(asked.withColumn("at", F.col("due")), ends, ["symbol"], "at", ["endpoint_us", "endpoint_price"], forward=True, tie="endpoint_us").drop("at")
+    ended = as_of(asked.withColumn("at", F.col("due")), ends, ["symbol"], "at", ["endpoint_us", "endpoint_price"], forward=True, tie="endpoint_us", width=HALF_HOUR).drop("at")
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
     up, down = F.greatest(F.lit(0), F.col("top") - F.col("reference")), F.greatest(F.lit(0), F.col("reference") - F.col("low"))
     joined = ended.join(stats, ["symbol", "seq", "minutes"], "left")

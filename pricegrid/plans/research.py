@@ -323,7 +323,7 @@ def asof_reference(spark, sf_dir):
     """The last sampled price at or before each event."""
     e = price_events(spark, sf_dir)
     sampled = e.filter("seq % 7 = 0").select("symbol", "event_us", "seq", F.col("price").alias("reference"))
-    return as_of(e.select("symbol", "seq", "event_us"), sampled, ["symbol"], "event_us", ["reference"], tie="seq").select("symbol", "seq", "reference")
+    return as_of(e.select("symbol", "seq", "event_us"), sampled, ["symbol"], "event_us", ["reference"], tie="seq", width=O.HALF_HOUR).select("symbol", "seq", "reference")
 
 
 CUTS = 4  # the history of each symbol is cut at 1/4, 2/4 and 3/4
