@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.durable import global_positions
 from ..operators import columns as C
 from ..operators import hygiene as H
+from ..operators import segments as G
 from ..operators import structure as S
 from ..sources.events import arrivals, price_events, quotes
 from .spine_sql import ARRIVALS, EVENTS, MATRIX, MOVES, PIVOTS, QUOTES, RESOLUTIONS, REVERSAL, STRUCTURE, sql
@@ -255,7 +256,9 @@ def atr_box(spark, sf_dir):
 
 @query(sql(MOVES, "SELECT symbol, resolution, seq, event_us, kind, column_id, direction, from_price, to_price, boxes, box FROM moves"))
 def pnf_transitions(spark, sf_dir):
-    return moves(spark, sf_dir)
+    """Every transition, with the events of a symbol folded in segments."""
+    e = C.fan_out(price_events(spark, sf_dir), RESOLUTIONS).select(*KEY, "seq", "event_us", "price", "box")
+    return G.transitions(e, KEY, REVERSAL).select(*KEY, "seq", "event_us", "kind", "column_id", "direction", "from_price", "to_price", "boxes", "box")
 
 
 @query()
