@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .boxes import boxes, deal, dealt, interval_meets
 from .common import cut, release, tidy
 from .vectors import _matrix
 
@@ -209,58 +210,19 @@ def search(anchors: Side, candidates: Side, of: np.ndarray, floor: np.ndarray, c
     return names[back], best[back], count[back], scored
 
 
-def _deal(sizes: dict[tuple[int, int], int], most: int) -> dict[tuple[int, int], tuple[int, int]]:
-    """(unit, parts) of each cell: a large cell is a unit of several parts, small neighbouring ones are one unit of one part."""
-    out, unit, held = {}, 0, 0
-    for cell in sorted(sizes):
-        if sizes[cell] > most:
-            unit, held = unit + (held > 0), 0
-            out[cell] = unit, -(-sizes[cell] // most)
-            unit += 1
-            continue
-        if held + sizes[cell] > most:
-            unit, held = unit + 1, 0
-        out[cell] = unit, 1
-        held += sizes[cell]
-    return out
-
-
-def _dealt(rows: DataFrame, cells: dict[tuple[int, int], tuple[int, int]], pivots: int, unit: str, part: str, seed: int) -> DataFrame:
-    """``rows`` with their unit and part, from a table with a row for each cell that goes along as a literal."""
-    if not cells:
-        return rows.withColumn(unit, F.lit(0)).withColumn(part, F.lit(0))
-    entries = [e for (f, p), (u, n) in cells.items() for e in (F.lit(f * pivots + p), F.struct(F.lit(u).alias("u"), F.lit(n).alias("n")))]
-    cell = F.create_map(*entries)[F.col("fam") * pivots + F.col("p")]
-    return rows.withColumn(unit, cell["u"]).withColumn(part, F.pmod(F.xxhash64("row", F.lit(seed)), cell["n"]).cast("int"))
-
-
 def _boxes(rows: DataFrame, by: list[str], box: str) -> DataFrame:
-    """``by``, families (a bit each), y_low, y_high and box: smallest and largest value of each dimension, by an aggregate over
-    (group, dimension), so that no group is gathered."""
-    whole = rows.groupBy(*by).agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1, fam)")).alias(f"families_{box}"), F.min("y").alias(f"low_{box}"), F.max("y").alias(f"high_{box}"))
-    at = rows.select(*by, F.posexplode("v").alias("d", "x")).groupBy(*by, "d").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("has"))
-    # a vector that lacks a dimension has zero there
-    edge = lambda c, f: F.when(F.col("has") < F.col("n"), f(F.col(c), F.lit(0).cast("long"))).otherwise(F.col(c)).cast("double").alias(c)
-    sides = at.join(whole, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("d", edge("low", F.least), edge("high", F.greatest)))).alias(box))
-    return whole.drop("n").join(sides, by, "left").withColumn(box, F.coalesce(box, F.array().cast("array<struct<d:int,low:double,high:double>>")))
+    """``by``, the box, its label families (a bit each), smallest and largest label."""
+    told = rows.groupBy(*by).agg(F.bit_or(F.expr("shiftleft(1, fam)")).alias(f"families_{box}"), F.min("y").alias(f"low_{box}"), F.max("y").alias(f"high_{box}"))
+    return told.join(boxes(rows, by, box), by)
 
 
 def _may_meet(a: str, b: str, same_label: bool) -> Column:
-    """Whether the boxes ``a`` (which has need and cap) and ``b`` leave a pair of rows that counts. The interval is widened by more
-    than the rounding of its sums."""
-
-    def total(f) -> Column:
-        corners = lambda x, y: (x["low"] * y["low"], x["low"] * y["high"], x["high"] * y["low"], x["high"] * y["high"])
-        terms = F.zip_with(a, b, lambda x, y: F.when(x.isNull() | y.isNull(), F.lit(0.0)).otherwise(f(*corners(x, y))))
-        return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
-
-    slack = total(lambda *c: F.greatest(*map(F.abs, c))) * 1e-9
-    near = (total(F.greatest) + slack >= F.col("need").cast("double")) & (total(F.least) - slack <= F.col("cap").cast("double"))
+    """Whether the boxes ``a`` (which has need and cap) and ``b`` leave a pair of rows that counts."""
     if same_label:
         labels = (F.col(f"families_{a}").bitwiseAND(F.col(f"families_{b}")) != 0) & (F.col(f"low_{a}") <= F.col(f"high_{b}")) & (F.col(f"high_{a}") >= F.col(f"low_{b}"))
     else:
         labels = ~((F.col(f"low_{a}") == F.col(f"high_{a}")) & (F.col(f"low_{b}") == F.col(f"high_{b}")) & (F.col(f"low_{a}") == F.col(f"low_{b}")))
-    return labels & near
+    return labels & interval_meets(a, b, F.col("need"), F.col("cap"))
 
 
 class _Search:
@@ -369,11 +331,11 @@ def mine_negatives(
     placed = cut(named.withColumn("row", F.monotonically_increasing_id()).withColumn("fam", F.pmod("y", F.lit(families)).cast("int")))
     # a row for each cell, families * pivots at most
     sizes = {(r["fam"], r["p"]): (r["n"], r["q"]) for r in placed.groupBy("fam", "p").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()}
-    cells = _deal({c: many for c, (many, _) in sizes.items()}, group_rows)
-    asking = _deal({c: asked for c, (_, asked) in sizes.items()}, batch_rows)
-    placed = _dealt(placed, cells, pivots, "u", "g", 1)
+    cells = deal({c: many for c, (many, _) in sizes.items()}, group_rows)
+    asking = deal({c: asked for c, (_, asked) in sizes.items()}, batch_rows)
+    placed = dealt(placed, cells, pivots, "u", "g", 1)
     run = _Search(placed, max((u for u, _ in cells.values()), default=-1) + 1)
-    anchors = _dealt(placed.filter("asks"), asking, pivots, "ub", "b", 2).select("ub", "b", "u", "fam", "id", "row", "y", "v")
+    anchors = dealt(placed.filter("asks"), asking, pivots, "ub", "b", 2).select("ub", "b", "u", "fam", "id", "row", "y", "v")
 
     target = F.struct(F.lit(0).cast("long").alias("t"), F.lit(_MIN).alias("floor"), F.lit(_MAX).alias("ceiling"))
     own = anchors.select(*run.batch, "u", F.lit(0).alias("g")).distinct()

@@ -7,7 +7,8 @@ the blocks. Each group's index is built and written once: the blocks' forward in
 (dimension), the largest and smallest weight in each block.
 
 A query first meets the group that it would lie in itself; the k-th score there is a floor for the k-th score of all
-and goes with it to every other group. In a group, blocks are met in the order of their bounds (the sum over the terms
+and goes with it. Queries that share a pivot form batches of bounded size. The interval of all products between a batch's box and
+those of a pivot's rows, then of its groups, says which groups can reach the batch's lowest floor, and only these meet it. In a group, blocks are met in the order of their bounds (the sum over the terms
 of the larger of weight x maximum and weight x minimum) and scored through the forward index until bounds fall below
 the floor or the k-th score. Groups and batches of queries meet in an equi-join on their numbers; what reaches the
 floor is merged by a window. Nothing is approximated. On unit vectors without clusters in many dimensions no such
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .boxes import boxes, deal, dealt, interval_meets
 from .common import cut, release, tidy
 
 BLOCK = 64
@@ -138,6 +140,15 @@ def search_group(index: GroupIndex, query_ids: np.ndarray, queries: np.ndarray,
     return out, scored
 
 
+def meetings(rows: DataFrame, floored: DataFrame, pivots: int) -> DataFrame:
+    """ub, b, g: the batches of queries (ub, b, v, floor) and the groups of rows (p, g, v) that can have something for them."""
+    batch = ["ub", "b"]
+    roots = floored.groupBy(*batch).agg(F.min("floor").alias("need")).join(boxes(floored, batch, "box_b"), batch)
+    of_pivot, of_group = cut(boxes(rows, ["p"], "box_p")), cut(boxes(rows, ["p", "g"], "box_g"))
+    near = roots.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(max(0, pivots - 1))))).join(of_pivot, "p").filter(interval_meets("box_b", "box_p", F.col("need")))
+    return cut(near.join(of_group, "p").filter(interval_meets("box_b", "box_g", F.col("need"))).select(*batch, "g"))
+
+
 def exact_top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -157,9 +168,9 @@ def exact_top_k(
         F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    n = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    n = rows.count()
     # no more pivots than full groups, so that indexes are few and large
-    centres = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(min(pivots, n["n"] // group_rows + 1)).select("v").collect()]
+    centres = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(min(pivots, n // group_rows + 1)).select("v").collect()]
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +181,8 @@ def exact_top_k(
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], names=[*b.schema.names, "p"])
 
     placed = cut(rows.mapInArrow(tidy(nearest), "id long, v array<long>, asks boolean, p int").withColumn("row", F.monotonically_increasing_id()))
-    sizes = {r["p"]: r["n"] for r in placed.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row for each pivot
+    counted = placed.groupBy("p").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()  # a row for each pivot
+    sizes = {r["p"]: r["n"] for r in counted}
 
     # each pivot's rows are dealt by a hash over as many groups as they fill
     first, parts, groups = [], [], 0
@@ -180,8 +192,7 @@ def exact_top_k(
         groups += sizes.get(p, 0) // group_rows + 1
     at = lambda values: F.get(F.array(*values), F.col("p"))
     group = (at(first) + F.pmod(F.xxhash64("id"), at(parts))).cast("int")
-    batches = n["q"] // batch_rows + 1
-    batch = F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")
+    asking = deal({(0, r["p"]): r["q"] for r in counted}, batch_rows)
     kinds = "n int, width int, ids binary, blocks binary, top binary, low binary"
 
     def build(part: pa.Table) -> pa.Table:
@@ -190,9 +201,9 @@ def exact_top_k(
         types = {"n": pa.int32(), "width": pa.int32()}
         return pa.table({"g": pa.array([part.column("g")[0].as_py()], pa.int32()), **{c: pa.array([v], types.get(c, pa.binary())) for c, v in packed.items()}})
 
-    placed = placed.withColumn("g", group).withColumn("b", batch)
+    placed = dealt(placed.withColumn("g", group).withColumn("fam", F.lit(0)), asking, pivots, "ub", "b", 2)
     index = cut(placed.select("id", "v", "g").groupBy("g").applyInArrow(build, f"g int, {kinds}"))
-    asked = placed.filter("asks").select("row", "id", "v", "g", "b")
+    asked = placed.filter("asks").select("row", "id", "v", "g", "ub", "b")
 
     def meet(left: pa.Table, right: pa.Table) -> tuple[list[tuple[int, int, int]], pa.Table]:
         if not left.num_rows or not right.num_rows:
@@ -207,9 +218,9 @@ def exact_top_k(
         count = np.bincount([i for i, _, _ in found], minlength=asked.num_rows) if found else np.zeros(asked.num_rows, np.int64)
         for i, _, score in found:  # a query's hits fall
             floors[i] = score if count[i] == k else _NONE
-        return pa.table({"row": asked.column("row"), "id": asked.column("id"), "v": asked.column("v"), "b": asked.column("b"), "floor": pa.array(floors)})
+        return pa.table({"row": asked.column("row"), "id": asked.column("id"), "v": asked.column("v"), "ub": asked.column("ub"), "b": asked.column("b"), "floor": pa.array(floors)})
 
-    floored = cut(index.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(first_floor, "row long, id long, v array<long>, b int, floor long"))
+    floored = cut(index.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(first_floor, "row long, id long, v array<long>, ub int, b int, floor long"))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         found, asked = meet(left, right)
@@ -218,8 +229,10 @@ def exact_top_k(
         release()
         return pa.table({"row": rows, "query_id": ids, "vec_id": np.array([h[1] for h in found], np.int64), "score": np.array([h[2] for h in found], np.int64)})
 
-    left = index.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-    right = floored.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(answer, "row long, query_id long, vec_id long, score long")
+    met = meetings(placed.select("p", "g", "v"), floored, len(centres))
+    left, right = index.join(met, "g"), floored.join(met, ["ub", "b"])
+    right = right.toDF(*right.columns)  # columns of its own, as both sides come from ``met``
+    key = ["ub", "b", "g"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(answer, "row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

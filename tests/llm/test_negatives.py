@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pricegrid.llm import negatives
+from pricegrid.llm import boxes, negatives
 
 SCHEMA = "vec_id long, label long, embedding array<double>, row string, u string, found string, p string"
 
@@ -83,7 +83,7 @@ def test_intervals_hold_every_product():
 
 def test_cells_are_dealt_into_bounded_units():
     cells = {(0, 0): 3, (0, 1): 4, (1, 0): 25, (1, 1): 0, (2, 0): 9, (2, 1): 2, (3, 0): 10}
-    dealt = negatives._deal(cells, 10)
+    dealt = boxes.deal(cells, 10)
     assert dealt[1, 0][1] == 3 and dealt[0, 0][0] == dealt[0, 1][0]
     load = {}
     for c, (u, n) in dealt.items():

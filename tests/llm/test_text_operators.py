@@ -678,6 +678,16 @@ def test_bounds_cut_where_vectors_cluster():
         assert [s for j, _, s in found if j == i] == sorted(scores.tolist(), reverse=True)[:5]
 
 
+def test_groups_out_of_reach_are_never_met(spark):
+    """Two far clusters: the batch of one never meets the groups of the other; a batch without a floor meets all."""
+    rng = np.random.default_rng(2)
+    rows = [(p, g, ub, [int(x) for x in (1000 if p else -1000) + rng.integers(-50, 50, 6)]) for ub, (p, g) in enumerate([(0, 0), (0, 1), (1, 2), (1, 3)]) for _ in range(20)]
+    df = spark.createDataFrame(rows, "p int, g int, ub int, v array<long>")
+    for floor, want in ((5_000_000, {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2), (2, 3), (3, 2), (3, 3)}), (np.iinfo(np.int64).min, {(b, g) for b in range(4) for g in range(4)})):
+        floored = df.select("ub", F.lit(0).alias("b"), "v", F.lit(int(floor)).alias("floor"))
+        assert {(r.ub, r.g) for r in vectors.meetings(df.select("p", "g", "v"), floored, 2).collect()} == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 330)]
