@@ -12,7 +12,7 @@ from ..operators import signals as G
 from ..operators import structure as S
 from ..sources.events import price_events
 from .market import KEY, LEVELS, PATTERN, REGIME, moves, query
-from .research import COST, ENTRY_US, EXIT_US, SIZE
+from .research import COST, ENTRY_US, EXIT_US, METRICS, SIZE
 from .spine_sql import MATRIX, MOVES, PIVOTS, RESOLUTIONS, STRUCTURE, sql
 
 TOLERANCE = 2_500
@@ -37,7 +37,7 @@ SCORED = (
     + REGIME
     + f""",
 own AS (SELECT * FROM moves WHERE resolution = '{STRUCTURE}'),
-tr AS (
+lat AS (
   SELECT symbol, seq, arg_min({{'direction': direction, 'to_price': to_price, 'box': box, 'moved_seq': seq, 'moved_us': event_us}}, list_position({list(RESOLUTIONS)}, resolution)) AS m
   FROM moves GROUP BY symbol, seq),
 pp AS (
@@ -51,9 +51,9 @@ kn AS (
   FROM pp JOIN reg ON reg.symbol = pp.symbol AND reg.seq = pp.pivot_seq AND reg.resolution = '{STRUCTURE}' LEFT JOIN np ON np.symbol = pp.symbol AND np.seq = pp.pivot_seq),
 acl AS (SELECT m.symbol, m.seq, {_PICK.format("support")} AS support, {_PICK.format("resistance")} AS resistance FROM own m),
 inp AS (
-  SELECT ev.symbol, ev.seq, ev.event_us, mat.alignment, last_value(tr.m IGNORE NULLS) OVER w AS m, last_value(kn.held IGNORE NULLS) OVER w AS h,
+  SELECT ev.symbol, ev.seq, ev.event_us, mat.alignment, last_value(lat.m IGNORE NULLS) OVER w AS m, last_value(kn.held IGNORE NULLS) OVER w AS h,
     last_value(CASE WHEN support IS NOT NULL OR resistance IS NOT NULL THEN {{'support': support, 'resistance': resistance}} END IGNORE NULLS) OVER w AS n
-  FROM ev LEFT JOIN mat USING (symbol, seq) LEFT JOIN tr USING (symbol, seq) LEFT JOIN kn USING (symbol, seq) LEFT JOIN acl USING (symbol, seq)
+  FROM ev LEFT JOIN mat USING (symbol, seq) LEFT JOIN lat USING (symbol, seq) LEFT JOIN kn USING (symbol, seq) LEFT JOIN acl USING (symbol, seq)
   WINDOW w AS (PARTITION BY ev.symbol ORDER BY ev.seq ROWS UNBOUNDED PRECEDING)),
 flat AS (
   SELECT symbol, seq, event_us, alignment, m.direction AS direction, m.to_price AS to_price, m.box AS box, m.moved_seq AS moved_seq, h.p0.kind AS k0, h.p0.price AS v0, h.p0.seq AS s0,
@@ -139,14 +139,24 @@ def signal_fills(spark, sf_dir):
     return O.profit(P.signal_trades(cut(signals(spark, sf_dir)), price_events(spark, sf_dir), ENTRY_US, EXIT_US), SIZE, COST)
 
 
-@query()
+SIGNAL_TRADES = (
+    ISSUED
+    + f""",
+dec AS (SELECT sig.symbol, sig.seq, sig.score, CASE action WHEN 'BUY' THEN 'long' ELSE 'short' END AS side, ev.received_us AS decision_us FROM sig JOIN ev ON ev.symbol = sig.symbol AND ev.seq = sig.seq WHERE status = 'issued'),
+ent AS (SELECT s.*, e.event_us AS entry_us, e.price AS entry_price FROM dec s ASOF LEFT JOIN ev e ON s.symbol = e.symbol AND e.event_us >= s.decision_us + {ENTRY_US}),
+exi AS (SELECT s.*, e.event_us AS exit_us, e.price AS exit_price FROM ent s ASOF LEFT JOIN ev e ON s.symbol = e.symbol AND e.event_us >= s.entry_us + {EXIT_US}),
+tr AS (SELECT *, gross - {COST * SIZE} AS net FROM (SELECT *, CASE side WHEN 'long' THEN 1 ELSE -1 END * (exit_price - entry_price) * {SIZE} AS gross FROM exi))"""
+)
+
+
+@query(sql(SIGNAL_TRADES, "SELECT symbol, seq, side, score, decision_us, entry_us, entry_price, exit_us, exit_price, gross, net FROM tr"))
 def signal_trades(spark, sf_dir):
     """Backtest of the pipeline's own signals."""
     t = signal_fills(spark, sf_dir)
     return t.select("symbol", "seq", "side", "score", "decision_us", "entry_us", "entry_price", "exit_us", "exit_price", "gross", "net")
 
 
-@query()
+@query(sql(SIGNAL_TRADES, METRICS))
 def signal_metrics(spark, sf_dir):
     return O.backtest_metrics(signal_fills(spark, sf_dir), ["symbol"])
 

@@ -346,9 +346,12 @@ def active_levels_asof(spark, sf_dir):
     return S.active_levels(moves(spark, sf_dir).filter("resolution = 'slow'"), KEY).select("symbol", "seq", "support", "resistance")
 
 
-@query()
+_HOLDS = "(SELECT price FROM lev l WHERE l.symbol = m.symbol AND l.resolution = m.resolution AND side = '{}' AND confirmed_seq <= m.seq AND (invalidated_seq IS NULL OR invalidated_seq > m.seq) ORDER BY confirmed_seq DESC LIMIT 1)"
+
+
+@query(sql(PIVOTS + LEVELS, f"SELECT m.symbol, m.resolution, m.seq, {_HOLDS.format('support')} AS support, {_HOLDS.format('resistance')} AS resistance FROM moves m"))
 def active_levels_asof_all(spark, sf_dir):
-    """The same at every transition of every resolution; checked against brute force in the tests."""
+    """The same at every transition of every resolution."""
     return S.active_levels(moves(spark, sf_dir), KEY)
 
 

@@ -379,9 +379,17 @@ def hash_chain(spark, sf_dir):
     return ordered_fold(p, ["symbol"], ["seq"], lambda *_: L.ChainFold(), "symbol string, chain string, records long")
 
 
-@query()
+@query(
+    sql(
+        PIVOTS
+        + """, n AS (SELECT symbol, resolution, seq, kind, price, row_number() OVER (PARTITION BY symbol, resolution ORDER BY seq) AS i FROM piv),
+        c AS (SELECT symbol, resolution, i, sha256('' || '|' || kind || ':' || price) AS chain FROM n WHERE i = 1
+              UNION ALL SELECT n.symbol, n.resolution, n.i, sha256(c.chain || '|' || n.kind || ':' || n.price) FROM c JOIN n ON n.symbol = c.symbol AND n.resolution = c.resolution AND n.i = c.i + 1)""",
+        "SELECT symbol, resolution, arg_max(chain, i) AS chain, max(i) AS records FROM c GROUP BY ALL",
+    )
+)
 def hash_chain_all(spark, sf_dir):
-    """One hash over all pivots of each symbol and resolution; checked against brute force in the tests."""
+    """One hash over all pivots of each symbol and resolution."""
     from ..functions.folds import ordered_fold
 
     p = S.pivots(moves(spark, sf_dir), KEY).select(*KEY, "seq", F.concat_ws(":", "kind", "price").alias("record"))

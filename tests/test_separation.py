@@ -16,3 +16,12 @@ def test_the_rest_works_without_the_text_operators(tmp_path):
         assert done.returncode == 0, done.stderr[-2000:]
         n, none, _ = done.stdout.strip().splitlines()[-1].split(" ", 2)
         assert int(n) > 90 and none == "[]"
+    # and it runs: a query with a fold, one over a written table
+    code = (
+        "from pyspark.sql import SparkSession; import __spark_entry__ as e; "
+        "s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', 2).config('spark.ui.enabled', False).getOrCreate(); "
+        "print([e.queries()[n](s, '/root/testdata/sf0.001').count() > 0 for n in ('pnf_transitions', 'journal_append')], e.entry(s).count() > 0)"
+    )
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.strip().splitlines()[-1] == "[True, True] True"
