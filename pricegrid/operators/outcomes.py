@@ -54,7 +54,7 @@ def backtest_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
         F.round(F.sum(net) / F.when(n > 0, n), 6).alias("expectancy"),
         F.round(F.sum(F.when(net > 0, net)) / F.when(lost > 0, lost), 9).alias("profit_factor"),
         F.round(F.count_if(net < 0) / F.when(n > 0, n), 9).alias("false_entry_share"),
-        F.round(F.avg((F.col("entry_us") - F.col("decision_us")) / SECOND), 6).alias("entry_delay_s"),
+        (F.round(F.avg(F.col("entry_us") - F.col("decision_us"))) / SECOND).alias("entry_delay_s"),
     )
 
 

@@ -44,7 +44,7 @@ def backtest_trades(spark, sf_dir):
 
 METRICS = """SELECT symbol, count(net) AS trades, count(*) - count(net) AS unfilled, round(count(*) FILTER (WHERE net > 0) / nullif(count(net), 0), 9) AS win_rate, round(CAST(sum(net) AS DOUBLE) / nullif(count(net), 0), 6) AS expectancy,
           round(CAST(sum(net) FILTER (WHERE net > 0) AS DOUBLE) / nullif(CAST(sum(-net) FILTER (WHERE net < 0) AS DOUBLE), 0), 9) AS profit_factor,
-          round(count(*) FILTER (WHERE net < 0) / nullif(count(net), 0), 9) AS false_entry_share, round(avg((entry_us - decision_us) / 1000000), 6) AS entry_delay_s FROM tr GROUP BY symbol"""
+          round(count(*) FILTER (WHERE net < 0) / nullif(count(net), 0), 9) AS false_entry_share, round(avg(entry_us - decision_us)) / 1000000 AS entry_delay_s FROM tr GROUP BY symbol"""
 
 
 @query(
