@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import automata as A
+from ..operators import contracts as K
 from ..sources.events import table
 from .market import query
 
@@ -63,3 +64,24 @@ def position_results(spark, sf_dir):
         q.alias("requested"), F.when(F.col("l_linestatus") == "F", q).otherwise(0).alias("filled"), F.lit(None).cast("string").alias("code"),
     )
     return A.apply_results(rows, ["l_partkey"], "place")
+
+
+@query(
+    """WITH r AS (
+      SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_returnflag = 'A' AS changes, l_quantity AS q, CASE WHEN l_linestatus = 'F' THEN 'FILLED' ELSE 'PARTIALLY_FILLED' END AS status,
+        round(l_quantity * round(l_discount * 100) / 10) AS filled, CASE WHEN l_tax > 0 THEN l_quantity - round(l_quantity * round(l_discount * 100) / 10) END AS remaining FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN changes THEN 'modify_protection_result_must_not_carry_quantity' WHEN q <= 0 THEN 'invalid_requested_quantity' WHEN filled > q THEN 'filled_quantity_exceeds_requested'
+      WHEN remaining IS NULL THEN 'remaining_quantity_required_for_determinate_result' WHEN status = 'FILLED' AND remaining <> 0 THEN 'filled_result_requires_zero_remaining'
+      WHEN status = 'PARTIALLY_FILLED' AND (filled <= 0 OR remaining <= 0) THEN 'partially_filled_requires_positive_fill_and_remaining' END AS code FROM r"""
+)
+def result_contracts(spark, sf_dir):
+    """Every line item as an execution result, of which its discount says how much was filled; the first rule that it breaks."""
+    q = F.col("l_quantity")
+    filled = F.round(q * F.round(F.col("l_discount") * 100) / 10)
+    action = F.create_map(*[F.lit(v) for kv in _ACTION.items() for v in kv])[F.col("l_returnflag")]
+    r = F.struct(
+        F.col("l_orderkey").cast("string").alias("result_id"), F.col("l_linenumber").cast("string").alias("request_ref"), F.lit(0).cast("long").alias("observed_us"), F.lit(None).cast("string").alias("position_ref"),
+        action.alias("action"), F.when(F.col("l_linestatus") == "F", "FILLED").otherwise("PARTIALLY_FILLED").alias("status"), q.alias("requested"), filled.alias("filled"), F.when(F.col("l_tax") > 0, q - filled).alias("remaining"),
+    )
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r.alias("r"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", K.first_broken(K.result_rules(F.col("r"))).alias("code"))
