@@ -47,7 +47,11 @@ def _scalar(value: Column, wanted: Any, path: str) -> Column:
 
 def refusals(document: Column, schema: Schema) -> Column:
     """array<string>: path:code of each reason against the JSON text; empty where the document is taken."""
-    parsed = F.try_parse_json(document)
+    return F.element_at(F.transform(F.array(F.try_parse_json(document)), lambda parsed: _refused(parsed, schema)), 1)
+
+
+def _refused(parsed: Column, schema: Schema) -> Column:
+    """The refusals of a document that was parsed, or null."""
     found: list[Column] = []
 
     def told(path: str, code: Column) -> Column:
