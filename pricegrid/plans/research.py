@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.joins import as_of
+from ..operators import labels as B
 from ..operators import outcomes as O
 from ..operators.capture import observations as observe
 from ..sources.events import price_events
@@ -321,6 +322,43 @@ def observations_all(spark, sf_dir):
     return observe(price_events(spark, sf_dir), RESOLUTIONS, REVERSAL, STRUCTURE, TOLERANCE)
 
 
+AHEAD, MOST_GAP_US = (24, 240), 7_200_000_000
+
+
+@query(
+    sql(
+        MOVES,
+        f""",
+        ob AS (SELECT m.symbol, m.resolution, m.seq, m.direction = 'X' AS up_side, e.event_us AS t0, e.price AS reference, a AS events_ahead
+               FROM moves m JOIN ev e ON e.symbol = m.symbol AND e.seq = m.seq, (VALUES {", ".join(f"(CAST({n} AS BIGINT))" for n in AHEAD)}) v(a)),
+        gp AS (SELECT *, coalesce(event_us - max(event_us) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {MOST_GAP_US}, false) AS gap, max(seq) OVER (PARTITION BY symbol) AS n FROM ev),
+        win AS (SELECT o.symbol, o.resolution, o.seq, o.up_side, o.events_ahead, any_value(t0) AS t0, any_value(reference) AS reference, bool_or(gap) AS gap, count(*) FILTER (event_us > t0 AND received_us > t0) AS samples,
+                  max(price) FILTER (event_us > t0 AND received_us > t0) AS top, min(price) FILTER (event_us > t0 AND received_us > t0) AS low,
+                  arg_max(event_us, {{'p': price, 's': -g.seq}}) FILTER (event_us > t0 AND received_us > t0) AS top_us, arg_min(event_us, {{'p': price, 's': g.seq}}) FILTER (event_us > t0 AND received_us > t0) AS low_us,
+                  arg_max(price, g.seq) FILTER (event_us > t0 AND received_us > t0) AS ended
+                FROM ob o LEFT JOIN gp g ON g.symbol = o.symbol AND g.seq BETWEEN o.seq + 1 AND o.seq + o.events_ahead GROUP BY ALL),
+        fin AS (SELECT w.*, z.n, greatest(0, top - reference) AS up, greatest(0, reference - low) AS down FROM win w JOIN (SELECT symbol, max(seq) AS n FROM ev GROUP BY symbol) z ON z.symbol = w.symbol)""",
+        """SELECT symbol, resolution, seq, CASE WHEN up_side THEN 'long' ELSE 'short' END AS direction, events_ahead,
+          CASE WHEN seq + events_ahead > n THEN 'CENSORED_END_OF_DATA' WHEN coalesce(gap, false) THEN 'CENSORED_GAP' WHEN samples = 0 THEN 'NO_SAMPLES' ELSE 'COMPLETE' END AS status, samples,
+          CASE WHEN samples > 0 THEN up END AS up, CASE WHEN samples > 0 THEN down END AS down, CASE WHEN samples > 0 THEN CASE WHEN up_side THEN up ELSE down END END AS mfe, CASE WHEN samples > 0 THEN CASE WHEN up_side THEN down ELSE up END END AS mae,
+          CASE WHEN samples > 0 THEN CASE WHEN up_side AND up > 0 THEN top_us - t0 WHEN NOT up_side AND down > 0 THEN low_us - t0 END END AS mfe_after_us,
+          CASE WHEN samples > 0 THEN CASE WHEN up_side AND down > 0 THEN low_us - t0 WHEN NOT up_side AND up > 0 THEN top_us - t0 END END AS mae_after_us, CASE WHEN up_side THEN 1 ELSE -1 END * (ended - reference) AS end_change FROM fin""",
+    )
+)
+def transition_labels(spark, sf_dir):
+    """What the next 24 and 240 events bring, for every transition of every resolution."""
+    side = F.when(F.col("direction") == "X", "long").otherwise("short")
+    m = moves(spark, sf_dir).select("symbol", "resolution", "seq", side.alias("direction"))
+    return B.outcomes(m, price_events(spark, sf_dir), AHEAD, MOST_GAP_US)
+
+
+@query()
+def observation_labels(spark, sf_dir):
+    """The same for all nine kinds of observations."""
+    e = price_events(spark, sf_dir)
+    return B.outcomes(B.directed(observe(e, RESOLUTIONS, REVERSAL, STRUCTURE, TOLERANCE)), e, AHEAD, MOST_GAP_US)
+
+
 @query(sql(EVENTS, "SELECT a.symbol, a.seq, b.price AS reference FROM ev a ASOF LEFT JOIN (SELECT * FROM ev WHERE seq % 7 = 0) b ON a.symbol = b.symbol AND b.event_us <= a.event_us"))
 def asof_reference(spark, sf_dir):
     """The last sampled price at or before each event."""
