@@ -98,3 +98,51 @@ def risk_input_rules(p: Column, account: Column, max_age_us: int, day: Column) -
         ("invalid_account_or_size", unfit), ("invalid_exposure", p["exposure"].isNull() | endless(p["exposure"]) | (p["exposure"] < 0)), ("invalid_price", endless(p["price"]) | (p["price"] <= 0)),
         ("stale_or_future_input", ~(late("account_us") & late("price_us"))), ("out_of_order_day", F.date_format(F.timestamp_micros(p["decision_us"]), "yyyy-MM-dd") < day),
     ]
+
+
+# Fixed values
+LONGEST_REFERENCE = 256
+REFERENCE = r"^[A-Za-z0-9._:/#|+-]+$"
+EVIDENCE = r"^sha256:[0-9a-f]{64}$"
+REDUCING = ("REDUCE", "CLOSE", "MODIFY_PROTECTION")
+SECRET_WORDS = (
+    "password", "passwd", "secret", "token", "bearer", "apikey", "api_key", "api-key", "authorization", "credential", "privatekey", "private_key", "private-key", "-----begin",
+)
+
+
+def reference_rules(c: Column, telling: tuple[str, ...] = SECRET_WORDS) -> Rules:
+    """What an opaque reference may not be: too long, of other letters, or with one of the words ``telling`` a secret; null is of other letters."""
+    low = F.lower(c)
+    tells = F.lit(False)
+    for word in telling:
+        tells = tells | low.contains(word)
+    return [("too_long", F.length(c) > LONGEST_REFERENCE), ("charset_invalid", ~F.coalesce(c.rlike(REFERENCE) & ~c.contains("\n"), F.lit(False))), ("secret_like", tells)]
+
+
+def is_evidence(c: Column) -> Column:
+    """sha256: and 64 lower-case hexadecimal digits, nothing else."""
+    return F.coalesce(c.rlike(EVIDENCE) & (F.length(c) == 71), F.lit(False))
+
+
+def reduction_proposal_rules(p: Column) -> Rules:
+    """``p``: struct of proposal_id, position_id, kind, origin_position_id (null: not from a position), exposure."""
+    return [
+        ("missing_risk_reduction_identity", blank(p["proposal_id"]) | blank(p["position_id"])), ("risk_reduction_requires_risk_reducing_kind", ~F.coalesce(p["kind"].isin(*REDUCING), F.lit(False))),
+        ("risk_reduction_requires_position_origin", p["origin_position_id"].isNull()), ("risk_reduction_position_id_mismatch", p["origin_position_id"] != p["position_id"]),
+        ("invalid_current_exposure", p["exposure"].isNull() | endless(p["exposure"]) | (p["exposure"] < 0)),
+    ]
+
+
+def reduction_decision_rules(d: Column) -> Rules:
+    """``d``: struct of decision_id, proposal_id, position_id, action, allowed, reason_codes (array), quantity, protection: what is left of the position."""
+    allowed, q, stop = F.coalesce(d["allowed"], F.lit(False)), d["quantity"], d["protection"]
+    told = F.coalesce(F.size(d["reason_codes"]) > 0, F.lit(False))
+    return [
+        ("missing_risk_reduction_decision_identity", blank(d["decision_id"]) | blank(d["proposal_id"]) | blank(d["position_id"])),
+        ("risk_reduction_decision_requires_risk_reducing_action", ~F.coalesce(d["action"].isin(*REDUCING), F.lit(False))),
+        ("allowed_decision_must_have_no_reason_codes", allowed & told), ("denied_decision_requires_reason_codes", ~allowed & ~told),
+        ("allowed_reduce_or_close_requires_resulting_quantity", allowed & d["action"].isin("REDUCE", "CLOSE") & q.isNull()),
+        ("allowed_modify_protection_requires_resulting_protection", allowed & (d["action"] == "MODIFY_PROTECTION") & stop.isNull()),
+        ("invalid_resulting_quantity", allowed & (endless(q) | (q < 0))), ("invalid_resulting_protection", allowed & (endless(stop) | (stop <= 0))),
+        ("denied_decision_must_not_carry_resulting_state", ~allowed & (q.isNotNull() | stop.isNotNull())),
+    ]

@@ -234,6 +234,16 @@ def active_levels(moves: DataFrame, keys: list[str]) -> DataFrame:
     return ordered_fold(rows.select(*keys, "seq", "to_price", "kind", "price"), keys, ["seq"], lambda *_: ActiveFold(), schema)
 
 
+def standing_levels(moves: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seq, side, price, status at each transition: the levels that stand (confirmed), or, as long as the key has had no level, one support
+    at the transition's own price that is unavailable. A transition behind the first level where none stands has no row."""
+    began = pivots(moves, keys).groupBy(*keys).agg(F.min("confirmed_seq").alias("began"))
+    here = active_levels(moves, keys).unpivot([*keys, "seq"], ["support", "resistance"], "side", "price").filter("price is not null").withColumn("status", F.lit("confirmed"))
+    none = moves.join(began, keys, "left").filter("began is null or seq < began")
+    none = none.select(*keys, "seq", F.lit("support").alias("side"), F.col("to_price").alias("price"), F.lit("unavailable").alias("status"))
+    return here.unionByName(none)
+
+
 class ActiveFold:
     """Stacks of open levels by age. An older level that is passed no later than a newer one is never asked for,
     so each stack keeps only levels that outlast what came after them."""

@@ -355,6 +355,20 @@ def active_levels_asof_all(spark, sf_dir):
     return S.active_levels(moves(spark, sf_dir), KEY)
 
 
+@query(
+    sql(
+        PIVOTS + LEVELS,
+        f"""SELECT symbol, resolution, seq, side, price, 'confirmed' AS status FROM (
+          SELECT m.symbol, m.resolution, m.seq, 'support' AS side, {_HOLDS.format('support')} AS price FROM moves m UNION ALL SELECT m.symbol, m.resolution, m.seq, 'resistance', {_HOLDS.format('resistance')} FROM moves m) WHERE price IS NOT NULL
+        UNION ALL SELECT symbol, resolution, seq, 'support', to_price, 'unavailable' FROM moves m
+        WHERE NOT EXISTS (SELECT 1 FROM lev l WHERE l.symbol = m.symbol AND l.resolution = m.resolution AND l.confirmed_seq <= m.seq)""",
+    )
+)
+def standing_levels(spark, sf_dir):
+    """The levels of every transition, and a placeholder before there are any."""
+    return S.standing_levels(moves(spark, sf_dir), KEY)
+
+
 PATTERN = """,
 w AS (
   SELECT symbol, resolution, seq, confirmed_seq, lead(confirmed_seq) OVER x AS expired_seq, kind AS kf, price AS f, lag(kind, 1) OVER x AS ke, lag(price, 1) OVER x AS e, lag(kind, 2) OVER x AS kd, lag(price, 2) OVER x AS d,

@@ -85,3 +85,35 @@ def result_contracts(spark, sf_dir):
     )
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r.alias("r"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", K.first_broken(K.result_rules(F.col("r"))).alias("code"))
+
+
+@query(
+    """WITH r AS (
+      SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE l_returnflag WHEN 'R' THEN 'REDUCE' WHEN 'A' THEN 'MODIFY_PROTECTION' ELSE 'CLOSE' END AS action, l_linestatus = 'F' AS allowed, l_tax >= 0.07 AS told,
+        CASE WHEN l_discount > 0.01 THEN CAST(p_size AS BIGINT) - l_quantity END AS q, CASE WHEN l_returnflag = 'A' AND l_discount > 0.01 THEN p_retailprice - 1000 END AS stop FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)
+    SELECT l_orderkey, l_linenumber, CASE WHEN allowed AND told THEN 'allowed_decision_must_have_no_reason_codes' WHEN NOT allowed AND NOT told THEN 'denied_decision_requires_reason_codes'
+      WHEN allowed AND action IN ('REDUCE', 'CLOSE') AND q IS NULL THEN 'allowed_reduce_or_close_requires_resulting_quantity' WHEN allowed AND action = 'MODIFY_PROTECTION' AND stop IS NULL THEN 'allowed_modify_protection_requires_resulting_protection'
+      WHEN allowed AND q < 0 THEN 'invalid_resulting_quantity' WHEN allowed AND stop <= 0 THEN 'invalid_resulting_protection' WHEN NOT allowed AND (q IS NOT NULL OR stop IS NOT NULL) THEN 'denied_decision_must_not_carry_resulting_state' END AS code FROM r"""
+)
+def reduction_contracts(spark, sf_dir):
+    """Every line item as a decision to reduce a position of its part's size; the first rule that it breaks."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), F.col("p_partkey") == F.col("l_partkey"), "left")
+    action = F.when(F.col("l_returnflag") == "R", "REDUCE").when(F.col("l_returnflag") == "A", "MODIFY_PROTECTION").otherwise("CLOSE")
+    given = F.col("l_discount") > 0.01
+    d = F.struct(
+        F.col("l_orderkey").cast("string").alias("decision_id"), F.col("l_linenumber").cast("string").alias("proposal_id"), F.col("l_partkey").cast("string").alias("position_id"), action.alias("action"),
+        (F.col("l_linestatus") == "F").alias("allowed"), F.when(F.col("l_tax") >= 0.07, F.array(F.lit("limit"))).alias("reason_codes"), F.when(given, F.col("p_size") - F.col("l_quantity")).alias("quantity"),
+        F.when(given & (action == "MODIFY_PROTECTION"), F.col("p_retailprice") - 1000).alias("protection"),
+    )
+    return lines.select("l_orderkey", "l_linenumber", K.first_broken(K.reduction_decision_rules(d)).alias("code"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN length(ref) > 256 THEN 'too_long' WHEN NOT regexp_full_match(ref, '[A-Za-z0-9._:/#|+-]+') THEN 'charset_invalid' WHEN contains(lower(ref), 'purchase') OR contains(lower(ref), 'login') THEN 'secret_like' END AS code
+    FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'feed:' || event_type || ':sequence:' || event_id WHEN event_id % 3 = 1 THEN repeat(event_type || '/', CAST(event_id % 60 AS INTEGER)) ELSE props END AS ref FROM events)"""
+)
+def opaque_references(spark, sf_dir):
+    """References of events (names, long paths, free text) and why they can't be opaque; two event types stand for words that tell a secret."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    ref = F.when(k % 3 == 0, F.concat(F.lit("feed:"), kind, F.lit(":sequence:"), k)).when(k % 3 == 1, F.expr("repeat(concat(event_type, '/'), cast(event_id % 60 as int))")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", K.first_broken(K.reference_rules(ref, ("purchase", "login"))).alias("code"))

@@ -62,3 +62,31 @@ def test_risk_inputs(spark):
     codes(spark, good, [("out_of_order_day", {})], schema, lambda r: K.risk_input_rules(r, F.lit(None).cast("string"), 10, F.lit("1970-01-02")))
     df = spark.createDataFrame([({**good, "symbol": "z", "price": -1.0},)], f"r struct<{schema}>")
     assert df.select(K.all_broken(K.risk_input_rules(F.col("r"), F.lit("a"), 10, F.lit(None).cast("string")))).first()[0] == ["symbol_mismatch", "invalid_price"]
+
+
+def test_risk_reduction(spark):
+    schema = "proposal_id:string,position_id:string,kind:string,origin_position_id:string,exposure:double"
+    good = dict(proposal_id="p", position_id="x", kind="REDUCE", origin_position_id="x", exposure=0.0)
+    codes(spark, good, [
+        (None, {}), ("missing_risk_reduction_identity", {"position_id": " "}), ("risk_reduction_requires_risk_reducing_kind", {"kind": "OPEN"}), ("risk_reduction_requires_risk_reducing_kind", {"kind": None}),
+        ("risk_reduction_requires_position_origin", {"origin_position_id": None}), ("risk_reduction_position_id_mismatch", {"origin_position_id": "y"}), ("invalid_current_exposure", {"exposure": NAN}), ("invalid_current_exposure", {"exposure": -1.0}),
+    ], schema, K.reduction_proposal_rules)
+    schema = "decision_id:string,proposal_id:string,position_id:string,action:string,allowed:boolean,reason_codes:array<string>,quantity:double,protection:double"
+    good = dict(decision_id="d", proposal_id="p", position_id="x", action="CLOSE", allowed=True, reason_codes=[], quantity=0.0, protection=None)
+    denied = dict(allowed=False, reason_codes=["limit"], quantity=None)
+    codes(spark, good, [
+        (None, {}), (None, denied), ("missing_risk_reduction_decision_identity", {"decision_id": None}), ("risk_reduction_decision_requires_risk_reducing_action", {"action": "OPEN"}),
+        ("allowed_decision_must_have_no_reason_codes", {"reason_codes": ["limit"]}), ("denied_decision_requires_reason_codes", denied | {"reason_codes": None}), ("denied_decision_requires_reason_codes", denied | {"reason_codes": []}),
+        ("allowed_reduce_or_close_requires_resulting_quantity", {"quantity": None}), ("allowed_modify_protection_requires_resulting_protection", {"action": "MODIFY_PROTECTION"}), (None, {"action": "MODIFY_PROTECTION", "protection": 1.0}),
+        ("invalid_resulting_quantity", {"quantity": -1.0}), ("invalid_resulting_protection", {"action": "MODIFY_PROTECTION", "protection": 0.0}), ("denied_decision_must_not_carry_resulting_state", denied | {"protection": 1.0}),
+    ], schema, K.reduction_decision_rules)
+
+
+def test_references(spark):
+    refs = {"exec:OPEN:1": None, "a" * 257: "too_long", "a" * 256: None, "": "charset_invalid", "a b": "charset_invalid", "a\n": "charset_invalid", "my-ToKen-1": "secret_like", None: "charset_invalid"}
+    df = spark.createDataFrame([(r,) for r in refs], "r string")
+    got = df.select("r", K.first_broken(K.reference_rules(F.col("r"))).alias("c")).collect()
+    assert {x.r: x.c for x in got} == refs
+    given = {"sha256:" + "0f" * 32: True, "sha256:" + "0F" * 32: False, "sha256:" + "0f" * 31: False, "sha256:" + "0f" * 32 + "\n": False, " sha256:" + "0f" * 32: False, None: False}
+    df = spark.createDataFrame([(r,) for r in given], "r string")
+    assert {x.r: x.c for x in df.select("r", K.is_evidence(F.col("r")).alias("c")).collect()} == given
