@@ -157,6 +157,20 @@ def relevance(currencies: Column, symbols: Column, watched_currencies: list[str]
     return F.when(c & s, "currency_match,symbol_match").when(c, "currency_match").when(s, "symbol_match").otherwise("no_watchlist_match")
 
 
+def recent_posts(posts: DataFrame, watched: DataFrame, since: DataFrame, watched_symbols: list[str]) -> DataFrame:
+    """``posts`` (account, at, symbol, more) at or after ``since`` (one row: since) with relevant, score (1 or 0) and reasons.
+
+    ``watched``: account, with any repetitions; a post is relevant only by its account, and an empty list makes nothing relevant. Null accounts
+    and symbols match nothing, posts without a time aren't recent; without a row of ``since`` nothing is.
+    """
+    listed = watched.select("account").filter("account is not null").distinct().withColumn("relevant", F.lit(True))
+    late = posts.join(F.broadcast(since.select("since")), F.col("at") >= F.col("since")).drop("since")  # one row is broadcast
+    told = late.join(listed, "account", "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    known = F.coalesce(F.col("symbol").isin(*watched_symbols), F.lit(False))
+    reason = F.when(F.col("relevant") & known, "account_match,symbol_match").when(F.col("relevant"), "account_match").when(known, "symbol_match").otherwise("no_watchlist_match")
+    return told.select(*posts.columns, "relevant", F.col("relevant").cast("long").alias("score"), reason.alias("reasons"))
+
+
 def canonical(*columns: str) -> Column:
     """Our canonical form of a row: name=value pairs in the order of names.
 

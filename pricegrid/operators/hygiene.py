@@ -72,6 +72,12 @@ def quality_counters(flagged: DataFrame, keys: list[str], order: list[str], sequ
     return running(marked.withColumn("__backfill", backfill), keys, order, width, counted).drop("__high", "__backfill")
 
 
+def completeness(flagged: DataFrame, keys: list[str], order: list[str], width: int = WIDTH) -> DataFrame:
+    """Adds completeness: partial from the first gap of the key on, complete before; null flags are no gaps."""
+    gaps = running(flagged, keys, order, width, {"__gaps": ("max", F.coalesce(F.col("is_gap"), F.lit(False)).cast("int"), True)})
+    return gaps.withColumn("completeness", F.when(F.col("__gaps") > 0, "partial").otherwise("complete")).drop("__gaps")
+
+
 def quality_status(age_us: Column, latency_ms: Column, market_open: Column, stale_s: int = 10, skew_s: int = 5, slow_ms: int = 3000) -> Column:
     """The first that holds: market_closed, clock_skew, stale, high_latency, live."""
     return (

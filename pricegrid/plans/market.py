@@ -191,6 +191,12 @@ def _status(spark, sf_dir):
     return e.select("symbol", "seq", H.quality_status(age, latency, hour.between(1, 21), slow_ms=250).alias("status"))
 
 
+@query(sql(ARRIVALS, "SELECT symbol, source_sequence, arrival, CASE WHEN max(CAST(is_gap AS INT)) OVER (PARTITION BY symbol ORDER BY arrival, source_sequence ROWS UNBOUNDED PRECEDING) = 1 THEN 'partial' ELSE 'complete' END AS completeness FROM flags"))
+def quality_completeness(spark, sf_dir):
+    """Whether a symbol's stream has had a gap up to each arrival."""
+    return H.completeness(flagged(spark, sf_dir), ["symbol"], ARRIVAL).select("symbol", "source_sequence", "arrival", "completeness")
+
+
 @query(sql(EVENTS + QUALITY, "SELECT * FROM qs"))
 def quality_status(spark, sf_dir):
     return _status(spark, sf_dir)

@@ -492,6 +492,21 @@ def news_scan(spark, sf_dir):
     return news(spark, sf_dir).select(F.sha2(G.canonical("id", "at", "impact", "currency"), 256).alias("event_key"), "at", "symbol")
 
 
+@query(
+    """SELECT id, account, posted AS at, coalesce(w, false) AS relevant, CAST(coalesce(w, false) AS BIGINT) AS score, CASE WHEN w AND s THEN 'account_match,symbol_match' WHEN w THEN 'account_match' WHEN s THEN 'symbol_match' ELSE 'no_watchlist_match' END AS reasons,
+      sha256('account=' || account || '|at=' || posted || '|id=' || id) AS post_key
+    FROM (SELECT event_id AS id, user_id AS account, epoch_us(ts) AS posted, event_type IN ('click', 'view') AS s, c.w FROM events LEFT JOIN (SELECT c_custkey, true AS w FROM customer WHERE c_acctbal > 5000) c ON c_custkey = user_id)
+    WHERE posted >= (SELECT max(epoch_us(ts)) - 864000000000 FROM events)"""
+)
+def social_scan(spark, sf_dir):
+    """Events as posts of the last ten days before the newest one, against a watch-list of customers with a high balance."""
+    posts = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("account"), micros(F.col("ts")).alias("at"), F.col("event_type").alias("symbol"))
+    watched = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("account"))
+    since = posts.agg((F.max("at") - 864_000_000_000).alias("since"))
+    out = G.recent_posts(posts, watched, since, ["click", "view"])
+    return out.select("id", "account", "at", "relevant", "score", "reasons", F.sha2(G.canonical("id", "account", "at"), 256).alias("post_key"))
+
+
 @query("SELECT p_partkey, p_brand = 'Brand#1' AS exact, levenshtein(p_name, 'spring part') AS distance FROM part QUALIFY row_number() OVER (ORDER BY (p_brand = 'Brand#1') DESC, levenshtein(p_name, 'spring part'), p_partkey) <= 20")
 def similar_symbols(spark, sf_dir):
     """The twenty candidates most like a name (a report's limit): exact ones first, then by edit distance."""
