@@ -14,6 +14,8 @@ from ..functions.ranges import range_aggregate
 from ..functions.running import running
 
 BUCKET = 65_536
+WINDOW = ("events_ahead", "t0", "reference", "status", "samples", "top", "low", "last")
+TOLD = ("events_ahead", "status", "samples", "up", "down", "mfe", "mae", "mfe_after_us", "mae_after_us", "end_change")
 
 
 def directed(observations: DataFrame) -> DataFrame:
@@ -69,7 +71,9 @@ def outcomes(observations: DataFrame, events: DataFrame, lengths: tuple[int, ...
     """Each observation (symbol, seq, direction, more) and each length: how far prices went for and against it, after how long, and where they ended.
 
     Neutral ones (and null directions) have up, down and the end's change alone. Excursions aren't negative, and have a time only where they are above zero.
+    Columns of the observations that are named like those of a window or a label are left out.
     """
+    observations = observations.drop(*WINDOW, *TOLD)
     w = event_windows(observations, events, lengths, most_gap_us)
     sign = F.when(F.col("direction") == "long", 1).when(F.col("direction") == "short", -1)
     some = lambda c: F.when(F.col("samples") > 0, F.greatest(F.lit(0), c))

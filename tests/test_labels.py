@@ -90,4 +90,6 @@ def test_labels_of_odd_events(spark):
     assert len(got) == 2 * 60 and {r.status for r in got} >= {"COMPLETE", "NO_SAMPLES", "CENSORED_END_OF_DATA"}
     for r in got:
         assert fields(r) == replay(of, r.seq, r.direction, r.events_ahead)
+    clash = obs.limit(1).select("*", *[F.lit("mine").alias(c) for c in (*B.WINDOW, *B.TOLD[3:])])
+    assert [fields(r) for r in B.outcomes(clash, events, (3,), research.MOST_GAP_US).collect()] == [replay(of, 1, "long", 3)]
     assert B.outcomes(obs, events.limit(0), (3,), 1).collect() == B.outcomes(obs.limit(0), events, (3,), 1).collect() == []
