@@ -97,19 +97,23 @@ def _whole(manifest: DataFrame) -> tuple[str, int, int]:
     return (one["digest"], one["rows"], total) if one and one["rows"] else (hashlib.sha256(b"").hexdigest(), 0, total)
 
 
-def write_dataset(events: DataFrame, root: str, *, source: str, units: str, quality: str, keys: list[str] = ["symbol"], order: str = "seq", parent: str | None = None) -> Dataset:  # noqa: B006
+def write_dataset(events: DataFrame, root: str, *, source: str, units: str, quality: str, keys: list[str] = ["symbol"], order: str = "seq", parent: str | None = None, keep_broken: bool = False) -> Dataset:  # noqa: B006
     """Verify ``events`` and write them under ``root`` by their own digest.
 
     They need the columns that ``dataset_violations`` looks at. Equal events give the same id, and writing them again the dataset
-    that is there.
+    that is there. Events that break a rule are refused; with ``keep_broken`` all of them are written as they are, the header counts
+    what they break, and a quality of complete becomes partial.
     """
     spark = events.sparkSession
     rules = ["sequence_not_rising", "time_falling", "known_before_event", "nonpositive_price", "repeated_identity"]
     broken = dataset_violations(events, keys).agg(*[F.sum(c).alias(c) for c in rules], F.sum("rows").alias("rows")).first()
     if not broken["rows"]:
         raise DatasetError("empty_dataset")
-    if found := [f"{c}={broken[c]}" for c in rules if broken[c]]:
-        raise DatasetError("invalid_dataset_event", ", ".join(found))
+    found = {c: broken[c] for c in rules if broken[c]}
+    if found and not keep_broken:
+        raise DatasetError("invalid_dataset_event", ", ".join(f"{c}={n}" for c, n in found.items()))
+    if found and quality == "complete":
+        quality = "partial"
     root = files.qualified(spark, root)
     made = f"{root}/data-{uuid.uuid4().hex}"
     bucket = F.call_function("div", F.col(order), F.lit(1 << 20)).alias("bucket")
@@ -124,6 +128,7 @@ def write_dataset(events: DataFrame, root: str, *, source: str, units: str, qual
     header = {
         "dataset_id": f"dataset:{digest}", "parent_dataset_id": parent, "source": source, "units": units, "quality_status": quality, "timezone": "UTC", "schema_version": 1,
         "order_policy": order, "keys": keys, "columns": events.columns, "partitions": count, "rows": rows, "range_start_us": times["first"], "range_end_us": times["last"], "data": made.rsplit("/", 1)[1],
+        **({"violations": found} if found else {}),
     }
     path = f"{root}/{digest}"
     files.put_if_absent(spark, f"{path}/{HEADER}", canonical_json(header))

@@ -174,3 +174,29 @@ def test_whole_events_round_trip(spark, small, tmp_path):
     e = price_events(spark, small).select("symbol", "seq", "source_sequence", "event_us", "received_us", "raw", "price")
     made = write(e, tmp_path)
     assert datasets.load_dataset(spark, made.path).events.exceptAll(e).count() == 0
+
+
+def test_events_that_break_rules_are_kept_and_counted_if_asked(spark, tmp_path):
+    df = events(spark, 10, ("a",)).withColumn("price", F.when(F.col("seq") == 7, F.lit(-9).cast("long")).otherwise(F.col("price")))
+    made = write(df, tmp_path, keep_broken=True)
+    assert made.header["violations"] == {"nonpositive_price": 1} and made.header["quality_status"] == "partial"
+    assert sorted(map(tuple, datasets.load_dataset(spark, made.path).events.collect())) == sorted(map(tuple, df.collect()))
+    assert "violations" not in write(events(spark, 10), tmp_path, keep_broken=True).header
+
+
+def test_a_feed_that_falls_to_zero_or_goes_back_in_time_is_stored_whole(spark, small, tmp_path):
+    """Twice the events, the second time with later ids, almost the same times (equal ones would leave fills open), and values so large that the walk falls below zero."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    e = spark.read.parquet(f"{small}/events.parquet")
+    again = e.withColumn("event_id", F.col("event_id") + 100_000).withColumn("ts", F.col("ts") + F.expr("INTERVAL 7 MICROSECONDS")).withColumn("value", F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(F.col("value") * 1000))
+    e.unionByName(again).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("dataset_store", "run_bundle"):
+        got = queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want), name
