@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.joins import as_of, range_join
@@ -95,28 +99,68 @@ def horizon_outcomes(experiences: DataFrame, events: DataFrame, minutes: list[in
     )
 
 
+#: spans in a bucket of the clock, so that a group is worth its own call
+_WIDE = 24
+_LEVELS = ("zone_low", "zone_high", "stop", "tp1", "tp2")
+
+
+def _first(found: Callable[[int, int], np.ndarray], low: int, high: int) -> int | None:
+    """The first place in low..high-1 that ``found`` (a mask of a slice) marks, looked for in growing slices."""
+    size = 64
+    while low < high:
+        hit = found(low, min(high, low + size))
+        if hit.any():
+            return low + int(hit.argmax())
+        low, size = low + size, size * 2
+    return None
+
+
+def _plan_times(left: pa.Table, right: pa.Table, span: int, arrow: pa.Schema) -> pa.Table:
+    """When each plan of a bucket is entered, and first reaches its stop and targets behind that; plans without an entry have no row."""
+    out: list[tuple] = []
+    right = right.drop_null() if right.num_rows else right
+    if left.num_rows and right.num_rows:
+        right = right.sort_by([("at", "ascending"), ("event_seq", "ascending")])
+        at, known, price, number = (right.column(c).to_numpy() for c in ("at", "received_us", "price", "event_seq"))
+        place = lambda k: None if k is None else {"at": int(at[k]), "event_seq": int(number[k]), "price": int(price[k])}
+        for r in left.to_pylist():
+            t0, sign = r["t0"], r["sign"]
+            low, high = (int(np.searchsorted(at, t, "right")) for t in (t0, t0 + span))
+            if r["zone_low"] is None or r["zone_high"] is None:
+                continue
+            entry = _first(lambda i, j: (known[i:j] > t0) & (price[i:j] >= r["zone_low"]) & (price[i:j] <= r["zone_high"]), low, high)  # noqa: B023
+            if entry is None:
+                continue
+
+            def reached(name: str, beyond: int, until: int) -> int | None:
+                level = r[name]  # noqa: B023
+                return None if level is None else _first(lambda i, j: (known[i:j] > t0) & (beyond * sign * (price[i:j] - level) >= 0), entry + 1, until)  # noqa: B023
+
+            stop = reached("stop", -1, high)
+            # a target behind the stop changes nothing
+            until = high if stop is None else stop + 1
+            out.append((r["of_symbol"], r["of_seq"], *map(place, (entry, stop, reached("tp1", 1, until), reached("tp2", 1, until)))))
+    columns = list(zip(*out, strict=True)) if out else [[]] * len(arrow)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+
 def lifecycles(plans: DataFrame, events: DataFrame, minutes: int = 60) -> DataFrame:
     """States of each plan (symbol, seq, t0, side, zone_low, zone_high, stop, tp1, tp2) over the events of the next hour.
 
-    All of them are conditional minima: the entry is the first sample in the zone; behind it the first sample at or
+    A plan looks through the sorted events of its bucket of the clock in one task, so no pair of a plan and an event is ever a row: the entry is the first sample in the zone; behind it the first sample at or
     beyond the stop, and those at or beyond each target. A target counts if it comes before the stop (the stop comes
     first at the same sample), the stop if the second target doesn't come before it. A plan without an entry has no
     rows; nulls in a plan or a price meet nothing.
     """
-    samples = events.select("symbol", F.col("event_us").alias("at"), "received_us", "price", F.col("seq").alias("event_seq"))
-    near = range_join(plans, samples, ["symbol"], "at", F.col("t0") + 1, F.col("t0") + minutes * 60 * SECOND, minutes * 60 * SECOND)
-    near = near.filter(F.col("received_us") > F.col("t0")).withColumn("s", F.struct("at", "event_seq", "price"))
-    plan = Window.partitionBy("symbol", "seq")
-    entry = F.min(F.when(F.col("price").between(F.col("zone_low"), F.col("zone_high")), F.col("s"))).over(plan)
-    sign = F.when(F.col("side") == "long", 1).otherwise(-1)
-
-    def first(level: str, beyond: int) -> Column:
-        reached = beyond * sign * (F.col("price") - F.col(level)) >= 0
-        return F.min(F.when(reached & (F.col("s") > F.col("entry")), F.col("s")))
-
-    times = near.withColumn("entry", entry).filter("entry is not null").groupBy("symbol", "seq").agg(
-        F.min("entry").alias("entry"), first("stop", -1).alias("stop"), first("tp1", 1).alias("tp1"), first("tp2", 1).alias("tp2")
-    )
+    span = minutes * 60 * SECOND
+    sign = F.when(F.col("side") == "long", 1).otherwise(-1).cast("long").alias("sign")
+    asked = plans.select(F.col("symbol").alias("of_symbol"), F.col("seq").alias("of_seq"), "t0", sign, *_LEVELS, F.floor(F.col("t0") / F.lit(_WIDE * span)).alias("of_bucket"))
+    # a plan meets the events of its own bucket of the clock, and of the next one's first span
+    place = lambda us: F.floor(us / F.lit(_WIDE * span))
+    samples = events.select("symbol", F.col("event_us").alias("at"), "received_us", "price", F.col("seq").alias("event_seq")).withColumn("bucket", F.explode(F.array_distinct(F.array(place(F.col("at")), place(F.col("at") - span)))))
+    schema = f"symbol {dict(plans.dtypes)['symbol']}, seq long, " + ", ".join(f"{n} struct<at:long,event_seq:long,price:long>" for n in ("entry", "stop", "tp1", "tp2"))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    times = asked.filter("of_symbol is not null and t0 is not null").groupBy("of_symbol", "of_bucket").cogroup(samples.groupBy("symbol", "bucket")).applyInArrow(lambda left, right: _plan_times(left, right, span, arrow), schema)
     before = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) < F.col(b)))
     always = F.lit(True)
     states = [("ENTRY_TRIGGERED", "entry", always), ("ACTIVE", "entry", always), ("TP1", "tp1", before("tp1", "stop")), ("TP2", "tp2", before("tp2", "stop")),
