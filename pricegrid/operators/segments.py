@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from ..functions.durable import cut
 from ..functions.folds import ordered_fold
@@ -136,3 +137,122 @@ def transitions(events: DataFrame, keys: list[str], reversal: int = 3, segment:
 
     left = rows.drop("first_price")
     return left.groupBy(*keys, "seg").cogroup(begun.groupBy(*keys, "seg")).applyInArrow(fold_once, out_schema)
+
+
+Chain = list[tuple[int, int]]  # (epoch, what is added to its columns)
+
+
+def fold_segment(seq: list[int], event_us: list[int], price: list[int], starts: list[State], box: int, reversal: int) -> tuple[list[State], list[Chain], list[tuple]]:
+    """Ends and chains of each start, and the transitions of rows 1, 2, ... (row 0 is the event that the starts are left by).
+
+    A transition stands under an epoch, which all starts share that have met by then; a start's chain names its epochs, and what its own
+    columns are ahead of theirs. So each transition is put out once, however many starts lead to it.
+    """
+    chains: list[Chain] = [[(i, 0)] for i in range(len(starts))]
+    live = [(_fold(s, reversal), i, [(i, 0)]) for i, s in enumerate(starts)]
+    epochs, out, k, n = len(starts), [], 1, len(price)
+    while k < n and len(live) > 1:
+        moved = False
+        for fold, epoch, _ in live:
+            for row in fold.step(seq[k], event_us[k], price[k], box):
+                out.append((epoch, *row))
+                moved = True
+        if moved:
+            met: dict[tuple, list] = {}
+            for one in live:
+                met.setdefault((one[0].direction, one[0].edge), []).append(one)
+            live = []
+            for group in met.values():
+                fold, epoch, members = group[0]
+                if len(group) > 1:
+                    members = [(i, offset + f.column - fold.column) for f, _, m in group for i, offset in m]
+                    epoch, epochs = epochs, epochs + 1
+                    for i, offset in members:
+                        chains[i].append((epoch, offset))
+                live.append((fold, epoch, members))
+        k += 1
+    if k < n:
+        fold, epoch, _ = live[0]
+        low, high = _still(fold, box)
+        for j in range(k, n):
+            if low < price[j] < high:
+                continue
+            out += [(epoch, *row) for row in fold.step(seq[j], event_us[j], price[j], box)]
+            low, high = _still(fold, box)
+    ends: list[State] = [(None, None, 0, 0)] * len(starts)
+    for fold, _, members in live:
+        for i, offset in members:
+            ends[i] = (fold.seed, fold.direction, fold.edge, fold.column + offset)
+    return ends, chains, out
+
+
+def _still(fold: ColumnFold, box: int) -> tuple[int, int]:
+    """Prices strictly between these change nothing."""
+    if fold.direction is None:
+        return fold.seed - box, fold.seed + box
+    ahead, behind = fold.edge + box, fold.edge - fold.reversal * box
+    return (behind, ahead) if fold.direction == "X" else (fold.edge - box, fold.edge + fold.reversal * box)
+
+
+class ChainFold(StartFold):
+    """Tells each segment the chain of the start that is the real one, with the columns so far, and the transition of its first event."""
+
+    def step(self, seg: int, first: dict, starts: list[dict], ends: list[dict], chains: list[list[dict]]) -> Iterable[tuple]:
+        fold = _fold(self.state, self.reversal)
+        told = list(fold.step(first["seq"], first["event_us"], first["price"], first["box"]))
+        for s, e, chain in zip(starts, ends, chains, strict=True):
+            if (s["direction"], s["edge"]) == (fold.direction, fold.edge):
+                self.state = (fold.seed, e["direction"], e["edge"], fold.column + e["column_id"])
+                names = ("seq", "event_us", "kind", "column_id", "direction", "from_price", "to_price", "boxes", "box")
+                return ((seg, [{"epoch": c["epoch"], "base": fold.column + c["ahead"]} for c in chain], dict(zip(names, told[0], strict=True)) if told else None),)
+        raise ValueError(f"segment {seg} starts in none of its states")
+
+
+def moves(events: DataFrame, resolutions: dict[str, int], reversal: int = 3, segment: int = 1 << 15) -> DataFrame:
+    """``columns.transitions`` of ``fan_out``: events (symbol, seq, event_us, price) -> symbol, resolution and the transitions.
+
+    Events are shuffled once for all resolutions, by symbol and segment, and folded once: a task holds ``segment`` values of ``seq`` of a
+    symbol at most, and prices between a column's thresholds are passed over. What each segment says about its starts is one row, and the
+    transitions of the real start are picked by a join.
+    """
+    symbol = dict(events.dtypes)["symbol"]
+    seg = F.call_function("div", F.col("seq"), F.lit(segment)).alias("seg")
+    rows = events.select("symbol", "seq", "event_us", "price", seg)
+    began = rows.filter("price is not null").groupBy("symbol", "seg").agg(F.min_by("price", "seq").alias("p"))
+    seeds = began.select(F.col("symbol").alias("__symbol"), F.col("seg").alias("__seg"), F.first("p").over(Window.partitionBy("symbol").orderBy("seg")).alias("seed"))
+    chain = "array<struct<epoch:int,ahead:long>>"
+    map_ddl = f"first struct<seq:long,event_us:long,price:long,box:long>, starts array<struct<direction:string,edge:long>>, ends array<struct<direction:string,edge:long,column_id:long>>, chains array<{chain}>"
+    schema = f"symbol {symbol}, resolution string, seg long, {map_ddl}, epoch int, {TRANSITION}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    told = len(StructType.fromDDL(map_ddl))
+
+    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            at = left.filter(left.column("price").is_valid()).sort_by("seq")
+            seq, us, price = (at.column(c).to_pylist() for c in ("seq", "event_us", "price"))
+            key, seed = (left.column("symbol")[0].as_py(),), right.column("seed")[0].as_py()
+            of = left.column("seg")[0].as_py()
+            for name, box in resolutions.items():
+                starts = possible(seed, box, price[0], reversal)
+                ends, chains, made = fold_segment(seq, us, price, starts, box, reversal)
+                out.append((
+                    *key, name, of, {"seq": seq[0], "event_us": us[0], "price": price[0], "box": box}, [{"direction": d, "edge": e} for _, d, e, _ in starts],
+                    [{"direction": d, "edge": e, "column_id": c} for _, d, e, c in ends], [[{"epoch": i, "ahead": o} for i, o in c] for c in chains], *[None] * (len(arrow) - told - 3),
+                ))
+                out += [(*key, name, of, *[None] * told, *m) for m in made]
+        columns: Iterator = zip(*out, strict=True) if out else iter([[]] * len(arrow))
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    folded = cut(rows.groupBy("symbol", "seg").cogroup(seeds.groupBy("__symbol", "__seg")).applyInArrow(fold, schema))
+    key = ["symbol", "resolution"]
+    maps = folded.filter("first is not null").select(*key, "seg", "first", "starts", "ends", "chains")
+    begun_ddl = f"symbol {symbol}, resolution string, seg long, chain array<struct<epoch:int,base:long>>, first struct<{', '.join(f.replace(' ', ':', 1) for f in TRANSITION.split(', '))}>"
+    begun = cut(ordered_fold(maps, key, ["seg"], lambda *_: ChainFold(reversal), begun_ddl))
+    real = begun.select(*[F.col(c).alias(f"__{c}") for c in (*key, "seg")], F.explode("chain").alias("c")).select("*", "c.epoch", "c.base").drop("c").withColumnRenamed("epoch", "__epoch")
+    same = F.lit(True)
+    for c in (*key, "seg", "epoch"):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    names = [f.split(" ")[0] for f in TRANSITION.split(", ")]
+    picked = folded.filter("epoch is not null").join(real, same).withColumn("column_id", (F.col("column_id") + F.col("base")).cast("int")).select(*key, *names)
+    return picked.unionByName(begun.filter("first is not null").select(*key, "first.*"))

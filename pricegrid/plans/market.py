@@ -40,7 +40,7 @@ ARRIVAL = ["arrival", "source_sequence"]
 
 
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.transitions(C.fan_out(price_events(spark, sf_dir), RESOLUTIONS), KEY, REVERSAL)
+    return G.moves(price_events(spark, sf_dir), RESOLUTIONS, REVERSAL)
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:

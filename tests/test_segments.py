@@ -60,3 +60,25 @@ def test_real_events(spark, small):
     got = G.transitions(e, ["symbol", "resolution"], REVERSAL, 50).select(want.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert G.transitions(e.filter(F.lit(False)), ["symbol", "resolution"]).count() == 0
+
+
+@pytest.mark.parametrize("segment", [1, 3, 16, 10_000])
+@pytest.mark.parametrize("reversal", [1, 3])
+def test_resolutions_folded_once(spark, segment, reversal):
+    rows = walk(0, 60, 40) + walk(1, 200, 90) + walk(2, 150, 1000) + walk(3, 80, 3) + [("none", i, i, None, 100) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, SCHEMA).drop("box").repartition(3)
+    sizes = {"a": 7, "b": 100, "c": 450}
+    want = sorted(map(repr, C.transitions(C.fan_out(df, sizes), ["symbol", "resolution"], reversal).collect()))
+    got = sorted(map(repr, G.moves(df, sizes, reversal, segment).collect()))
+    assert got == want and len(want) > 50
+    assert G.moves(df.filter(F.lit(False)), sizes, reversal, segment).count() == 0
+
+
+def test_a_transition_is_put_out_once_after_all_starts_have_met():
+    """One task's work doesn't grow with the number of starts, and no task needs a symbol's whole history."""
+    rng, price = random.Random(5), [100]
+    for _ in range(5000):
+        price.append(price[-1] + rng.randrange(-40, 41))
+    places = list(range(len(price)))
+    ends, chains, out = G.fold_segment(places, places, price, G.possible(100, 10, 100, 3), 10, 3)
+    assert len(out) < 5100 and len({e[1:3] for e in ends}) == 1 and len({c[-1][0] for c in chains}) == 1
