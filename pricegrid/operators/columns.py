@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.durable import cut
 from ..functions.folds import ordered_fold
+from ..functions.joins import forward_fill
 from ..functions.scaled import divide_half_even
 
 TRANSITION = "seq long, event_us long, kind string, column_id int, direction string, from_price long, to_price long, boxes int, box long"
@@ -117,23 +119,25 @@ def cells(moves: DataFrame, keys: list[str], newest: int = 3000) -> DataFrame:
     return made.withColumn("age", nth).filter(F.col("age") <= newest)
 
 
-def matrix(events: DataFrame, moves: DataFrame, key: str, resolutions: list[str], stale_after: int = 5) -> DataFrame:
-    """For each event: how many resolutions are ready, their directions, alignment and strength."""
-    grid = events.select(key, "seq", F.explode(F.array(*[F.lit(r) for r in resolutions])).alias("resolution"))
-    w = Window.partitionBy(key, "resolution").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    # transitions happen at events: a union with the grid and one window replace join and as-of join
-    rows = grid.withColumn("direction", F.lit(None).cast("string")).unionByName(moves.select(key, "seq", "resolution", "direction"))
-    merged = rows.groupBy(key, "resolution", "seq").agg(F.max("direction").alias("direction"))
-    merged = merged.withColumn("got", F.last(F.when(F.col("direction").isNotNull(), F.struct("direction", "seq")), ignorenulls=True).over(w))
-    fresh = F.col("got").isNotNull() & (F.col("seq") - F.col("got.seq") < stale_after)
-    state = merged.select(
-        key, "seq", F.when(fresh, F.col("got.direction")).alias("d"),
-        F.when(F.col("got").isNull(), "warmup").when(fresh, "ready").otherwise("stale").alias("status"),
-    )
+def matrix(events: DataFrame, moves: DataFrame, key: str, resolutions: list[str], stale_after: int = 5, width: int = 1 << 18) -> DataFrame:
+    """For each event: how many resolutions are ready, their directions, alignment and strength.
+
+    An event is one row for all resolutions, whose last transitions are filled forward within buckets of ``width`` events.
+    """
+    own = [F.when(F.col("resolution") == r, F.col("direction")) for r in resolutions]
+    none = [F.lit(None).cast("string")] * len(resolutions)
+    named = lambda values: [v.alias(f"d{i}") for i, v in enumerate(values)]
+    # transitions happen at events: a union and one aggregate replace a join
+    rows = events.select(key, "seq", *named(none)).unionByName(moves.select(key, "seq", *named(own)))
+    merged = cut(rows.groupBy(key, "seq").agg(*[F.max(f"d{i}").alias(f"d{i}") for i in range(len(resolutions))]))
+    filled = forward_fill(merged, [key], "seq", {f"got{i}": F.when(F.col(f"d{i}").isNotNull(), F.struct(F.col(f"d{i}").alias("direction"), "seq")) for i in range(len(resolutions))}, width)
+    got = [F.col(f"got{i}") for i in range(len(resolutions))]
+    fresh = [g.isNotNull() & (F.col("seq") - g["seq"] < stale_after) for g in got]
+    total = lambda conditions: sum((F.coalesce(c, F.lit(False)).cast("long") for c in conditions), F.lit(0).cast("long"))
     n = len(resolutions)
-    counts = state.groupBy(key, "seq").agg(
-        F.count_if(F.col("d") == "X").alias("bullish"), F.count_if(F.col("d") == "O").alias("bearish"),
-        F.count_if(F.col("status") == "stale").alias("stale"), F.count_if(F.col("status") == "warmup").alias("warmup"),
+    counts = filled.select(
+        key, "seq", total(f & (g["direction"] == "X") for f, g in zip(fresh, got, strict=True)).alias("bullish"), total(f & (g["direction"] == "O") for f, g in zip(fresh, got, strict=True)).alias("bearish"),
+        total(g.isNotNull() & ~f for f, g in zip(fresh, got, strict=True)).alias("stale"), total(g.isNull() for g in got).alias("warmup"),
     )
     ready = F.col("bullish") + F.col("bearish") == n
     alignment = (

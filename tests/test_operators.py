@@ -371,3 +371,46 @@ def test_a_late_look_ahead_of_any_kind_is_a_difference(spark, small):
     assert set(got) == {"prefix", "reflect", "flatten", "shock"} and all(got.values())
     honest = lambda e: e.select(F.lit("x").alias("subject"), "symbol", F.lit(None).cast("string").alias("resolution"), "seq", F.col("price").cast("string").alias("what"))
     assert not any(r.differences for r in research.differences(e, honest).collect())
+
+
+def test_lifecycles_meet_events_without_pairs(spark):
+    """As a plain loop has it on a crowded clock, across buckets; no join makes a row of every plan and event."""
+    import random
+
+    rng = random.Random(4)
+    hour = 3_600_000_000
+    rows = [("s", i, at, at + rng.choice([-5, 0, hour // 4]), rng.choice([None, *range(80, 121)])) for i, at in enumerate(sorted(rng.randrange(22, 27) * hour + rng.randrange(0, 9) * hour // 8 for _ in range(600)))]
+    plans = []
+    for k in range(120):
+        side, t0, step = rng.choice(["long", "short"]), rng.randrange(21, 27) * hour + rng.randrange(0, 8) * hour // 8, rng.randrange(1, 12)
+        sign = 1 if side == "long" else -1
+        plans.append(("s", k, t0, side, 100 - step // 2, 100 + step // 2, rng.choice([None, 100 - sign * step]), 100 + sign * step, rng.choice([None, 100 + 2 * sign * step])))
+    p = spark.createDataFrame(plans, "symbol string, seq long, t0 long, side string, zone_low long, zone_high long, stop long, tp1 long, tp2 long")
+    e = spark.createDataFrame(rows, "symbol string, seq long, event_us long, received_us long, price long")
+    want = []
+    for _, seq, t0, side, low, high, stop, one, two in plans:
+        near = [(at, s, v) for _, s, at, known, v in rows if v is not None and t0 < at <= t0 + hour and known > t0]
+        entry = next((x for x in near if low <= x[2] <= high), None)
+        if entry is None:
+            continue
+        sign = 1 if side == "long" else -1
+        after = [x for x in near if x > entry]
+        first = lambda level, way: None if level is None else next((x for x in after if way * sign * (x[2] - level) >= 0), None)  # noqa: B023, E731
+        s, a, b = first(stop, -1), first(one, 1), first(two, 1)
+        before = lambda x, s=s: x is not None and (s is None or x < s)
+        found = [("ENTRY_TRIGGERED", entry), ("ACTIVE", entry), *([("TP1", a)] if before(a) else []), *([("TP2", b)] if before(b) else []), *([("INVALIDATED", s)] if s and not before(b) else [])]
+        want += [("s", seq, n, x[0], x[2]) for n, x in found]
+    out = O.lifecycles(p, e)
+    assert sorted(map(tuple, out.collect())) == sorted(want) and {w[2] for w in want} == {"ENTRY_TRIGGERED", "ACTIVE", "TP1", "TP2", "INVALIDATED"}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matrix_of_a_symbol_is_cut_into_buckets(spark, small):
+    from pricegrid.plans.market import moves
+    from pricegrid.plans.spine_sql import RESOLUTIONS
+    from pricegrid.sources.events import price_events
+
+    e, m = price_events(spark, small), moves(spark, small)
+    want, got = C.matrix(e, m, "symbol", list(RESOLUTIONS)), C.matrix(e, m, "symbol", list(RESOLUTIONS), width=7)
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # an event isn't a row for each resolution
