@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.durable import cut
 from . import columns as C
+from . import segments as T
 from . import signals as G
 from . import structure as S
 from .composition import entry_readiness
@@ -27,7 +28,8 @@ def observations(events: DataFrame, resolutions: dict[str, int], reversal: int,
     resolution; readiness looks at the lines of ``structure``. ``with_regime`` adds the regime, which is no subject.
     """
     key = ["symbol", "resolution"]
-    m = cut(C.transitions(C.fan_out(events, resolutions), key, reversal))
+    events = cut(events.select("symbol", "seq", "event_us", "price"))  # five readers
+    m = cut(T.moves(events, resolutions, reversal))
 
     def kind(subject: str, df: DataFrame, *what: str, resolution: bool = True) -> DataFrame:
         where = F.col("resolution") if resolution else F.lit(None).cast("string")
