@@ -25,12 +25,7 @@ from . import structure as S
 WEIGHTS = {"pnf": 20, "structure": 25, "support_resistance": 20, "matrix": 20, "regime": 15, "confirmation": 10, "conflict": 15}
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, where the optimizer would else repeat it at every use."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def inputs(events: DataFrame, moves: DataFrame, matrix: DataFrame, resolutions: list[str], structure: str, tolerance: int, width: int = 1 << 20) -> DataFrame:
+def inputs(events: DataFrame, moves: DataFrame, matrix: DataFrame, resolutions: list[str], structure: str, tolerance: int, width: int = 1 << 16) -> DataFrame:
     """One row for each event, and all that a signal looks at, as of the event.
 
     Of several transitions at an event, that of the first resolution counts. ``moved_seq`` is the event of the latest one.
@@ -98,47 +93,40 @@ def score(rows: DataFrame, tolerance: int, gap_min: int = 8, wait_max: int = 49,
             total = total + F.when(F.coalesce(F.col(column) == side, F.lit(False)), w[name]).otherwise(0)
         return total
 
-    def with_patterns(v: Column) -> Column:
-        """Patterns that agree with the leading side confirm it, the others only cost it points."""
-        b, s, up, down = v["b"], v["s"], v["up"], v["down"]
-        buy = F.when(b >= s, F.greatest(F.lit(0), F.least(F.lit(100), b + up * w["confirmation"]) - down * w["conflict"])).otherwise(b)
-        sell = F.when(b < s, F.greatest(F.lit(0), F.least(F.lit(100), s + down * w["confirmation"]) - up * w["conflict"])).otherwise(s)
-        return F.struct(F.least(F.lit(100), buy).alias("buy"), F.least(F.lit(100), sell).alias("sell"))
-
-    def decide(v: Column) -> Column:
-        gap = F.abs(v["buy"] - v["sell"])
-        value = F.when(~v["known"], 0).when(v["forced"], F.least(gap, F.lit(wait_max))).otherwise(gap)
-        wait = ~v["known"] | v["forced"] | (gap < gap_min) | (gap <= wait_max) | (gap < action_min)
-        action = F.when(wait, "WAIT").when(v["buy"] > v["sell"], "BUY").otherwise("SELL")
-        return F.struct(v["buy"].alias("buy_points"), v["sell"].alias("sell_points"), value.alias("score"), action.alias("action"))
-
+    # each step is a projection of its own that the next one refers to, so everything stays in generated code and is computed once
     up, down = F.coalesce("bullish_patterns", F.lit(0)).cast("int"), F.coalesce("bearish_patterns", F.lit(0)).cast("int")
     later = F.coalesce(F.greatest("told_us", "moved_us") > F.col("event_us"), F.lit(False))
     known = F.col("p0").isNotNull() & F.coalesce(F.col("alignment") != "unavailable", F.lit(False)) & F.coalesce(F.col("label") != "unknown", F.lit(False)) & ~later
     forced = F.coalesce(F.col("alignment") == "mixed", F.lit(False)) | F.coalesce(F.col("label").isin("range", "high_volatility"), F.lit(False))
-    points_of = _let(F.struct(points("BUY").alias("b"), points("SELL").alias("s"), up.alias("up"), down.alias("down")), with_patterns)
-    told = _let(F.struct(points_of.alias("p"), known.alias("known"), forced.alias("forced")), lambda v: decide({"buy": v["p"]["buy"], "sell": v["p"]["sell"], "known": v["known"], "forced": v["forced"]}))
-    return sided.withColumn("told", told).select(*sided.columns, "told.*")
+    led = sided.select("*", points("BUY").alias("__b"), points("SELL").alias("__s"), up.alias("__up"), down.alias("__down"), known.alias("__known"), forced.alias("__forced"))
+    b, s, up, down, known, forced = (F.col(f"__{c}") for c in ("b", "s", "up", "down", "known", "forced"))
+    # patterns that agree with the leading side confirm it, the others only cost it points
+    buy = F.when(b >= s, F.greatest(F.lit(0), F.least(F.lit(100), b + up * w["confirmation"]) - down * w["conflict"])).otherwise(b)
+    sell = F.when(b < s, F.greatest(F.lit(0), F.least(F.lit(100), s + down * w["confirmation"]) - up * w["conflict"])).otherwise(s)
+    told = led.select(*sided.columns, "__known", "__forced", F.least(F.lit(100), buy).alias("buy_points"), F.least(F.lit(100), sell).alias("sell_points"))
+    told = told.select("*", F.abs(F.col("buy_points") - F.col("sell_points")).alias("__gap"))
+    gap = F.col("__gap")
+    value = F.when(~known, 0).when(forced, F.least(gap, F.lit(wait_max))).otherwise(gap)
+    wait = ~known | forced | (gap < gap_min) | (gap <= wait_max) | (gap < action_min)
+    action = F.when(wait, "WAIT").when(F.col("buy_points") > F.col("sell_points"), "BUY").otherwise("SELL")
+    return told.select(*sided.columns, "buy_points", "sell_points", value.alias("score"), action.alias("action"))
 
 
 def setup(rows: DataFrame, half_width_percent: int = 50, first_percent: int = 150, second_percent: int = 250) -> DataFrame:
     """Adds zone, stop and targets of BUY and SELL rows; null where the stop lies inside the zone or is missing."""
-    def plan(v: Column) -> Column:
-        low, high = v["at"] - v["half"], v["at"] + v["half"]
-        risk = F.when(v["action"] == "BUY", low - v["stop"]).when(v["action"] == "SELL", v["stop"] - high)
-        return F.struct(low.alias("low"), high.alias("high"), v["at"].alias("at"), v["action"].alias("action"), v["stop"].alias("stop"), F.when(risk > 0, risk).alias("risk"))
-
-    def targets(v: Column) -> Column:
-        sign, ok = F.when(v["action"] == "BUY", 1).otherwise(-1), v["risk"].isNotNull()
-        goals = [(v["at"] + sign * F.call_function("div", v["risk"] * p, F.lit(100))).alias(n) for n, p in (("tp1", first_percent), ("tp2", second_percent))]
-        return F.struct(F.when(ok, v["low"]).alias("zone_low"), F.when(ok, v["high"]).alias("zone_high"), F.when(ok, v["stop"]).alias("stop"), v["risk"].alias("risk"), *goals)
-
     half = F.call_function("div", F.col("box") * half_width_percent, F.lit(100))
     last_low = F.when(F.col("p0.kind") == "low", F.col("p0.price")).when(F.col("p1.kind") == "low", F.col("p1.price")).when(F.col("p2.kind") == "low", F.col("p2.price"))
     last_high = F.when(F.col("p0.kind") == "high", F.col("p0.price")).when(F.col("p1.kind") == "high", F.col("p1.price")).when(F.col("p2.kind") == "high", F.col("p2.price"))
-    stop = F.when(F.col("action") == "BUY", F.coalesce("support", last_low)).when(F.col("action") == "SELL", F.coalesce("resistance", last_high))
-    given = F.struct(F.col("to_price").alias("at"), half.alias("half"), F.col("action").alias("action"), stop.alias("stop"))
-    return rows.withColumn("plan", _let(_let(given, plan), targets)).select(*rows.columns, "plan.*")
+    buys, at = F.col("action") == "BUY", F.col("to_price")
+    stop = F.when(buys, F.coalesce("support", last_low)).when(F.col("action") == "SELL", F.coalesce("resistance", last_high))
+    zoned = rows.select("*", (at - half).alias("__low"), (at + half).alias("__high"), stop.alias("__stop"))
+    low, high, stop = F.col("__low"), F.col("__high"), F.col("__stop")
+    risk = F.when(buys, low - stop).when(F.col("action") == "SELL", stop - high)
+    sized = zoned.select("*", risk.alias("__wide")).select("*", F.when(F.col("__wide") > 0, F.col("__wide")).alias("__risk"))
+    risk = F.col("__risk")
+    ok, sign = risk.isNotNull(), F.when(buys, 1).otherwise(-1)
+    goals = [(at + sign * F.call_function("div", risk * p, F.lit(100))).alias(n) for n, p in (("tp1", first_percent), ("tp2", second_percent))]
+    return sized.select(*rows.columns, F.when(ok, low).alias("zone_low"), F.when(ok, high).alias("zone_high"), F.when(ok, stop).alias("stop"), risk.alias("risk"), *goals)
 
 
 class IssueFold:

@@ -22,7 +22,7 @@ def scored(spark, sf_dir):
     # six consumers: transitions are folded once and read from there
     m, e = cut(moves(spark, sf_dir)), price_events(spark, sf_dir)
     grid = C.matrix(e, m, "symbol", list(RESOLUTIONS))
-    return G.score(G.inputs(e, m, grid, list(RESOLUTIONS), STRUCTURE, TOLERANCE), TOLERANCE)
+    return cut(G.score(G.inputs(e, m, grid, list(RESOLUTIONS), STRUCTURE, TOLERANCE), TOLERANCE))  # several readers, and filters on it would be computed twice
 
 
 _PICK = "(SELECT price FROM lev l WHERE l.symbol = m.symbol AND l.resolution = m.resolution AND side = '{}' AND confirmed_seq <= m.seq AND (invalidated_seq IS NULL OR invalidated_seq > m.seq) ORDER BY confirmed_seq DESC LIMIT 1)"
