@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.durable import global_positions
+from ..functions.durable import cut, global_positions
 from . import files
 
 SCHEMA = "stream string, event_key string, content_hash string, payload string, batch long, sequence long"
@@ -57,14 +57,17 @@ def append(spark: SparkSession, path: str, rows: DataFrame, batch: int, expected
     wrote them. Safe to repeat, as a streaming sink's foreachBatch must be: a batch that was written is found again by its keys.
     """
     path = files.qualified(spark, path)
-    fresh = _hashed(rows).dropDuplicates(["stream", "event_key", "content_hash"])
-    twice = fresh.groupBy("stream", "event_key").agg(F.count("*").alias("n")).filter("n > 1")
-    if twice.take(1):
+    # one shuffle by key, written once: every later step reads it
+    told = F.count("content_hash")
+    differs = ~F.min("content_hash").eqNullSafe(F.max("content_hash")) | ((told > 0) & (told < F.count("*")))
+    fresh = cut(_hashed(rows).groupBy("stream", "event_key").agg(F.min("content_hash").alias("content_hash"), F.first("payload").alias("payload"), differs.alias("differs")))
+    if fresh.filter("differs").take(1):
         raise JournalConflict("event_identity_conflict")
+    fresh = fresh.drop("differs")
     for _ in range(TRIES):
         known = commits(spark, path)
         stored = _rows(spark, path, known)
-        met = fresh.join(stored.select("stream", "event_key", F.col("content_hash").alias("known_hash")), ["stream", "event_key"], "left")
+        met = cut(fresh.join(stored.select("stream", "event_key", F.col("content_hash").alias("known_hash")), ["stream", "event_key"], "left"))
         if met.filter("known_hash is not null and known_hash <> content_hash").take(1):
             raise JournalConflict("event_identity_conflict")
         new = met.filter("known_hash is null").drop("known_hash")

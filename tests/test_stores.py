@@ -200,3 +200,22 @@ def test_a_feed_that_falls_to_zero_or_goes_back_in_time_is_stored_whole(spark, s
         got = queries()[name](spark, str(tmp_path))
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want), name
+
+
+def test_an_append_groups_its_rows_once(spark, tmp_path, monkeypatch):
+    """What is appended is computed once, however many steps look at it; null payloads are a content of their own."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    schema = "stream string, event_key string, payload string"
+    rows = spark.createDataFrame([("s", str(i), f"p{i}") for i in range(20)] + [("s", "none", None)], schema).mapInArrow(count, schema)
+    assert journal.append(spark, str(tmp_path), rows, 1) == 21 and made.value == 21
+    for payload in ("other", None):
+        twice = spark.createDataFrame([("t", "k", "x"), ("t", "k", payload)], schema)
+        with pytest.raises(journal.JournalConflict):
+            journal.append(spark, str(tmp_path), twice, 2)
+    assert journal.read(spark, str(tmp_path)).count() == 21
