@@ -7,10 +7,12 @@ of the finest unit.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .contracts import Rules, all_broken, blank, first_broken
+from .contracts import BITS, Rules, all_broken, blank, broken_bits, by_bits, first_broken
 from .gates import canonical
 
 # Fixed values
@@ -109,39 +111,62 @@ def execution_trace(intents: DataFrame, key: str, order: list[str], before: list
     """
     names = [n for n, _ in before]
     yes = lambda c: F.coalesce(c, F.lit(False))
-    stops = F.array(*[F.struct(F.lit(i).alias("step"), all_broken(rules).alias("codes")) for i, (_, rules) in enumerate(before)])
+    every = [rule for _, rules in before for rule in rules] + last_look
+    bits = broken_bits(every)
     judged = intents.select(
-        *[F.col(c) for c in intents.columns], F.get(F.filter(stops, lambda s: F.size(s["codes"]) > 0), F.lit(0)).alias("__stop"), F.struct(*order).alias("__at"),
-        all_broken(last_look).alias("__late"), yes(marked).alias("__marked"), yes(sent).alias("__sent"), yes(kept).alias("__kept"), yes(clean).alias("__clean"),
+        *[F.col(c) for c in intents.columns], *[b.alias(f"__bits_{i}") for i, b in enumerate(bits)], F.struct(*order).alias("__at"),
+        yes(marked).alias("__marked"), yes(sent).alias("__sent"), yes(kept).alias("__kept"), yes(clean).alias("__clean"),
     )
+    of = [i for i, (_, rules) in enumerate(before) for _ in rules] + [None] * len(last_look)
+
+    def mask(step: int | None, chunk: int) -> Column:
+        """The bits of that step's rules, of the last look's for None."""
+        return F.lit(sum(1 << i for i, s in enumerate(of[chunk * BITS : (chunk + 1) * BITS]) if s == step)).cast("long")
+
+    def met_at(step: int | None) -> Column:
+        return reduce(Column.__or__, [F.col(f"__bits_{i}").bitwiseAND(mask(step, i)) != 0 for i in range(len(bits))], F.lit(False))
+
+    own = F.lit(None).cast("int")
+    for i in reversed(range(len(names))):
+        own = F.when(met_at(i), F.lit(i)).otherwise(own)
+    judged = judged.withColumn("__own", own)
     state = (
-        F.when(F.size("__late") > 0, "ABORTED_NEVER_ATTEMPTED").when(~F.col("__marked"), "CLAIMED_NOT_ATTEMPTED").when(~F.col("__sent") | ~F.col("__kept"), "ATTEMPTED_NO_RESULT")
+        F.when(met_at(None), "ABORTED_NEVER_ATTEMPTED").when(~F.col("__marked"), "CLAIMED_NOT_ATTEMPTED").when(~F.col("__sent") | ~F.col("__kept"), "ATTEMPTED_NO_RESULT")
         .when(F.col("__clean"), "RELEASED").otherwise("RESULT_UNSAFE")
     )
-    first = judged.filter(F.col("__stop").isNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.struct("__at", state.alias("state"))).alias("__first"))
-    met = judged.join(first, F.col(key) == F.col("__key"), "left")
+    # those that claim nothing are summed up under the null key, which no filter drops: pushed down, it would repeat every rule in one condition
+    claims = F.col("__own").isNull() & F.col(key).isNotNull()
+    claimed = judged.select(F.when(claims, F.col(key)).alias("__key"), F.when(claims, F.struct("__at", state.alias("state"))).alias("__claim"))
+    first = claimed.groupBy("__key").agg(F.min("__claim").alias("__first"))
+    met = judged.join(first, F.col(key).eqNullSafe(F.col("__key")), "left")
     taken = F.when(F.col(key).isNull(), "missing_idempotency_key").when(
         F.col("__at") > F.col("__first.__at"),
         F.when(F.col("__first.state") == "RELEASED", "dedup_same_key_retry_not_supported").otherwise(F.concat(F.lit("dedup_key_not_unclaimed:"), F.col("__first.state"))),
     )
-    early = F.coalesce(F.col("__stop.step") == 0, F.lit(False))
-    stop = F.when(~early & taken.isNotNull(), F.struct(F.lit(0).alias("step"), F.array(taken).alias("codes"))).otherwise(F.col("__stop"))
-    met = met.withColumn("__stop", stop)
-    denied = F.col("__stop").isNotNull()
-    late, unmarked, unsent, unkept = F.size("__late") > 0, ~F.col("__marked"), ~F.col("__sent"), ~F.col("__kept")
+    met = met.withColumn("__taken", F.when(~F.coalesce(F.col("__own") == 0, F.lit(False)), taken)).withColumn("__stop", F.when(F.col("__taken").isNotNull(), F.lit(0)).otherwise(F.col("__own")))
+    denied, late = F.col("__stop").isNotNull(), met_at(None)
+    # of an intent that stops the rules of that step are told, of one that goes on those of the last look
+    for c in range(len(bits)):
+        told = mask(None, c)
+        for i in range(len(names)):
+            told = F.when(F.col("__own") == i, mask(i, c)).otherwise(told)
+        met = met.withColumn(f"__said_{c}", F.col(f"__bits_{c}").bitwiseAND(told))
+    why = all_broken(by_bits(every, [F.col(f"__said_{c}") for c in range(len(bits))]))
+    unmarked, unsent, unkept = ~F.col("__marked"), ~F.col("__sent"), ~F.col("__kept")
     status = (
         F.when(denied, "DENIED").when(late, "ABORTED").when(unmarked, "MARKER_FAILED").when(unsent, "SUBMIT_RAISED").when(unkept, "RESULT_PERSIST_FAILED").otherwise("COMPLETED")
     )
     none = F.array().cast("array<string>")
     codes = (
-        F.when(denied, F.col("__stop.codes")).when(late, F.col("__late")).when(unmarked, F.array(F.lit("attempt_marker_not_durable"))).when(unsent, F.array(F.lit("adapter_submit_raised")))
+        F.when(F.col("__taken").isNotNull(), F.array("__taken")).when(denied | late, why).when(unmarked, F.array(F.lit("attempt_marker_not_durable"))).when(unsent, F.array(F.lit("adapter_submit_raised")))
         .when(unkept, F.array(F.lit("result_persist_failed"))).otherwise(none)
     )
-    steps = F.array(*[F.lit(n) for n in [*names, "5", "6", "7", "8", "9"]])
+    steps = [*names, "5", "6", "7", "8", "9"]
+    traces = F.array(*[F.lit(",".join(steps[: i + 1])) for i in range(len(steps))])
     reached = (
-        F.when(denied, F.col("__stop.step") + 1).when(late | unmarked, F.lit(len(names) + 2)).when(unsent, F.lit(len(names) + 3)).when(unkept, F.lit(len(names) + 4)).otherwise(F.lit(len(names) + 5))
+        F.when(denied, F.col("__stop") + 1).when(late | unmarked, F.lit(len(names) + 2)).when(unsent, F.lit(len(names) + 3)).when(unkept, F.lit(len(names) + 4)).otherwise(F.lit(len(names) + 5))
     )
-    return met.select(*intents.columns, F.array_join(F.slice(steps, F.lit(1), reached), ",").alias("trace"), status.alias("status"), codes.alias("codes"), status.isin("SUBMIT_RAISED", "RESULT_PERSIST_FAILED").alias("pending"))
+    return met.select(*intents.columns, F.get(traces, reached - 1).alias("trace"), status.alias("status"), codes.alias("codes"), status.isin("SUBMIT_RAISED", "RESULT_PERSIST_FAILED").alias("pending"))
 
 
 def recovery_plans(positions: DataFrame, records: DataFrame) -> DataFrame:

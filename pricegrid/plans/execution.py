@@ -88,15 +88,18 @@ pf AS (SELECT *, [CASE WHEN known IS NULL THEN 'preflight_capabilities_missing'
 
 
 def _intents(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
-    parts = table(spark, sf_dir, "part").filter("p_size < 50").select("p_partkey", "p_size")
-    rows = table(spark, sf_dir, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(parts, F.col("p_partkey") == F.col("l_partkey"), "left")
-    action = F.when(F.col("l_linenumber") == 7, "MODIFY_PROTECTION").when(F.col("l_returnflag") == "N", "OPEN").when(F.col("l_returnflag") == "R", "REDUCE").otherwise("CLOSE")
+    """Intents with ``r``. What one table alone decides is worked out before tables meet, so that no rule repeats it."""
     long = lambda c: c.cast("long")
+    action = F.when(F.col("l_linenumber") == 7, "MODIFY_PROTECTION").when(F.col("l_returnflag") == "N", "OPEN").when(F.col("l_returnflag") == "R", "REDUCE").otherwise("CLOSE")
+    quantity = F.when(F.col("l_tax") > 0, long(F.round(F.col("l_quantity") * 100)))
+    lines = table(spark, sf_dir, "lineitem").select("*", action.alias("action"), quantity.alias("quantity"), micros(F.col("l_shipdate")).alias("now_us"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", micros(F.col("o_orderdate")).alias("observed_us"))
+    anchor, held = F.when(F.col("p_size") % 2 == 0, long(F.lit(100))), long(F.col("p_size")) * 100
+    parts = table(spark, sf_dir, "part").filter("p_size < 50").select("p_partkey", anchor.alias("volume_anchor"), held.alias("position_quantity"))
+    rows = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(parts, F.col("p_partkey") == F.col("l_partkey"), "left")
     r = F.struct(
-        action.alias("action"), F.when(F.col("l_tax") > 0, long(F.round(F.col("l_quantity") * 100))).alias("quantity"), F.col("l_partkey").alias("instrument_id"), F.col("p_partkey").alias("known_instrument"),
-        long(F.lit(300)).alias("volume_min"), long(F.lit(4000)).alias("volume_max"), long(F.lit(200)).alias("volume_step"), F.when(F.col("p_size") % 2 == 0, long(F.lit(100))).alias("volume_anchor"),
-        (long(F.col("p_size")) * 100).alias("position_quantity"), micros(F.col("l_shipdate")).alias("now_us"), micros(F.col("o_orderdate")).alias("observed_us"),
+        "action", "quantity", F.col("l_partkey").alias("instrument_id"), F.col("p_partkey").alias("known_instrument"), long(F.lit(300)).alias("volume_min"), long(F.lit(4000)).alias("volume_max"),
+        long(F.lit(200)).alias("volume_step"), "volume_anchor", "position_quantity", "now_us", "observed_us",
     )
     return rows.withColumn("r", r)
 

@@ -123,6 +123,17 @@ def test_trace_equals_a_replay(spark):
     assert run([]).collect() == []
 
 
+def test_rules_of_a_trace_stay_in_generated_code_and_may_be_many(spark):
+    many = [(f"r{i}", F.col("k") % 70 == i) for i in range(66)] + [("r3", F.col("k") == 3)]
+    rows = spark.range(70).select(F.col("id").alias("k"), F.lit("x").alias("key"))
+    yes = F.lit(True)
+    out = E.execution_trace(rows, "key", ["k"], [("1", []), ("2", many)], [("late", F.col("k") == 69), ("late too", F.col("k") >= 66)], yes, yes, yes, yes)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: (r.trace, r.status, r.codes) for r in out.collect()}
+    assert all(got[k] == ("1,2", "DENIED", [f"r{k}"]) for k in range(66)) and got[66] == ("1,2,5,6", "ABORTED", ["late too"])
+    assert all(got[k] == ("1", "DENIED", ["dedup_key_not_unclaimed:ABORTED_NEVER_ATTEMPTED"]) for k in (67, 68, 69))
+
+
 def plans(spark, cases):
     """Every case (records, state, quantity) as a run of its own."""
     held = spark.createDataFrame([(i, "p", state, quantity) for i, (_, state, quantity) in enumerate(cases)], "run int, position_ref string, state string, quantity long")
