@@ -16,8 +16,10 @@ Rules = list[tuple[str, Column]]
 
 def first_broken(rules: Rules) -> Column:
     out = F.lit(None).cast("string")
-    for code, broken in reversed(rules):
-        out = F.when(F.coalesce(broken, F.lit(False)), code).otherwise(out)
+    if rules:
+        out = F.when(F.coalesce(rules[0][1], F.lit(False)), rules[0][0])
+    for code, broken in rules[1:]:
+        out = out.when(F.coalesce(broken, F.lit(False)), code)
     return out
 
 

@@ -43,33 +43,42 @@ def resolve_feeds(requests: DataFrame, brokers: DataFrame, terminals: DataFrame,
         rest = [c for c in df.columns if c not in keys]
         return df.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), F.any_value(F.struct(*rest)).alias(name))
 
-    pairs = requests.select("instrument_id", "path").filter("instrument_id is not null and path is not null").distinct()
-    rows = pairs.withColumn("at", normal_path(F.col("path")))
-    rows = rows.join(one(brokers.withColumn("at", normal_path(F.col("terminal_path"))), ["at"], "broker"), "at", "left")
-    rows = rows.join(one(terminals, ["path"], "terminal"), "path", "left").withColumn("broker_id", F.when(F.col("n_broker") == 1, F.col("broker.broker_id")))
-    rows = rows.join(one(bindings, ["instrument_id", "broker_id"], "binding"), ["instrument_id", "broker_id"], "left")
-    rows = rows.join(one(instruments, ["instrument_id"], "instrument"), "instrument_id", "left")
-    rows = rows.withColumn("symbol", F.when(F.col("n_binding") == 1, F.col("binding.symbol"))).join(one(symbols, ["broker_id", "symbol"], "seen"), ["broker_id", "symbol"], "left")
-
     def count(name: str) -> Rules:
         n = F.coalesce(F.col(f"n_{name}"), F.lit(0))
         return [("broker_not_bound", n == 0), ("broker_ambiguous", n > 1)]
 
-    terminal, broker, seen = (F.col(c) for c in ("terminal", "broker", "seen"))
     differs = lambda a, b: a.isNull() | F.coalesce(a != b, F.lit(True))
+    # what a path says is told once for each different path, however many instruments are asked for there
+    terminal, broker = F.col("terminal"), F.col("broker")
+    paths = requests.select("path").filter("path is not null").distinct().withColumn("at", normal_path(F.col("path")))
+    paths = paths.join(one(brokers.withColumn("at", normal_path(F.col("terminal_path"))), ["at"], "broker"), "at", "left").join(one(terminals, ["path"], "terminal"), "path", "left")
+    refused = first_broken([
+        ("not_configured", blank(F.col("path"))), *count("broker"), ("terminal_disconnected", ~F.coalesce(terminal["connected"], F.lit(False))),
+        ("broker_identity_mismatch:terminal_path", differs(normal_path(terminal["seen_path"]), folder(broker["terminal_path"]))), ("broker_identity_mismatch:company", differs(terminal["company"], broker["company"])),
+    ])
+    routes = paths.select("path", refused.alias("refused"), F.when(F.col("n_broker") == 1, broker["broker_id"]).alias("broker_id"), broker["company"].alias("company"))
+
+    pairs = requests.select("instrument_id", "path").filter("instrument_id is not null and path is not null").distinct()
+    rows = pairs.join(routes, "path")
+    rows = rows.join(one(bindings, ["instrument_id", "broker_id"], "binding"), ["instrument_id", "broker_id"], "left")
+    rows = rows.join(one(instruments, ["instrument_id"], "instrument"), "instrument_id", "left")
+    rows = rows.withColumn("symbol", F.when(F.col("n_binding") == 1, F.col("binding.symbol"))).join(one(symbols, ["broker_id", "symbol"], "seen"), ["broker_id", "symbol"], "left")
+    seen = F.col("seen")
     declared = {c: F.col(f"instrument.{c}") for c in METADATA[:3]} | {"digits": F.col("binding.digits"), "trade_tick_size": F.coalesce(F.col("binding.trade_tick_size"), F.lit(0))}
     rules: Rules = [
-        ("not_configured", blank(F.col("instrument_id")) | blank(F.col("path"))), *count("broker"), ("terminal_disconnected", ~F.coalesce(terminal["connected"], F.lit(False))),
-        ("broker_identity_mismatch:terminal_path", differs(normal_path(terminal["seen_path"]), folder(broker["terminal_path"]))),
-        ("broker_identity_mismatch:company", differs(terminal["company"], broker["company"])), *count("binding"), *count("instrument"),
+        ("not_configured", blank(F.col("instrument_id"))), *count("binding"), *count("instrument"),
         ("symbol_not_found", differs(seen["name"], F.col("symbol"))), ("symbol_not_visible", ~F.coalesce(seen["visible"], F.lit(False))),
         ("instrument_metadata_mismatch:custom", F.coalesce(seen["custom"], F.lit(True))), *[(f"instrument_metadata_mismatch:{c}", differs(seen[c], d)) for c, d in declared.items()],
     ]
-    said = rows.select("instrument_id", "path", F.split(first_broken(rules), ":").alias("said"), "broker_id", broker["company"].alias("company"), "symbol", *[d.alias(c) for c, d in declared.items()])
+    blank_first = F.when(blank(F.col("instrument_id")), "not_configured")
+    found = rows.select("instrument_id", "path", F.coalesce(blank_first, F.col("refused"), first_broken(rules)).alias("said"), "broker_id", "company", "symbol", *[d.alias(c) for c, d in declared.items()])
     identity = F.concat(F.lit("feed:"), F.sha2(canonical("instrument_id", "broker_id", "company", "symbol", *METADATA), 256))
-    told = said.select("instrument_id", "path", F.get("said", F.lit(0)).alias("code"), F.get("said", F.lit(1)).alias("detail"), F.when(F.col("said").isNull(), identity).alias("feed_id"))
+    told = found.select("instrument_id", "path", "said", F.when(F.col("said").isNull(), identity).alias("feed_id"))
     absent = F.col("instrument_id").isNull() | F.col("path").isNull()
-    return requests.join(told, ["instrument_id", "path"], "left").select(*requests.columns, F.when(absent, "not_configured").otherwise(F.col("code")).alias("code"), "detail", "feed_id")
+    said = F.split("said", ":")
+    return requests.join(told, ["instrument_id", "path"], "left").select(
+        *requests.columns, F.when(absent, "not_configured").otherwise(F.get(said, F.lit(0))).alias("code"), F.get(said, F.lit(1)).alias("detail"), "feed_id"
+    )
 
 
 def preflight_rules(r: Column, max_age_us: int | None, policy: Column | None = None) -> Rules:

@@ -36,6 +36,13 @@ def test_feed_resolved_by_equality_alone(spark):
     assert [by[k].code for k in (2, 3, 4, 5)] == ["broker_not_bound", "broker_not_bound", "not_configured", "not_configured"]
 
 
+def test_paths_are_made_alike_once_each_not_for_every_pair(spark):
+    rows = resolve(spark, [(1, "i", PATH), (2, "j", PATH), (3, "i", " "), (4, " ", "c:/elsewhere.exe"), (5, "i", None)])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("regexp_replace" in at for at in plan) and not [at for at in plan if "regexp_replace" in at and "instrument_id" in at]
+    assert codes(rows) == {1: (None, None), 2: ("broker_not_bound", None), 3: ("not_configured", None), 4: ("not_configured", None), 5: ("not_configured", None)}
+
+
 def test_feed_refused(spark):
     one = [(1, "i", PATH)]
     said = lambda **kw: codes(resolve(spark, one, **kw))[1]
