@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import cut
+
 #: what sums up a block also sums up blocks
 Parts = dict[str, tuple[Callable[[Column], Column], Column]]
 
@@ -51,6 +53,8 @@ def range_aggregate(asked: DataFrame, rows: DataFrame, keys: list[str], position
     sized = sized.withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(sizes - 1))))
     sized = sized.withColumn("block", F.call_function("div", F.col("__p"), F.pow(F.lit(radix), F.col("size")).cast("long")))
     blocks = sized.groupBy(*keys, "size", "block").agg(*[f(F.col(n)).alias(n) for n, (f, _) in every.items()])
+    if counts is not None:  # blocks are met twice, whole and opened
+        blocks = cut(blocks)
     ids = asked.columns
     tiled = asked.withColumn("__t", F.explode(tiles(F.when(low < 0, 0).otherwise(low), high, radix, sizes))).select(*ids, "__t.size", "__t.block")
     hit = tiled.join(blocks, [*keys, "size", "block"])

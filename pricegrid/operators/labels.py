@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import cut
 from ..functions.joins import as_of
 from ..functions.ranges import range_aggregate
 from ..functions.running import running
@@ -42,7 +43,7 @@ def event_windows(at: DataFrame, events: DataFrame, lengths: tuple[int, ...], mo
     """
     here = events.select("symbol", "seq", F.col("event_us").alias("t0"), F.col("price").alias("reference"))
     known = at.select("symbol", "seq").distinct().join(here, ["symbol", "seq"])
-    asked = known.withColumn("events_ahead", F.explode(F.array(*[F.lit(n).cast("long") for n in lengths])))
+    asked = cut(known).withColumn("events_ahead", F.explode(F.array(*[F.lit(n).cast("long") for n in lengths])))
     e = running(events.select("symbol", "seq", "event_us", "received_us", "price"), ["symbol"], ["seq"], BUCKET, {"before_us": ("max", F.col("event_us"), False)})
     price, us, seq = F.col("price"), F.col("event_us"), F.col("seq")
     first = lambda p: F.struct(p.alias("p"), (-seq).alias("back"), us.alias("us"))

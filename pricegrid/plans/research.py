@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.durable import cut
 from ..functions.joins import as_of
 from ..operators import labels as B
 from ..operators import outcomes as O
 from ..operators.capture import observations as observe
+from ..operators.segments import moves as fold_moves
 from ..sources.events import price_events
 from .market import KEY, ORACLE_SQL, QUERIES, moves, query
 from .spine_sql import EVENTS, MOVES, RESOLUTIONS, REVERSAL, STRUCTURE, sql
@@ -348,14 +350,15 @@ AHEAD, MOST_GAP_US = (24, 240), 7_200_000_000
 def transition_labels(spark, sf_dir):
     """What the next 24 and 240 events bring, for every transition of every resolution."""
     side = F.when(F.col("direction") == "X", "long").otherwise("short")
-    m = moves(spark, sf_dir).select("symbol", "resolution", "seq", side.alias("direction"))
-    return B.outcomes(m, price_events(spark, sf_dir), AHEAD, MOST_GAP_US)
+    e = cut(price_events(spark, sf_dir).select("symbol", "seq", "event_us", "received_us", "price"))
+    m = fold_moves(e, RESOLUTIONS, REVERSAL).select("symbol", "resolution", "seq", side.alias("direction"))
+    return B.outcomes(m, e, AHEAD, MOST_GAP_US)
 
 
 @query()
 def observation_labels(spark, sf_dir):
     """The same for all nine kinds of observations."""
-    e = price_events(spark, sf_dir)
+    e = cut(price_events(spark, sf_dir))
     return B.outcomes(B.directed(observe(e, RESOLUTIONS, REVERSAL, STRUCTURE, TOLERANCE)), e, AHEAD, MOST_GAP_US)
 
 

@@ -93,3 +93,10 @@ def test_labels_of_odd_events(spark):
     clash = obs.limit(1).select("*", *[F.lit("mine").alias(c) for c in (*B.WINDOW, *B.TOLD[3:])])
     assert [fields(r) for r in B.outcomes(clash, events, (3,), research.MOST_GAP_US).collect()] == [replay(of, 1, "long", 3)]
     assert B.outcomes(obs, events.limit(0), (3,), 1).collect() == B.outcomes(obs.limit(0), events, (3,), 1).collect() == []
+
+
+def test_transitions_and_windows_read_events_that_are_written_once(spark):
+    from pricegrid.plans.catalog import QUERIES
+
+    read = QUERIES["transition_labels"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not [f for f in read if "events.parquet" in f]
