@@ -30,11 +30,15 @@ ex AS (SELECT s.*, e.event_us AS exit_us, e.price AS exit_price FROM en s ASOF L
 tr AS (SELECT *, gross - {COST * SIZE} AS net FROM (SELECT *, CASE side WHEN 'long' THEN 1 ELSE -1 END * (exit_price - entry_price) * {SIZE} AS gross FROM ex))"""
 
 
-def trades(spark, sf_dir):
-    e = price_events(spark, sf_dir)
+def trades_over(e):
+    """The trades of the baseline over events, whichever table they stand in."""
     return O.profit(O.fills(O.momentum(e, 5), e, ENTRY_US, EXIT_US), SIZE, COST)
 
 
+def trades(spark, sf_dir):
+    return trades_over(price_events(spark, sf_dir))
+
+
 @query(sql(SIGNALS, "SELECT * FROM sig"))
 def baseline_signals(spark, sf_dir):
     return O.momentum(price_events(spark, sf_dir), 5)

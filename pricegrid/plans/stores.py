@@ -10,7 +10,7 @@ from ..functions.durable import shared_dir
 from ..sources import datasets, journal
 from ..sources.events import price_events, table
 from .market import query
-from .research import ORACLE_SQL, QUERIES
+from .research import ORACLE_SQL, trades_over
 from .spine_sql import EVENTS
 
 _LEAF = "sha256('event_us=' || event_us || '|price=' || price || '|raw=' || raw || '|received_us=' || received_us || '|seq=' || seq || '|source_sequence=' || source_sequence || '|symbol=' || symbol)"
@@ -60,14 +60,17 @@ def _sql_leaf(columns: tuple[str, ...]) -> str:
     SELECT 'backtest-' || sha256('{{"dataset":"' || dataset_id || '","definition":"momentum-5"}}') AS run_id, 'trades' AS table_name, rows, digest FROM d, whole"""
 )
 def run_bundle(spark, sf_dir):
-    """A backtest as a bundle named by its dataset and definition: written once, read back and verified."""
+    """A backtest over a dataset as a bundle named by that dataset and the definition: written once, read back and verified.
+
+    A table without rows has neither a count nor a digest, as the sums of SQL over no rows.
+    """
     made = _dataset(spark, sf_dir)
     root = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
-    trades = QUERIES["backtest_trades"](spark, sf_dir).select(*TRADE)
+    trades = trades_over(made.events).select(*TRADE)
     run = datasets.write_bundle(spark, root, "backtest", {"dataset": made.dataset_id, "definition": "momentum-5"}, {"trades": trades})
     run = datasets.load_bundle(spark, run.path)
-    told = [datasets.digests(t, [], datasets.leaf(t.columns), levels=(6, 3)).select(F.lit(run.run_id).alias("run_id"), F.lit(n).alias("table_name"), "rows", "digest") for n, t in run.tables.items()]
-    return told[0]
+    told = [(run.run_id, n, t["rows"] or None, t["digest"] if t["rows"] else None) for n, t in run.told.items()]  # one table, whose digest reading has just found again
+    return spark.createDataFrame(told, "run_id string, table_name string, rows long, digest string")
 
 
 @query(

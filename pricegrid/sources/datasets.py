@@ -55,14 +55,16 @@ def digests(rows: DataFrame, by: list[str], hashed: Column, levels: tuple[int, .
     """``by``, rows and digest of each partition; ``hashed`` is a row's leaf.
 
     ``levels`` are the numbers of first characters by which hashes are put together, from the leaves up; each three of them
-    divide a partition by 4,096.
+    divide a partition by 4,096. Leaves are dealt once, by the fewest of these characters; what an earlier level puts together
+    then lies in one task already.
     """
-    nodes = rows.select(*by, hashed.alias("__hash"), F.lit(1).cast("long").alias("__n"), hashed.alias("__text"))
+    dealt = rows.select(*by, hashed.alias("__hash")).withColumn("__top", F.substring("__hash", 1, levels[-1])).repartition(*by, "__top")
+    nodes = dealt.select(*by, "__top", "__hash", F.lit(1).cast("long").alias("__n"), F.col("__hash").alias("__text"))
     for chars in levels:
         nodes = (
-            nodes.groupBy(*by, F.substring("__hash", 1, chars).alias("__at"))
+            nodes.groupBy(*by, "__top", F.substring("__hash", 1, chars).alias("__at"))
             .agg(F.sum("__n").alias("__n"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list("__text"))), 256).alias("__node"))
-            .select(*by, F.col("__at").alias("__hash"), "__n", F.concat("__at", F.lit(":"), "__node").alias("__text"))
+            .select(*by, "__top", F.col("__at").alias("__hash"), "__n", F.concat("__at", F.lit(":"), "__node").alias("__text"))
         )
     return nodes.groupBy(*by).agg(F.sum("__n").alias("rows"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list("__text"))), 256).alias("digest"))
 
@@ -97,6 +99,15 @@ def _whole(manifest: DataFrame) -> tuple[str, int, int]:
     return (one["digest"], one["rows"], total) if one and one["rows"] else (hashlib.sha256(b"").hexdigest(), 0, total)
 
 
+def _broken(events: DataFrame, keys: list[str]) -> dict[str, int]:
+    """How many rows break which rule of a dataset, which has some rows."""
+    rules = ["sequence_not_rising", "time_falling", "known_before_event", "nonpositive_price", "repeated_identity"]
+    broken = dataset_violations(events, keys).agg(*[F.sum(c).alias(c) for c in rules], F.sum("rows").alias("rows")).first()
+    if not broken["rows"]:
+        raise DatasetError("empty_dataset")
+    return {c: broken[c] for c in rules if broken[c]}
+
+
 def write_dataset(events: DataFrame, root: str, *, source: str, units: str, quality: str, keys: list[str] = ["symbol"], order: str = "seq", parent: str | None = None, keep_broken: bool = False) -> Dataset:  # noqa: B006
     """Verify ``events`` and write them under ``root`` by their own digest.
 
@@ -105,15 +116,9 @@ def write_dataset(events: DataFrame, root: str, *, source: str, units: str, qual
     what they break, and a quality of complete becomes partial.
     """
     spark = events.sparkSession
-    rules = ["sequence_not_rising", "time_falling", "known_before_event", "nonpositive_price", "repeated_identity"]
-    broken = dataset_violations(events, keys).agg(*[F.sum(c).alias(c) for c in rules], F.sum("rows").alias("rows")).first()
-    if not broken["rows"]:
-        raise DatasetError("empty_dataset")
-    found = {c: broken[c] for c in rules if broken[c]}
-    if found and not keep_broken:
+    found = {}
+    if not keep_broken and (found := _broken(events, keys)):
         raise DatasetError("invalid_dataset_event", ", ".join(f"{c}={n}" for c, n in found.items()))
-    if found and quality == "complete":
-        quality = "partial"
     root = files.qualified(spark, root)
     made = f"{root}/data-{uuid.uuid4().hex}"
     bucket = F.call_function("div", F.col(order), F.lit(1 << 20)).alias("bucket")
@@ -121,6 +126,8 @@ def write_dataset(events: DataFrame, root: str, *, source: str, units: str, qual
     placed = events.select("*", *[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], bucket)
     placed.repartition(*by, "bucket").write.partitionBy(*by, "bucket").parquet(f"{made}/events")
     written = spark.read.schema(events.schema).parquet(f"{made}/events").select(*events.columns)
+    if keep_broken and (found := _broken(written, keys)) and quality == "complete":  # they needn't be computed twice
+        quality = "partial"
     partitions(written, keys, order).coalesce(1).write.parquet(f"{made}/{MANIFEST}")
     manifest = spark.read.parquet(f"{made}/{MANIFEST}")
     digest, count, rows = _whole(manifest)
@@ -177,6 +184,7 @@ class Bundle:
     run_id: str
     spec: dict[str, Any]
     tables: dict[str, DataFrame]
+    told: dict[str, dict[str, Any]]  # rows, digest and schema of each table, as the header has them
 
 
 def run_id(kind: str, spec: dict[str, Any]) -> str:
@@ -221,7 +229,7 @@ def load_bundle(spark: SparkSession, path: str, verify: bool = True) -> Bundle:
             raw = spark.read.schema(tables[t].schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(f"{made}/{t}")
             if _table_digest(raw) != told:
                 raise DatasetError("bundle_table_mismatch", t)
-    return Bundle(path, header["run_id"], header["spec"], tables)
+    return Bundle(path, header["run_id"], header["spec"], tables, header["tables"])
 
 
 def run_input_codes(dataset: Dataset, expected_hash: str, policy: dict[str, float], costs: dict[str, float], signals: DataFrame | None = None) -> list[str]:

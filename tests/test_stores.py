@@ -202,6 +202,59 @@ def test_a_feed_that_falls_to_zero_or_goes_back_in_time_is_stored_whole(spark, s
         assert sorted(map(tuple, got.collect())) == sorted(want), name
 
 
+def test_a_run_reads_its_dataset(spark, small, tmp_path, monkeypatch):
+    """Trades come from the events that name the run, not from the tables once more; a run without trades has no count and no digest, as in SQL."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+    from pricegrid.plans import research
+
+    def once_more(*_):
+        raise AssertionError("the events were derived once more")
+
+    known = queries()["run_bundle"]
+    monkeypatch.setattr(research, "price_events", once_more)
+    e = spark.read.parquet(f"{small}/events.parquet")
+    for n, rows in (("all", e), ("few", e.filter("event_id < 5"))):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        con = duckdb.connect()
+        con.execute("SET TimeZone='UTC'")
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/{n}/events.parquet/*.parquet')")
+        got = known(spark, f"{tmp_path}/{n}")
+        assert list(map(tuple, got.collect())) == con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle_sql()['run_bundle']})").fetchall(), n
+
+
+def test_kept_events_are_computed_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    assert write(events(spark, 20).mapInArrow(count, ROW), tmp_path, keep_broken=True).header["rows"] == 40 and made.value == 40
+    with pytest.raises(datasets.DatasetError, match="empty_dataset"):
+        write(events(spark, 20).limit(0), tmp_path / "none", keep_broken=True)
+    assert not os.path.exists(tmp_path / "none" / "header.json")
+
+
+def test_leaves_are_dealt_once(spark):
+    """Several levels of the tree come from one shuffle of the leaves; the digest is the one that a plain loop finds."""
+    import hashlib
+    from itertools import groupby
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    df = spark.range(3_000).select((F.col("id") % 2_900).alias("id"))
+    one = datasets.digests(df, [], datasets.leaf(["id"]), levels=(2, 1))
+    assert one._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    texts = heads = sorted(sha(f"id={i % 2_900}") for i in range(3_000))
+    for chars in (2, 1):
+        pairs = [(at, list(g)) for at, g in groupby(zip([h[:chars] for h in heads], texts, strict=True), key=lambda p: p[0])]
+        heads = [at for at, _ in pairs]
+        texts = [f"{at}:{sha(''.join(sorted(t for _, t in g)))}" for at, g in pairs]
+    assert tuple(one.first()) == (3_000, sha("".join(sorted(texts))))
+
+
 def test_an_append_groups_its_rows_once(spark, tmp_path, monkeypatch):
     """What is appended is computed once, however many steps look at it; null payloads are a content of their own."""
     made = spark.sparkContext.accumulator(0)
