@@ -8,8 +8,10 @@ a sequence by nature. Keep everything else out of the fold and feed it only the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,6 +26,25 @@ class Fold(Protocol):
     def finish(self) -> Iterable[tuple]: ...
 
 
+def plain(column: pa.Array | pa.ChunkedArray) -> list:
+    """A column as Python values; whole numbers without nulls go by way of numpy, several times as fast."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy().tolist() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+def runs(columns: list[pa.Array]) -> Iterator[tuple[tuple, int]]:
+    """The values that neighbouring rows share, and how many rows share them."""
+    differ = np.zeros(len(columns[0]), dtype=bool)
+    differ[0] = True
+    for c in columns:
+        code = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        differ[1:] |= code[1:] != code[:-1]
+    at = np.flatnonzero(differ).tolist()
+    for i, end in zip(at, [*at[1:], len(differ)], strict=True):
+        yield tuple(c[i].as_py() for c in columns), end - i
+
+
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[..., Fold], schema: str) -> DataFrame:
     """Fold the rows of each key in ``order``; output rows are the key's values and what the fold gives.
 
@@ -37,21 +58,30 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fold = None, None
         for b in batches:
-            out: list[tuple] = []
-            names = list(zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in keys), strict=True))
-            rows = zip(*(b.column(b.schema.get_field_index(v)).to_pylist() for v in values), strict=True)
-            for name, row in zip(names, rows, strict=True):
+            if not b.num_rows:
+                continue
+            out, of_keys = [], [[] for _ in keys]
+            rows = zip(*(plain(b.column(b.schema.get_field_index(v))) for v in values), strict=True)
+            for name, n in runs([b.column(b.schema.get_field_index(k)) for k in keys]):
                 if fold is None or name != key:
                     if fold is not None:
-                        out += [(*key, *o) for o in fold.finish()]
+                        ended = list(fold.finish())
+                        out += ended
+                        for of, k in zip(of_keys, key, strict=True):
+                            of += [k] * len(ended)
                     key, fold = name, start(*name)
-                out += [(*key, *o) for o in fold.step(*row)]
-            yield batch(out)
+                before, step = len(out), fold.step
+                for row in islice(rows, n):
+                    out += step(*row)
+                for of, k in zip(of_keys, key, strict=True):
+                    of += [k] * (len(out) - before)
+            yield batch(of_keys, out)
         if fold is not None:
-            yield batch([(*key, *o) for o in fold.finish()])
+            ended = list(fold.finish())
+            yield batch([[k] * len(ended) for k in key], ended)
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * width
+    def batch(of_keys: list[list], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [*of_keys, *zip(*rows, strict=True)] if rows else [[]] * width
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -140,11 +140,15 @@ def matrix(events: DataFrame, moves: DataFrame, key: str, resolutions: list[str]
         total(g.isNotNull() & ~f for f, g in zip(fresh, got, strict=True)).alias("stale"), total(g.isNull() for g in got).alias("warmup"),
     )
     ready = F.col("bullish") + F.col("bearish") == n
-    alignment = (
-        F.when(~ready, "unavailable").when(F.col("bullish") == n, "aligned_bullish").when(F.col("bearish") == n, "aligned_bearish").otherwise("mixed")
-    )
     strength = F.when(~ready, 0).when((F.col("bullish") == n) | (F.col("bearish") == n), 3).otherwise(F.abs(F.col("bullish") - F.col("bearish")).cast("int"))
-    return counts.select(key, "seq", "bullish", "bearish", "stale", "warmup", alignment.alias("alignment"), strength.alias("strength"))
+    return counts.select(key, "seq", "bullish", "bearish", "stale", "warmup", alignment(F.col("bullish"), F.col("bearish"), n).alias("alignment"), strength.alias("strength"))
+
+
+def alignment(bullish: Column, bearish: Column, resolutions: int) -> Column:
+    """unavailable unless every resolution has a direction that isn't stale."""
+    return (
+        F.when(bullish + bearish != resolutions, "unavailable").when(bullish == resolutions, "aligned_bullish").when(bearish == resolutions, "aligned_bearish").otherwise("mixed")
+    )
 
 
 def decision_bias(bullish: Column, bearish: Column, resolutions: int) -> Column:

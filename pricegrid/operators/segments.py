@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.durable import cut
-from ..functions.folds import ordered_fold
+from ..functions.folds import ordered_fold, plain
 from .columns import TRANSITION, ColumnFold
 
 State = tuple[int | None, str | None, int, int]  # seed, direction, edge, column
@@ -152,6 +152,11 @@ def fold_segment(seq: list[int], event_us: list[int], price: list[int], starts:
     live = [(_fold(s, reversal), i, [(i, 0)]) for i, s in enumerate(starts)]
     epochs, out, k, n = len(starts), [], 1, len(price)
     while k < n and len(live) > 1:
+        low, high = _still_all(live, box)
+        while k < n and low < price[k] < high:
+            k += 1
+        if k == n:
+            break
         moved = False
         for fold, epoch, _ in live:
             for row in fold.step(seq[k], event_us[k], price[k], box):
@@ -174,11 +179,11 @@ def fold_segment(seq: list[int], event_us: list[int], price: list[int], starts:
     if k < n:
         fold, epoch, _ = live[0]
         low, high = _still(fold, box)
-        for j in range(k, n):
-            if low < price[j] < high:
-                continue
-            out += [(epoch, *row) for row in fold.step(seq[j], event_us[j], price[j], box)]
-            low, high = _still(fold, box)
+        for p in price[k:]:
+            if not low < p < high:
+                out += [(epoch, *row) for row in fold.step(seq[k], event_us[k], p, box)]
+                low, high = _still(fold, box)
+            k += 1
     ends: list[State] = [(None, None, 0, 0)] * len(starts)
     for fold, _, members in live:
         for i, offset in members:
@@ -194,6 +199,12 @@ def _still(fold: ColumnFold, box: int) -> tuple[int, int]:
     return (behind, ahead) if fold.direction == "X" else (fold.edge - box, fold.edge + fold.reversal * box)
 
 
+def _still_all(live: list[tuple], box: int) -> tuple[int, int]:
+    """Prices strictly between these change none of the folds."""
+    lows, highs = zip(*(_still(fold, box) for fold, _, _ in live), strict=True)
+    return max(lows), min(highs)
+
+
 class ChainFold(StartFold):
     """Tells each segment the chain of the start that is the real one, with the columns so far, and the transition of its first event."""
 
@@ -226,23 +237,31 @@ def moves(events: DataFrame, resolutions: dict[str, int], reversal: int = 3, seg
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     told = len(StructType.fromDDL(map_ddl))
 
+    def table(key: list, first: int, columns: list) -> pa.Table:
+        """Rows whose columns from ``first`` on are ``columns``; those before are the same in each row, the others null."""
+        n = len(columns[0])
+        arrays = [pa.repeat(pa.scalar(v, f.type), n) for v, f in zip(key, arrow, strict=False)]
+        arrays += [pa.nulls(n, arrow.field(i).type) for i in range(len(key), first)]
+        arrays += [pa.array(c, arrow.field(first + i).type) for i, c in enumerate(columns)]
+        return pa.table(arrays + [pa.nulls(n, arrow.field(i).type) for i in range(len(arrays), len(arrow))], schema=arrow)
+
     def fold(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list[pa.Table] = [arrow.empty_table()]
         if left.num_rows and right.num_rows:
             at = left.filter(left.column("price").is_valid()).sort_by("seq")
-            seq, us, price = (at.column(c).to_pylist() for c in ("seq", "event_us", "price"))
-            key, seed = (left.column("symbol")[0].as_py(),), right.column("seed")[0].as_py()
-            of = left.column("seg")[0].as_py()
+            seq, us, price = (plain(at.column(c)) for c in ("seq", "event_us", "price"))
+            seed, of = right.column("seed")[0].as_py(), left.column("seg")[0].as_py()
             for name, box in resolutions.items():
+                key = [left.column("symbol")[0].as_py(), name, of]
                 starts = possible(seed, box, price[0], reversal)
                 ends, chains, made = fold_segment(seq, us, price, starts, box, reversal)
-                out.append((
-                    *key, name, of, {"seq": seq[0], "event_us": us[0], "price": price[0], "box": box}, [{"direction": d, "edge": e} for _, d, e, _ in starts],
-                    [{"direction": d, "edge": e, "column_id": c} for _, d, e, c in ends], [[{"epoch": i, "ahead": o} for i, o in c] for c in chains], *[None] * (len(arrow) - told - 3),
-                ))
-                out += [(*key, name, of, *[None] * told, *m) for m in made]
-        columns: Iterator = zip(*out, strict=True) if out else iter([[]] * len(arrow))
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                out.append(table(key, 3, [
+                    [{"seq": seq[0], "event_us": us[0], "price": price[0], "box": box}], [[{"direction": d, "edge": e} for _, d, e, _ in starts]],
+                    [[{"direction": d, "edge": e, "column_id": c} for _, d, e, c in ends]], [[[{"epoch": i, "ahead": o} for i, o in c] for c in chains]],
+                ]))
+                if made:
+                    out.append(table(key, 3 + told, list(zip(*made, strict=True))))
+        return pa.concat_tables(out).combine_chunks()
 
     folded = cut(rows.groupBy("symbol", "seg").cogroup(seeds.groupBy("__symbol", "__seg")).applyInArrow(fold, schema))
     key = ["symbol", "resolution"]

@@ -11,6 +11,7 @@ than the event's own time, the action is WAIT. Empty tables give empty ones.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ..functions.durable import cut
 from ..functions.folds import ordered_fold
 from ..functions.joins import forward_fill
 from . import structure as S
+from .columns import alignment
 
 # Weights of the components.
 WEIGHTS = {"pnf": 20, "structure": 25, "support_resistance": 20, "matrix": 20, "regime": 15, "confirmation": 10, "conflict": 15}
@@ -43,7 +45,8 @@ def inputs(events: DataFrame, moves: DataFrame, matrix: DataFrame, resolutions:
     found = S.patterns(pivots, key, tolerance).groupBy("symbol", "seq").agg(
         F.count_if(F.col("direction") == "bullish").alias("bullish_patterns"), F.count_if(F.col("direction") == "bearish").alias("bearish_patterns")
     )
-    known = pivots.select("symbol", "seq", "confirmed_seq", told_us, *last).join(regime, ["symbol", "seq"]).join(found, ["symbol", "seq"], "left").drop("seq").withColumnRenamed("confirmed_seq", "seq")
+    side = structure_side(F.col("p0"), F.col("p1"), F.col("p2"), tolerance).alias("structure_side")
+    known = pivots.select("symbol", "seq", "confirmed_seq", told_us, *last).select("*", side).join(regime, ["symbol", "seq"]).join(found, ["symbol", "seq"], "left").drop("seq").withColumnRenamed("confirmed_seq", "seq")
     levels = S.active_levels(own, key)
     wide = events.select("symbol", "seq", "event_us")
     for part in (matrix.select("symbol", "seq", "alignment"), rows, known, levels):
@@ -52,12 +55,68 @@ def inputs(events: DataFrame, moves: DataFrame, matrix: DataFrame, resolutions:
     near = F.struct("support", "resistance")
     filled = {
         "moved": F.col("m"),
-        "held": F.when(F.col("p0").isNotNull(), F.struct("p0", "p1", "p2", "label", "bullish_patterns", "bearish_patterns", "told_us")),
+        "held": F.when(F.col("p0").isNotNull(), F.struct("p0", "p1", "p2", "label", "bullish_patterns", "bearish_patterns", "told_us", "structure_side")),
         "near": F.when(F.col("support").isNotNull() | F.col("resistance").isNotNull(), near),
     }
     return forward_fill(cut(wide), key, "seq", filled, width).select("symbol", "seq", "event_us", "alignment", "moved.*", "held.*", "near.*")
 
 
+def evidence(events: DataFrame, moves: DataFrame, facts: DataFrame, resolutions: list[str], structure: str, tolerance: int, stale_after: int = 5, width: int = 1 << 16) -> DataFrame:
+    """``inputs`` from what ``structure.facts`` has told, and the place ``at`` of each event within its bucket ``__bucket`` of ``width`` events.
+
+    Events and what is told at them are rows of one table, of which each bucket is sorted once; what the buckets before leave stands in a
+    bucket's first rows. A row's place is its event's, and among the rows of an event: what is carried in, facts, transitions (that of the
+    first resolution last), the event. ``moves`` and ``facts`` are read several times, so give tables that are written.
+    """
+    n = len(resolutions)
+    k = n + 3  # places of an event
+    whole = lambda c, by: F.call_function("div", c, F.lit(by))
+    bucket = whole(F.col("seq"), width).alias("__bucket")
+    place = F.array_position(F.array(*map(F.lit, resolutions)), F.col("resolution"))
+    turned = F.col("seq") * 2 + (F.col("direction") == "X").cast("long")  # grows with seq, so the latest is the greatest
+    slots = [f"d{i}" for i in range(n)]
+    told = moves.select(
+        "symbol", bucket, (F.col("seq") * k + n + 2 - place).alias("at"), *[F.when(F.col("resolution") == r, turned).alias(d) for r, d in zip(resolutions, slots, strict=True)],
+        F.struct("kind", "direction", "to_price", "box", F.col("seq").alias("moved_seq"), F.col("event_us").alias("moved_us")).alias("moved"),
+    )
+    own = facts.filter(F.col("resolution") == structure)
+    by_seq = Window.partitionBy("symbol").orderBy("seq")
+    pivots = own.filter("fact = 'pivot'").select("symbol", "seq", "us", "state", F.struct("kind", "price", F.col("about").alias("seq")).alias("p"))
+    lags = pivots.select("symbol", "seq", F.col("state").alias("label"), F.max("us").over(by_seq.rowsBetween(Window.unboundedPreceding, 0)).alias("told_us"), *[F.lag("p", i).over(by_seq).alias(f"p{i}") for i in range(6)])
+    newest_last = [F.col(f"p{i}") for i in range(5, -1, -1)]
+    names = S.pattern([p["price"] for p in newest_last], [p["kind"] for p in newest_last], tolerance)
+    found = lags.withColumn("names", names).withColumn("side", structure_side(F.col("p0"), F.col("p1"), F.col("p2"), tolerance))
+    count = lambda bullish: F.size(F.filter("names", lambda x: x.isin(*S.BULLISH) == bullish)).cast("long")
+    at = (F.col("seq") * k + 1).alias("at")
+    held = cut(found.select("symbol", bucket, at, F.struct("p0", "p1", "p2", "label", count(True).alias("bullish_patterns"), count(False).alias("bearish_patterns"), "told_us", F.col("side").alias("structure_side")).alias("held")))
+    near = own.filter("fact = 'near'").select("symbol", bucket, at, F.struct(F.col("a").alias("support"), F.col("b").alias("resistance")).alias("near"))
+    sources = {"moved": told, "held": held, "near": near}
+
+    # what each bucket leaves, by places only; the values are looked up afterwards
+    left = told.groupBy("symbol", "__bucket").agg(*[F.max(d).alias(d) for d in slots], F.max("at").alias("moved"))
+    left = left.unionByName(held.groupBy("symbol", "__bucket").agg(F.max("at").alias("held")), allowMissingColumns=True).unionByName(near.groupBy("symbol", "__bucket").agg(F.max("at").alias("near")), allowMissingColumns=True)
+    ends = events.groupBy("symbol").agg(whole(F.max("seq"), width).alias("to"))
+    left = left.unionByName(ends.select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), "to")).alias("__bucket")), allowMissingColumns=True)
+    left = left.groupBy("symbol", "__bucket").agg(*[F.max(c).alias(c) for c in (*slots, *sources)])
+    before = Window.partitionBy("symbol").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut(left.select(F.col("symbol").alias("__symbol"), F.col("__bucket").alias("__of"), *[F.max(c).over(before).alias(c) for c in (*slots, *sources)]).filter("__of > 0"))
+    first = F.col("__of") * (width * k)
+    rows = [events.select("symbol", bucket, (F.col("seq") * k + n + 2).alias("at"), "event_us"), *sources.values(), carried.select(F.col("__symbol").alias("symbol"), F.col("__of").alias("__bucket"), first.alias("at"), *slots)]
+    for name, source in sources.items():
+        asked = carried.filter(F.col(name).isNotNull()).select("__symbol", "__of", F.col(name).alias("__at"))
+        met = source.join(F.broadcast(asked), F.col("symbol").eqNullSafe(F.col("__symbol")) & (F.col("at") == F.col("__at")))
+        rows.append(met.select("symbol", F.col("__of").alias("__bucket"), first.alias("at"), name))
+    walk = Window.partitionBy("symbol", "__bucket").orderBy("at")
+    last = [F.last(c, ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in (*slots, *sources)]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).select("symbol", "__bucket", "at", "event_us", *last)
+    seq = whole(F.col("at"), k)
+    of = every.filter(F.col("at") % k == n + 2).select("symbol", seq.alias("seq"), "event_us", "moved.*", "held.*", "near.*", "__bucket", "at", *slots)
+    fresh = [F.coalesce(F.col("seq") - F.shiftright(d, 1) < stale_after, F.lit(False)) for d in slots]
+    total = lambda x: sum(((f & (F.col(d) % 2 == x)).cast("int") for f, d in zip(fresh, slots, strict=True)), F.lit(0))
+    counted = of.select(*of.columns[:-n], total(1).alias("__up"), total(0).alias("__down"))
+    return counted.withColumn("alignment", alignment(F.coalesce("__up", F.lit(0)), F.coalesce("__down", F.lit(0)), n)).drop("__up", "__down")
+
+
 def structure_side(p0: Column, p1: Column, p2: Column, tolerance: int) -> Column:
     """BUY or SELL by the last pivots (p0 is the newest), null while there are fewer than two."""
     def kinds(*names: str) -> Column:
@@ -76,14 +135,17 @@ def structure_side(p0: Column, p1: Column, p2: Column, tolerance: int) -> Column
 
 
 def score(rows: DataFrame, tolerance: int, gap_min: int = 8, wait_max: int = 49, action_min: int = 65) -> DataFrame:
-    """Adds the side of each component, buy and sell points, the score and the action."""
+    """Adds the side of each component, buy and sell points, the score and the action.
+
+    The side of the structure comes with ``rows``, as it only changes with a pivot: worked out for each event, it made the generated
+    method too long to be compiled.
+    """
     w = WEIGHTS
     pnf = F.when(F.col("direction") == "X", "BUY").when(F.col("direction") == "O", "SELL")
     near = F.when(F.col("to_price") <= F.col("support"), "BUY").when(F.col("to_price") >= F.col("resistance"), "SELL").otherwise(pnf)
     grid = F.when(F.col("alignment") == "aligned_bullish", "BUY").when(F.col("alignment") == "aligned_bearish", "SELL")
     sided = rows.select(
-        "*", pnf.alias("pnf_side"), structure_side(F.col("p0"), F.col("p1"), F.col("p2"), tolerance).alias("structure_side"), near.alias("sr_side"), grid.alias("matrix_side"),
-        F.when(F.col("label") == "trend", grid).alias("regime_side"),
+        *[c for c in rows.columns if c != "structure_side"], pnf.alias("pnf_side"), "structure_side", near.alias("sr_side"), grid.alias("matrix_side"), F.when(F.col("label") == "trend", grid).alias("regime_side"),
     )
 
     def points(side: str) -> Column:
@@ -147,15 +209,19 @@ class IssueFold:
         return ()
 
 
+def issued(scored: DataFrame, cooldown: int = 3, expiry: int = 20) -> DataFrame:
+    """symbol, seq, action and score of the signals that are issued; a signal needs a plan. Rows of WAIT change nothing."""
+    refs = F.concat_ws("|", "pnf_side", "structure_side", "sr_side", "matrix_side", "regime_side", F.col("p0.seq"), "moved_seq")
+    could = setup(scored).filter("action <> 'WAIT' and risk is not null").select("symbol", "seq", "action", "score", refs.alias("refs"))
+    return ordered_fold(could, ["symbol"], ["seq"], lambda *_: IssueFold(cooldown, expiry), "symbol string, seq long, action string, score int")
+
+
 def issue(scored: DataFrame, cooldown: int = 3, expiry: int = 20) -> DataFrame:
     """The signals that are issued and when they expire; ``seq`` is that of the signal, ``at_seq`` that of the event.
 
-    A signal needs a plan. The latest one expires once more than ``expiry`` events have passed; one that another follows before doesn't.
+    The latest one expires once more than ``expiry`` events have passed; one that another follows before doesn't.
     """
-    refs = F.concat_ws("|", "pnf_side", "structure_side", "sr_side", "matrix_side", "regime_side", F.col("p0.seq"), "moved_seq")
-    could = setup(scored).filter("action <> 'WAIT' and risk is not null").select("symbol", "seq", "action", "score", refs.alias("refs"))
-    issued = ordered_fold(could, ["symbol"], ["seq"], lambda *_: IssueFold(cooldown, expiry), "symbol string, seq long, action string, score int")
-    ends = issued.withColumn("next", F.lead("seq").over(Window.partitionBy("symbol").orderBy("seq")))
+    ends = issued(scored, cooldown, expiry).withColumn("next", F.lead("seq").over(Window.partitionBy("symbol").orderBy("seq")))
     over = F.col("seq") + expiry + 1
     last = scored.groupBy("symbol").agg(F.max("seq").alias("last_seq"))
     states = F.array(F.struct(F.lit("issued").alias("status"), F.col("seq").alias("at_seq")), F.struct(F.lit("expired").alias("status"), over.alias("at_seq")))

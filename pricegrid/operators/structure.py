@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,6 +212,66 @@ def trendlines(moves: DataFrame, keys: list[str]) -> DataFrame:
     return ordered_fold(ordered, keys, ["seq"], lambda *_: TrendlineFold(), schema)
 
 
+FACT = "fact string, seq long, us long, about long, kind string, price long, a long, b long, state string, reason string"
+
+
+class FactFold:
+    """Pivots with their regime, passed levels, lines and standing levels, all in one walk through a key's transitions."""
+
+    def __init__(self, standing: bool, lookback: int, trend: int, volatile: int, hysteresis: int):
+        self.levels, self.lines, self.active = LevelFold(), TrendlineFold(), ActiveFold() if standing else None
+        self.label, self.prices, self.lookback = RegimeFold(trend, volatile, hysteresis), [], lookback
+        self.left = self.last = self.near = None
+        self.touched: dict[str, tuple | None] = {}
+
+    def step(self, seq: int, event_us: int, column: int, to_price: int, box: int) -> Iterable[tuple]:
+        out: list[tuple] = []
+        about = kind = price = of_column = None
+        if self.left is not None:
+            before, (at, price, of_column) = self.left[1], self.last
+            kind = "high" if price > before and price > to_price else "low" if price < before and price < to_price else None
+            about = at if kind else None
+        self.left, self.last = self.last, (seq, to_price, column)
+        if kind:
+            self.prices = [*self.prices[1 - self.lookback :], price] if self.lookback > 1 else [price]
+            slope, width = price - self.prices[0], max(self.prices) - min(self.prices)
+            for _, _, _, label, reason in self.label.step(seq, slope, width, len(self.prices)):
+                out.append(("pivot", seq, event_us, about, kind, price, slope, width, label, reason))
+        else:
+            price = None
+        for of, side, p, _, _, lost in self.levels.step(seq, event_us, to_price, about, kind, price):
+            out.append(("lost", lost, event_us, of, side, p, None, None, None, None))
+        for _, line, a, b, _, _, state, _ in self.lines.step(seq, column, to_price, box, kind, price, of_column, about):
+            if state == "touch":
+                if self.touched.get(line) == (a, b):
+                    continue
+                self.touched[line] = (a, b)
+            out.append(("line", seq, event_us, None, line, None, a, b, state, None))
+        if self.active is not None:
+            for _, *near in self.active.step(seq, to_price, kind, price):
+                if near != self.near and near != [None, None]:
+                    self.near = near
+                    out.append(("near", seq, event_us, None, None, None, *near, None, None))
+        return out
+
+    def finish(self) -> Iterable[tuple]:
+        return ()
+
+
+def facts(moves: DataFrame, keys: list[str], standing: Callable[..., bool], lookback: int = 4, trend: int = 30_000, volatile: int = 90_000, hysteresis: int = 5_000) -> DataFrame:
+    """What transitions say, told apart by ``fact``, each at the ``seq`` where it becomes known; one shuffle and one walk for all of it.
+
+    pivot: ``about`` (its event), kind, price, and the regime that it leaves (a: slope, b: width, state: label, reason), as ``pivots`` and ``regime``
+    have them. lost: the pivot that a level is ``about``, kind (its side), price, as the invalidated ones of ``levels``. line: kind, a and b (events of
+    the anchors) and state, as ``trendlines``, but only the first touch of a line. near: a (support) and b (resistance) of ``active_levels`` wherever
+    they change and one holds, for those keys for which ``standing`` is true.
+    """
+    types = {f.name: f.dataType.simpleString() for f in moves.schema.fields}
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), FACT])
+    rows = moves.select(*keys, "seq", "event_us", "column_id", "to_price", "box")
+    return ordered_fold(rows, keys, ["seq"], lambda *key: FactFold(standing(*key), lookback, trend, volatile, hysteresis), schema)
+
+
 def readiness(action: Column, line_state: Column) -> Column:
     """Entry readiness of an action against the state of its aligned trendline (null: none)."""
     return (

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -377,28 +374,51 @@ def asof_reference(spark, sf_dir):
 CUTS = 4  # the history of each symbol is cut at 1/4, 2/4 and 3/4
 
 
-def differences(events, capture, cuts=CUTS):
+def differences(events, capture, cuts=CUTS, piece=1 << 16):
     """change, differences: observations up to each cut that later events, cut off or changed, make come or go.
 
-    Every variant of a symbol is a symbol of its own, so that one run captures all of them.
+    Every variant of a symbol is a symbol of its own, so that one run captures all of them. What it captures up to the cut is first summed
+    up by pieces of ``piece`` events, their number and a hash of 64 bits each, with no shuffle of observations. Pieces whose sums differ from
+    those of the whole history are then counted observation by observation.
     """
-    part = [F.call_function("div", F.col("n") * k, F.lit(cuts)) for k in range(1, cuts)]
-    e = events.withColumn("n", F.max("seq").over(Window.partitionBy("symbol"))).withColumn("cut", F.explode(F.array(*part))).filter("cut > 0").drop("n")
-    p = F.col("price")
-    changes = {"prefix": None, "reflect": 20_000_000 - p, "flatten": F.lit(10_000_000), "shock": p * 2}
-    variants = [events.withColumn("cut", F.lit(None).cast("long")).withColumn("change", F.lit("whole"))]
-    for name, price in changes.items():
-        v = e.withColumn("change", F.lit(name))
-        variants.append(v.filter("seq <= cut") if price is None else v.withColumn("price", F.when(F.col("seq") > F.col("cut"), price).otherwise(p)))
-    every = reduce(DataFrame.unionByName, variants)
-    found = capture(every.withColumn("symbol", F.concat_ws("|", "symbol", "change", "cut")))
-    of = F.split("symbol", "[|]")
-    found = found.withColumn("change", of[1]).withColumn("cut", F.get(of, F.lit(2)).cast("long")).withColumn("symbol", of[0])
-    at = e.select("symbol", "cut").distinct().withColumn("change", F.explode(F.array(*map(F.lit, changes))))
-    whole = found.filter("change = 'whole'").drop("change", "cut").join(F.broadcast(at), "symbol").withColumn("sign", F.lit(1))
-    both = whole.unionByName(found.filter("change <> 'whole'").withColumn("sign", F.lit(-1))).filter("seq <= cut")
-    odd = both.groupBy("change", "cut", "symbol", "subject", "resolution", "seq", "what").agg(F.abs(F.sum("sign")).alias("odd"))
-    names = events.sparkSession.createDataFrame([(c,) for c in changes], "change string")
+    e = cut(events)
+    ends = [F.call_function("div", F.col("n") * k, F.lit(cuts)) for k in range(1, cuts)]
+    places = e.groupBy("symbol").agg(F.max("seq").alias("n")).select("symbol", F.filter(F.array_distinct(F.array(*ends)), lambda c: c > 0).alias("cuts"))
+
+    def changed(change):
+        return F.transform("cuts", lambda c: F.struct(F.lit(change).alias("change"), c.alias("cut")))
+
+    changes = ("prefix", "reflect", "flatten", "shock")
+    whole = F.array(F.struct(F.lit("whole").alias("change"), F.lit(None).cast("long").alias("cut")))
+    variant = F.concat_ws("|", "change", F.coalesce(F.col("cut").cast("string"), F.lit("-")), F.concat(F.lit("="), "of"))
+    variants = cut(places.select(F.col("symbol").alias("of"), "cuts", F.explode(F.concat(whole, *map(changed, changes))).alias("v")).select("of", "cuts", "v.*").withColumn("variant", variant))
+
+    later, change, p = F.coalesce(F.col("seq") > F.col("cut"), F.lit(False)), F.col("change"), F.col("price")
+    price = F.when(~later, p).when(change == "reflect", 20_000_000 - p).when(change == "flatten", 10_000_000).when(change == "shock", p * 2).otherwise(p)
+    every = e.join(F.broadcast(variants), F.col("symbol").eqNullSafe(F.col("of"))).filter(~(later & (change == "prefix")))
+    found = capture(every.select(*[{"symbol": F.col("variant"), "price": price}.get(c, F.col(c)).alias(c) for c in events.columns]))
+
+    # ``part``: how many cuts lie before the observation, so that pieces end at every cut
+    of = variants.select(F.col("variant").alias("symbol"), F.coalesce(F.concat(F.lit("="), "of"), F.lit("")).alias("id"), "change", "cut", "cuts")
+    part = sum((F.coalesce(F.get("cuts", F.lit(k)) < F.col("seq"), F.lit(False)).cast("int") for k in range(cuts - 1)), F.lit(0))
+    met = found.join(F.broadcast(of), "symbol").filter("seq is not null and (cut is null or seq <= cut)").select("*", part.alias("part"), F.call_function("div", F.col("seq"), F.lit(piece)).alias("piece"))
+    said = [x for c in ("subject", "resolution", "seq", "what") for x in (F.col(c).isNull(), F.col(c))]
+    hashed = met.select("id", "change", "cut", "part", "piece", F.xxhash64(*said).alias("h"))
+    halves = {"high": F.shiftright("h", 32), "low": F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))}  # of 32 bits, so that sums stay within a long
+    key = ["id", "change", "cut", "part", "piece"]
+    sums = cut(hashed.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(h).alias(n) for n, h in halves.items()]))
+    at = of.filter("cut is not null").select("id", "change", "cut", "cuts")
+    parts = sums.filter("change = 'whole'").drop("change", "cut").join(F.broadcast(at), "id").filter(F.get("cuts", F.col("part")) <= F.col("cut")).drop("cuts").withColumn("sign", F.lit(1))
+    parts = parts.unionByName(sums.filter("change <> 'whole'").withColumn("sign", F.lit(-1)))
+    totals = [F.sum(F.col(c) * F.col("sign")).alias(c) for c in ("n", *halves)]
+    unequal = cut(parts.groupBy(*key).agg(*totals).filter("n <> 0 or high <> 0 or low <> 0").select(*key))
+    names = e.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, changes))).alias("change"))
+    if unequal.isEmpty():
+        return names.select(F.lit(0).cast("long").alias("differences"), "change")
+    row = ["subject", "resolution", "seq", "what"]
+    both = met.filter("change = 'whole'").select("id", "part", "piece", *row).join(unequal, ["id", "part", "piece"]).withColumn("sign", F.lit(1))
+    both = both.unionByName(met.filter("change <> 'whole'").select(*key, *row).join(unequal, key, "left_semi").withColumn("sign", F.lit(-1)))
+    odd = both.groupBy("id", "change", "cut", *row).agg(F.abs(F.sum("sign")).alias("odd"))
     return names.join(odd.groupBy("change").agg(F.sum("odd").alias("differences")), "change", "left").select(F.coalesce("differences", F.lit(0)).alias("differences"), "change")
 
 
